@@ -113,7 +113,7 @@ def event_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.struct(F.get_json_object("props", "$.k").alias("id"), none.alias("name")).alias("industry"),
         F.struct(none.alias("name")).alias("workCity"),
         F.struct(none.alias("experience"), F.array(F.col("event_type")).alias("grades"),
-                 none.cast("array<string>").alias("majors")).alias("require"),
+                 F.lit(None).cast("array<string>").alias("majors")).alias("require"),
         F.format_number("value", 2).alias("salary"), none.alias("description"), none.alias("isHappiness"),
         none.alias("recruitCountString"))
     one = F.lit(1)

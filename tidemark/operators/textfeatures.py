@@ -19,13 +19,13 @@ def char_ngrams(text: Column, low: int = NGRAM_MIN, high: int = NGRAM_MAX) -> Co
     words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
+    def of_size(w: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1)))
+        cut_out = F.transform(starts, lambda i: F.substring(w, i, F.lit(n)))
+        return F.when(F.length(w) >= n, cut_out).otherwise(F.array().cast("array<string>"))
+
     def of_word(w: Column) -> Column:
-        per_size = [
-            F.when(F.length(w) < n, F.array().cast("array<string>")).otherwise(
-                F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1))),
-                            lambda i, n=n: F.substring(w, i, F.lit(n))))
-            for n in range(low, high + 1)]
-        return F.concat(*per_size)
+        return F.concat(*[of_size(w, n) for n in range(low, high + 1)])
 
     return F.flatten(F.transform(padded, of_word))
 
