@@ -8,6 +8,7 @@ from checks.bindings import (
     ANCHORS, CONCEPTS, PART_CONCEPTS, PART_FLAGGED, PARTS, parts, r6, rounded, table, yearly, SERIES, YEARLY)
 from checks.registry import check
 from tidemark.operators import concepts, snapshots
+from tidemark.session import cut
 from tidemark.sources import export
 
 _ALL = f"WITH {PARTS}, {CONCEPTS}, {ANCHORS}"
@@ -24,7 +25,7 @@ def anchor_table(spark, folder):
 def tagged(spark, folder):
     rows = parts(spark, folder, vectors=True)
     anchors = concepts.collect_anchors(anchor_table(spark, folder), PART_CONCEPTS)
-    return concepts.tag_concepts(rows, F.col("job_title"), PART_CONCEPTS, anchors)
+    return cut(concepts.tag_concepts(rows, F.col("job_title"), PART_CONCEPTS, anchors).drop("vec"))
 
 
 def plain_hits(spark, folder):

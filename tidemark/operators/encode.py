@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import NORM_GUARD, as_lists
-from tidemark.operators.textfeatures import char_ngrams
+from tidemark.operators.textfeatures import NGRAM_MAX, NGRAM_MIN
 
 _HASH_SLOTS = 1 << 18
+_CHARS_AT_ONCE = 2_000_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: a factory runs once per Python worker and returns texts -> (n, dim) matrix
 EncoderFactory = Callable[[], Callable[[list[str]], np.ndarray]]
@@ -37,20 +39,65 @@ def encode(rows: DataFrame, factory: EncoderFactory, text: str = "text_for_embed
     return rows.mapInArrow(run, schema)
 
 
-def ngram_slots(text: Column, slots: int = _HASH_SLOTS) -> Column:
-    """Hash slot of every character n-gram, repeats included."""
-    return F.transform(char_ngrams(F.coalesce(text, F.lit(""))),
-                       lambda g: F.pmod(F.xxhash64(g), F.lit(slots)).cast("int"))
+def _single_spaced(text: Column) -> Column:
+    """Lower case, single spaces, one space on both ends."""
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+", " ")
+    return F.concat(F.lit(" "), F.trim(spaced), F.lit(" "))
+
+
+def _window_slots(texts: pa.Array, slots: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Hash slots of all in-word character n-grams: (first row, rows, owner of each slot, slot).
+
+    Rows are joined with line breaks and hashed as one array of code points, a bounded number of
+    characters at a time; windows that run over a word or a row are masked out.
+    """
+    rows = texts.to_pylist()
+    start = 0
+    while start < len(rows):
+        stop, budget = start, _CHARS_AT_ONCE
+        while stop < len(rows) and (stop == start or budget >= len(rows[stop])):
+            budget -= len(rows[stop])
+            stop += 1
+        block = rows[start:stop]
+        codes = np.frombuffer("\n".join([*block, ""]).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        owner = np.repeat(np.arange(len(block)), [len(t) + 1 for t in block])
+        end, space = codes == 10, codes == 32
+        owners, found = [], []
+        for n in range(NGRAM_MIN, NGRAM_MAX + 1):
+            size = len(codes) - n + 1
+            if size <= 0:
+                break
+            mixed, valid = np.full(size, n, dtype=np.uint64), np.ones(size, dtype=bool)
+            for i in range(n):
+                mixed = (mixed ^ codes[i:i + size]) * _MIX
+                mixed ^= mixed >> np.uint64(29)
+                valid &= ~end[i:i + size]
+                if 0 < i < n - 1:
+                    valid &= ~space[i:i + size]
+            owners.append(owner[:size][valid])
+            found.append((mixed[valid] % np.uint64(slots)).astype(np.int64))
+        yield start, len(block), np.concatenate(owners), np.concatenate(found)
+        start = stop
 
 
 def slot_idf(rows: DataFrame, text: str, slots: int = _HASH_SLOTS) -> np.ndarray:
     """Smooth inverse document frequency per hash slot; at most ``slots`` numbers reach the driver."""
-    seen = rows.select(F.explode(F.array_distinct(ngram_slots(F.col(text), slots))).alias("slot")).groupBy("slot").agg(
+
+    @F.arrow_udf("array<int>")
+    def distinct_slots(values: pa.Array) -> pa.Array:
+        parts = []
+        for _, n, owner, slot in _window_slots(values, slots):
+            seen = np.unique(owner * slots + slot)
+            ends = np.searchsorted(seen, np.arange(n + 1) * slots).astype(np.int32)
+            parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.array((seen % slots).astype(np.int32))))
+        return pa.concat_arrays(parts)
+
+    seen = rows.select(F.explode(distinct_slots(_single_spaced(F.col(text)))).alias("slot")).groupBy("slot").agg(
         F.count(F.lit(1)).alias("df"))
     n = rows.count()
     idf = np.full(slots, np.log(1.0 + n) + 1.0)
-    for r in seen.collect():
-        idf[r["slot"]] = np.log((1.0 + n) / (1.0 + r["df"])) + 1.0
+    found = seen.toArrow()
+    idf[found["slot"].to_numpy()] = np.log((1.0 + n) / (1.0 + found["df"].to_numpy())) + 1.0
     return idf
 
 
@@ -58,26 +105,27 @@ def hashed_ngram_vectors(rows: DataFrame, text: str = "text_for_embed", out: str
                          idf: np.ndarray | None = None) -> DataFrame:
     """Offline encoder: IDF-weighted n-gram slots, signed projection to ``dim``, unit length.
 
-    N-grams and slots are built in the JVM; Python only adds up a whole batch with one ``bincount``.
-    Give the reference snapshot's ``idf`` to encode later snapshots in the same space.
+    The whole text counts.  Give the reference snapshot's ``idf`` to encode later snapshots in the
+    same space.
     """
     weights = slot_idf(rows, text) if idf is None else idf
     slots = len(weights)
-    context = rows.sparkSession.sparkContext
-    mixed = (np.arange(slots, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-    column = (mixed % np.uint64(dim)).astype(np.int64)
-    signed = context.broadcast((column, weights * np.where((mixed >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)))
+    mixed = np.arange(1, slots + 1, dtype=np.uint64) * _MIX
+    column = ((mixed >> np.uint64(20)) % np.uint64(dim)).astype(np.int64)
+    signed = rows.sparkSession.sparkContext.broadcast(
+        (column, weights * np.where((mixed >> np.uint64(60)) & np.uint64(1), 1.0, -1.0)))
 
     @F.arrow_udf("array<float>")
     def project(values: pa.Array) -> pa.Array:
         place, amount = signed.value
-        flat = values.flatten().to_numpy(zero_copy_only=False)
-        owner = np.repeat(np.arange(len(values)), values.value_lengths().to_numpy(zero_copy_only=False))
-        m = np.bincount(owner * dim + place[flat], weights=amount[flat], minlength=len(values) * dim).reshape(-1, dim)
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), NORM_GUARD)
-        return as_lists(m.astype(np.float32), pa.float32())
+        parts = []
+        for _, n, owner, slot in _window_slots(values, slots):
+            m = np.bincount(owner * dim + place[slot], weights=amount[slot], minlength=n * dim).reshape(n, dim)
+            m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), NORM_GUARD)
+            parts.append(as_lists(m.astype(np.float32), pa.float32()))
+        return pa.concat_arrays(parts)
 
-    return rows.withColumn(out, project(ngram_slots(F.col(text), slots)))
+    return rows.withColumn(out, project(_single_spaced(F.col(text))))
 
 
 def with_text_hash(rows: DataFrame, text: str = "text_for_embed") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark import settings as S
 from tidemark.functions.vectors import as_matrix, similarities
 from tidemark.operators.ranking import top_n
-from tidemark.session import cut
+from tidemark.session import cut, small_table
 
 #: similarities are rounded so that equal vectors tie exactly wherever they are computed
 SIM_DIGITS = 9
@@ -120,8 +120,8 @@ def _block_top_k(probes: DataFrame, pool: DataFrame, counts: np.ndarray, k: int,
     """Candidates of all (query, cell) probes; both sides of a cell are cut into blocks of bounded size."""
     asked = {r["_cell"]: r["n"] for r in probes.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = probes.sparkSession
-    plan = spark.createDataFrame(
-        [(int(c), math.ceil(n / block_rows), math.ceil(int(counts[c]) / block_rows)) for c, n in asked.items()],
+    plan = small_table(
+        spark, [(int(c), math.ceil(n / block_rows), math.ceil(int(counts[c]) / block_rows)) for c, n in asked.items()],
         "_cell int, _qblocks int, _pblocks int")
 
     def spread(df: DataFrame, key: str, own: str, other: str, own_name: str, other_name: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: up to this N Spark itself cuts each map task to N rows per group before the shuffle
 _MAP_SIDE_LIMIT = 1000
 _SALTS = 1024
+_BINS_PER_E, _BIN_OFFSET = 1024, 800_000
+_MAX_TARGETS = 20_000
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str | None = None) -> DataFrame:
@@ -33,57 +35,54 @@ def latest_per_key(df: DataFrame, keys: list[str], newest_first: list[Column]) -
     return top_n(df, keys, newest_first, 1)
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    splits: int = 128) -> DataFrame:
-    """Linear-interpolation quantiles per group as columns named by ``probs``; null values are skipped.
+def _value_bin(v: Column) -> Column:
+    """Order-preserving integer bin of a finite double, about 0.1 % of the value wide."""
+    magnitude = F.floor(F.ln(F.abs(v)) * _BINS_PER_E) + _BIN_OFFSET
+    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, magnitude).otherwise(-magnitude)
 
-    The built-in exact percentile keeps all distinct values of a group in one buffer.  Here values are
-    first counted per (group, value), then cut into value ranges that hold about 1/``splits`` of them
-    each, and only the ranges that contain a wanted rank are sorted.  The range edges come from a
-    bounded sketch and affect only the work split, never the result.
-    """
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
-    edges = counted.agg(F.percentile_approx("_v", [i / splits for i in range(1, splits)], splits * 20))
-    ranged = (
-        counted.withColumn("_edges", edges.scalar())
-        .withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges"))
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Linear-interpolation quantiles per group as columns named by ``probs``; only finite values count.
+
+    The built-in exact percentile keeps every distinct value of a group in one buffer.  Here a first pass
+    counts rows per (group, value bin), which combines on the map side, and finds the bins that hold the
+    wanted ranks.  A second pass keeps only rows of those bins, so nothing but a sliver of the input is
+    shuffled or sorted.  The wanted bins are fetched (two per group and probability at most) and given
+    back as a small table; if there are more than ``_MAX_TARGETS`` the join is left to Spark.
+
+    The input is read twice: cut it first if it is costly to compute.
+    """
+    number = F.col(value).cast("double")
+    finite = df.where(number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))).select(
+        *keys, number.alias("_v")).withColumn("_bin", _value_bin(F.col("_v")))
     by_group = Window.partitionBy(*keys)
-    per_range = (
-        ranged.groupBy(*keys, "_range").agg(F.sum("_n").alias("_in"))
-        .withColumn("_end", F.sum("_in").over(by_group.orderBy("_range")))
-        .withColumn("_total", F.sum("_in").over(by_group)))
-    wanted = F.lit(False)
-    for p in probs.values():
-        at = (F.col("_total") - 1) * F.lit(float(p))
-        for position in (F.floor(at), F.ceil(at)):
-            wanted = wanted | ((position >= F.col("_end") - F.col("_in")) & (position < F.col("_end")))
-    targets = per_range.where(wanted).select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"),
+    bins = (
+        finite.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_in"))
+        .select(*keys, "_bin", "_in", F.sum("_in").over(by_group.orderBy("_bin")).alias("_end"),
+                F.sum("_in").over(by_group).alias("_total")))
+    ranks = [f"{edge}((_total - 1) * {float(p)!r}D)" for p in probs.values() for edge in ("floor", "ceil")]
+    wanted = " OR ".join(f"(_end - _in <= {r} AND {r} < _end)" for r in dict.fromkeys(ranks))
+    targets = bins.where(wanted).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bin").alias("_b"),
         (F.col("_end") - F.col("_in")).alias("_before"), "_total")
-    same = F.col("_range") == F.col("_r")
+    fetched = targets.limit(_MAX_TARGETS + 1).toArrow()
+    if fetched.num_rows <= _MAX_TARGETS:
+        targets = df.sparkSession.createDataFrame(fetched, targets.schema)
+    same = F.col("_bin") == F.col("_b")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    running = Window.partitionBy(*keys, "_range").orderBy("_v")
-    placed = (
-        ranged.join(targets, same)
-        .withColumn("_stop", F.col("_before") + F.sum("_n").over(running))
-        .withColumn("_start", F.col("_stop") - F.col("_n")))
-    picks = []
-    for name, p in probs.items():
-        at = (F.col("_total") - 1) * F.lit(float(p))
-        for tag, position in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            inside = (F.col("_start") <= position) & (position < F.col("_stop"))
-            picks.append(F.max(F.when(inside, F.col("_v"))).alias(f"_{tag}_{name}"))
-    picked = placed.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
-    out = []
+    counted = finite.join(targets, same).groupBy(*keys, "_bin", "_before", "_total", "_v").agg(
+        F.count(F.lit(1)).alias("_n"))
+    running = Window.partitionBy(*keys, "_bin").orderBy("_v")
+    placed = counted.withColumn("_stop", F.col("_before") + F.sum("_n").over(running))
+    picks, out = [], []
     for name, p in probs.items():
-        at = (F.col("_total") - 1) * F.lit(float(p))
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((low + (high - low) * (at - F.floor(at))).alias(name))
-    return picked.select(*keys, *out)
+        at = f"((_total - 1) * {float(p)!r}D)"
+        for tag, edge in (("lo", "floor"), ("hi", "ceil")):
+            rank = f"{edge}{at}"
+            picks.append(F.expr(f"max(CASE WHEN _stop - _n <= {rank} AND {rank} < _stop THEN _v END)").alias(f"_{tag}_{name}"))
+        out.append(F.expr(f"`_lo_{name}` + (`_hi_{name}` - `_lo_{name}`) * ({at} - floor{at})").alias(name))
+    return placed.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks).select(*keys, *out)
 
 
 def modal_value(df: DataFrame, keys: list[str], value: str, out: str, count: str | None = None) -> DataFrame:

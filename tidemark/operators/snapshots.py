@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import settings as S
 from tidemark.functions.vectors import cosine, mean_vector
 from tidemark.operators.ranking import exact_quantiles, modal_value, top_n
+from tidemark.session import small_table
 
 
 # --- time axis --------------------------------------------------------------------------------
@@ -41,15 +42,13 @@ def resolve_pair(axis: list[str], start: str | None = None, end: str | None = No
 
 def _in_pairs(df: DataFrame, axis: list[str], snapshot: str) -> DataFrame:
     """Each row once per adjacent pair it belongs to, flagged ``_old`` (from side) or not (to side)."""
-    sides: dict[str, list] = {label: [] for label in axis}
+    sides = []
     for start, end in zip(axis, axis[1:]):
-        sides[start].append((start, end, True))
-        sides[end].append((start, end, False))
-    table = df.sparkSession.createDataFrame(
-        [(label, side) for label, side in sides.items()],
-        "_label string, _sides array<struct<from_snapshot:string,to_snapshot:string,_old:boolean>>")
+        sides += [(start, start, end, True), (end, start, end, False)]
+    table = small_table(
+        df.sparkSession, sides, "_label string, from_snapshot string, to_snapshot string, _old boolean")
     kept = [c for c in df.columns if c != snapshot]
-    return df.join(table, F.col(snapshot) == F.col("_label")).select(*kept, F.inline("_sides"))
+    return df.join(table, F.col(snapshot) == F.col("_label")).select(*kept, "from_snapshot", "to_snapshot", "_old")
 
 
 # --- series -----------------------------------------------------------------------------------

@@ -30,13 +30,6 @@ def char_ngrams(text: Column, low: int = NGRAM_MIN, high: int = NGRAM_MAX) -> Co
     return F.flatten(F.transform(padded, of_word))
 
 
-def term_counts(text: Column) -> Column:
-    """``array<struct<term, tf>>`` of one text, built inside the row."""
-    grams = char_ngrams(text)
-    return F.transform(F.array_distinct(grams), lambda t: F.struct(
-        t.alias("term"), (F.size(grams) - F.size(F.array_remove(grams, t))).alias("tf")))
-
-
 def title_tfidf(titles: DataFrame, group: str, title: str, min_df: int | None = None,
                 max_terms: int = MAX_TERMS) -> DataFrame:
     """Normalised TF-IDF per distinct (group, title): (group, title, n, term, weight).
@@ -45,7 +38,9 @@ def title_tfidf(titles: DataFrame, group: str, title: str, min_df: int | None =
     vocabulary is cut to ``max_terms``, which bounds the side that is broadcast.
     """
     distinct = titles.groupBy(group, F.coalesce(title, F.lit("")).alias("title")).agg(F.count(F.lit(1)).alias("n"))
-    tokens = distinct.withColumn("_terms", term_counts(F.col("title"))).select(group, "title", "n", F.inline("_terms"))
+    # grouping by (group, title) already placed each title, so counting and the length need no shuffle
+    tokens = distinct.select(group, "title", "n", F.explode(char_ngrams(F.col("title"))).alias("term")).groupBy(
+        group, "title", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = titles.count()
     least = max(2, n_docs // 5000) if min_df is None else min_df
     vocabulary = (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import settings as S
 from tidemark.operators import clean, concepts, neighbors, snapshots
 from tidemark.schema import DERIVED, POSTINGS, VECTORS
+from tidemark.session import small_table
 from tidemark.sources import export, tables
 from tidemark.sources.meta import meta_dict
 
@@ -51,7 +52,7 @@ class Reports:
 
     def dimension_list(self) -> DataFrame:
         rows = [(k, c, *S.DIMENSION_NOTES.get(k, (None, None))) for k, c in self.dimensions.items()]
-        return self.spark.createDataFrame(rows, "key string, column string, source string, caveat string")
+        return small_table(self.spark, rows, "key string, column string, source string, caveat string")
 
     def category_series(self, dimension: str | None = None) -> DataFrame:
         column = clean.resolve_dimension(dimension, self.dimensions)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def local_session(cores: int | str = "*", app: str = "tidemark", shuffle_partitions: int = 8) -> SparkSession:
@@ -42,3 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A driver-side list as a local relation: its size is known, so Spark broadcasts it under its threshold."""
+    typed = spark.createDataFrame([], schema).schema
+    columns = list(zip(*rows)) if rows else [[] for _ in typed.names]
+    arrow = to_arrow_schema(typed)
+    return spark.createDataFrame(
+        pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], names=typed.names), typed)

@@ -7,11 +7,13 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import small_table
+
 
 def meta_frame(spark: SparkSession, values: dict[str, object]) -> DataFrame:
     """(key, value) rows; lists and dicts become JSON text."""
     rows = [(k, v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)) for k, v in values.items()]
-    return spark.createDataFrame(rows, "key string, value string")
+    return small_table(spark, rows, "key string, value string")
 
 
 def meta_map(meta: DataFrame) -> DataFrame:

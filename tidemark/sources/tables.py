@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.schema import empty
+from tidemark.session import small_table
 
 PARTITION = "snapshot_date"
 
@@ -66,8 +67,8 @@ def rebuild(frames: Iterable[DataFrame], path: str) -> None:
 
 def list_tables(spark: SparkSession, base: str, names: Iterable[str]) -> DataFrame:
     """Which of the known tables exist under a base folder."""
-    return spark.createDataFrame(
-        [(n, table_exists(spark, f"{base}/{n}")) for n in sorted(names)], "table_name string, present boolean")
+    return small_table(
+        spark, [(n, table_exists(spark, f"{base}/{n}")) for n in sorted(names)], "table_name string, present boolean")
 
 
 __all__ = ["PARTITION", "list_tables", "read_table", "rebuild", "replace_table", "table_exists",
