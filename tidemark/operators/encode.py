@@ -74,6 +74,8 @@ def _window_slots(texts: pa.Array, slots: int) -> Iterator[tuple[int, int, np.nd
                 valid &= ~end[i:i + size]
                 if 0 < i < n - 1:
                     valid &= ~space[i:i + size]
+            if n == 2:
+                valid &= ~(space[:size] & space[1:1 + size])      # a blank text has no n-gram
             owners.append(owner[:size][valid])
             found.append((mixed[valid] % np.uint64(slots)).astype(np.int64))
         yield start, len(block), np.concatenate(owners), np.concatenate(found)
