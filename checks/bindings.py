@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import latest_per_key
-from tidemark.session import checkpoint_dir
+from tidemark.session import checkpoint_dir, spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df      # CPU-bound text work
 
 
 def scratch(spark: SparkSession) -> str:

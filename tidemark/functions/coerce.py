@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,10 +11,26 @@ from tidemark.functions.text import strip
 
 # --- fixed values: accepted timestamp spellings, tried in this order --------------------------
 TIMESTAMP_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd",
+    "yyyy-M-d H:mm:ss", "yyyy/M/d H:mm:ss", "yyyy-M-d'T'H:mm:ss", "yyyy-M-d'T'H:mm:ssXXX", "yyyy-M-d'T'H:mm:ss.SSS",
+    "yyyy-M-d'T'H:mm:ss.SSSSSS", "yyyy-M-d H:mm:ss.SSSSSS", "yyyy-M-d H:mm", "yyyy/M/d H:mm", "yyyy-M-d", "yyyy/M/d",
     "yyyyMMdd",
 )
+_FIELD = re.compile(r"'([^']*)'|([a-zA-Z])\2*|(.)")
+
+
+def _shape(pattern: str) -> str:
+    """Regex of the texts a timestamp pattern can parse, to reject the rest without a parse error."""
+    out = []
+    for m in _FIELD.finditer(pattern):
+        quoted, letter, other = m.groups()
+        width = len(m.group(0))
+        if letter == "X":
+            out.append(r"(Z|[+-]\d{2}:\d{2})")
+        elif letter:
+            out.append(r"\d{1,2}" if width == 1 else rf"\d{{{width}}}")
+        else:
+            out.append(re.escape(quoted if quoted is not None else other))
+    return r"\A" + "".join(out) + r"\z"
 
 
 def text_or_blank(value: Column) -> Column:
@@ -22,7 +40,7 @@ def text_or_blank(value: Column) -> Column:
 
 
 def to_timestamp(value: Column, formats: tuple[str, ...] = TIMESTAMP_FORMATS) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.when(value.rlike(_shape(f)), F.try_to_timestamp(value, F.lit(f))) for f in formats])
 
 
 def to_boolean(value: Column) -> Column:

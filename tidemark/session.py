@@ -46,6 +46,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores one task per core; a large input is left as it is.
+
+    For a plain scan only: asking a plan with shuffles for its partitions would run them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A driver-side list as a local relation: its size is known, so Spark broadcasts it under its threshold."""
     typed = spark.createDataFrame([], schema).schema
