@@ -188,7 +188,7 @@ def order_texts(spark: SparkSession, folder: str) -> DataFrame:
     kinds = F.array(*[F.lit(k) for k in ("月薪", "年薪", "時薪", "日薪", "論件計酬", "面議", "")])
     amount = F.format_number(F.floor("o_totalprice"), 0)
     second = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("~"), F.format_number(F.floor("o_totalprice") * 2, 0)))
-    return table(spark, folder, "orders").select(
+    return spread(table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")).select(
         "o_orderkey",
         F.concat(F.element_at(kinds, (F.col("o_orderkey") % 7 + 1).cast("int")), F.lit(" "), amount,
                  F.coalesce(second, F.lit("")), F.lit("元")).alias("pay_text"),

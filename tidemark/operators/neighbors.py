@@ -10,6 +10,7 @@ cell nor a hot query set grows a task; each block emits at most ``k`` rows per q
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,9 @@ from tidemark.session import cut, small_table
 
 #: similarities are rounded so that equal vectors tie exactly wherever they are computed
 SIM_DIGITS = 9
-_MAX_CELLS = 1024
 _ROWS_PER_CELL = 4096
+_PIVOT_BYTES = 64 << 20          # what the pivots may weigh where they are gathered and sent to tasks
+_ROWS_AT_ONCE = 512
 _ANGLE_SLACK = 2e-3     # arccos of a float32 unit vector with itself is off by up to 5e-4
 
 
@@ -62,17 +64,30 @@ def _list_of_cells(mask: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(mask)[1].astype(np.int32)))
 
 
+def _in_chunks(rows: int, work: Callable[[slice], pa.Array], kind: pa.DataType) -> pa.Array:
+    """Row-by-cell matrices are built for a few rows at a time."""
+    parts = [work(slice(i, i + _ROWS_AT_ONCE)) for i in range(0, rows, _ROWS_AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def _build_cells(pool: DataFrame, n_pool: int, cells: int | None) -> tuple[_Cells, DataFrame]:
-    wanted = cells or max(1, min(_MAX_CELLS, n_pool // _ROWS_PER_CELL))
-    picked = pool.orderBy(F.xxhash64("_p"), "_p").select("_v").limit(min(wanted, _MAX_CELLS)).collect()
-    found = _Cells(np.unique(np.array([r[0] for r in picked], dtype=np.float64), axis=0))
+    wanted = cells or max(1, n_pool // _ROWS_PER_CELL)
+    width = len(pool.select("_v").head()[0])
+    picked = pool.orderBy(F.xxhash64("_p"), "_p").select("_v").limit(
+        max(1, min(wanted, _PIVOT_BYTES // (8 * width)))).toArrow()
+    found = _Cells(np.unique(as_matrix(picked["_v"].combine_chunks()), axis=0))
 
     @F.arrow_udf("struct<cell:int,angle:double>")
     def nearest(values: pa.Array) -> pa.Array:
-        angles = found.angles(as_matrix(values))
-        best = angles.argmin(axis=1)
-        return pa.StructArray.from_arrays(
-            [pa.array(best.astype(np.int32)), pa.array(angles[np.arange(len(best)), best])], ["cell", "angle"])
+        matrix = as_matrix(values)
+
+        def work(part: slice) -> pa.Array:
+            angles = found.angles(matrix[part])
+            best = angles.argmin(axis=1)
+            return pa.StructArray.from_arrays(
+                [pa.array(best.astype(np.int32)), pa.array(angles[np.arange(len(best)), best])], ["cell", "angle"])
+
+        return _in_chunks(len(matrix), work, pa.struct([("cell", pa.int32()), ("angle", pa.float64())]))
 
     placed = pool.withColumn("_at", nearest("_v")).select("*", F.col("_at.cell").alias("_cell"), "_at.angle")
     for r in placed.groupBy("_cell").agg(
@@ -153,7 +168,9 @@ def knn_join(queries: DataFrame, pool: DataFrame, k: int = S.KNN_K, key: str = "
 
     @F.arrow_udf("array<int>")
     def first(values: pa.Array) -> pa.Array:
-        return _list_of_cells(found.first_round(found.angles(as_matrix(values)), k))
+        matrix = as_matrix(values)
+        return _in_chunks(len(matrix), lambda part: _list_of_cells(
+            found.first_round(found.angles(matrix[part]), k)), pa.list_(pa.int32()))
 
     probes = q.select("*", F.explode(first("_v")).alias("_cell"))
     near = _block_top_k(probes, placed, found.count, k, block_rows, schema, bool(label))
@@ -165,8 +182,9 @@ def knn_join(queries: DataFrame, pool: DataFrame, k: int = S.KNN_K, key: str = "
 
     @F.arrow_udf("array<int>")
     def rest(values: pa.Array, bound: pa.Array) -> pa.Array:
-        floor = bound.to_numpy(zero_copy_only=False)
-        return _list_of_cells(found.second_round(found.angles(as_matrix(values)), floor, k))
+        matrix, floor = as_matrix(values), bound.to_numpy(zero_copy_only=False)
+        return _in_chunks(len(matrix), lambda part: _list_of_cells(
+            found.second_round(found.angles(matrix[part]), floor[part], k)), pa.list_(pa.int32()))
 
     open_bound = F.when(F.col("_have") >= k, F.col("_bound") - 10.0 ** -SIM_DIGITS).otherwise(F.lit(-2.0))
     more = q.join(reached, "_q").select("_q", "_v", F.explode(rest("_v", open_bound)).alias("_cell"))

@@ -51,6 +51,24 @@ def _in_pairs(df: DataFrame, axis: list[str], snapshot: str) -> DataFrame:
     return df.join(table, F.col(snapshot) == F.col("_label")).select(*kept, "from_snapshot", "to_snapshot", "_old")
 
 
+def _on_axis(df: DataFrame, axis: list[str], snapshot: str) -> DataFrame:
+    """The rows of snapshots on the axis, with their place ``_at`` instead of the label."""
+    places = small_table(df.sparkSession, list(zip(axis, range(len(axis)))), "_label string, _at int")
+    kept = [c for c in df.columns if c != snapshot]
+    return df.join(places, F.col(snapshot) == F.col("_label")).select(*kept, "_at")
+
+
+def _touched_pairs(places: Column, axis: list[str]) -> Column:
+    """Numbers of the adjacent pairs (i, i + 1) that the places take part in."""
+    both = F.array_distinct(F.concat(places, F.transform(places, lambda p: p - 1)))
+    return F.filter(both, lambda p: (p >= 0) & (p < len(axis) - 1))
+
+
+def _pair_labels(axis: list[str]) -> list[Column]:
+    labels = F.array(*[F.lit(label) for label in axis])
+    return [F.get(labels, F.col("_pair")).alias("from_snapshot"), F.get(labels, F.col("_pair") + 1).alias("to_snapshot")]
+
+
 # --- series -----------------------------------------------------------------------------------
 def share_within(n: Column, *keys: str) -> Column:
     return F.try_divide(n.cast("double"), F.sum(n).over(Window.partitionBy(*keys)))
@@ -101,42 +119,47 @@ def survival(postings: DataFrame, axis: list[str], dimensions: dict[str, str] =
              key: str = "job_id", snapshot: str = "snapshot_date") -> DataFrame:
     """Survived, gone and added ids per adjacent pair, dimension and category.
 
-    One shuffle on (pair, dimension, category, id), so no category is ever gathered into one task; an id
-    that changes category is gone from the old one and added to the new one.
+    One shuffle on (dimension, category, id), so no category is ever gathered into one task and every row
+    travels once for all pairs.  An id that changes category is gone from the old one and added to the
+    new one.
     """
-    long = _long_by_dimension(
-        _in_pairs(postings.select(snapshot, key, *dict.fromkeys(dimensions.values())), axis, snapshot),
-        dimensions, ["from_snapshot", "to_snapshot", "_old", key]).where(F.col("category").isNotNull())
-    cell = ["from_snapshot", "to_snapshot", "dimension", "category"]
-    per_id = long.groupBy(*cell, key).agg(
-        F.max("_old").alias("_was"), F.max(~F.col("_old")).alias("_is"))
-    counts = per_id.groupBy(*cell).agg(
-        F.count(F.when(F.col("_was"), 1)).alias("n_from"),
-        F.count(F.when(F.col("_is"), 1)).alias("n_to"),
-        F.count(F.when(F.col("_was") & F.col("_is"), 1)).alias("n_survived"))
+    placed = _on_axis(postings.select(snapshot, key, *dict.fromkeys(dimensions.values())), axis, snapshot)
+    long = _long_by_dimension(placed, dimensions, ["_at", key]).where(F.col("category").isNotNull())
+    per_id = long.groupBy("dimension", "category", key).agg(F.collect_set("_at").alias("_seen"))
+    sided = per_id.select("dimension", "category", "_seen", F.explode(_touched_pairs(F.col("_seen"), axis)).alias("_pair"))
+    was, still = F.array_contains("_seen", F.col("_pair")), F.array_contains("_seen", F.col("_pair") + 1)
+    counts = sided.groupBy("_pair", "dimension", "category").agg(
+        F.count(F.when(was, 1)).alias("n_from"), F.count(F.when(still, 1)).alias("n_to"),
+        F.count(F.when(was & still, 1)).alias("n_survived"))
     gone, added = F.col("n_from") - F.col("n_survived"), F.col("n_to") - F.col("n_survived")
     return counts.select(
-        *cell, "n_from", "n_to", "n_survived", gone.alias("n_gone"), added.alias("n_added"),
-        F.try_divide(gone, F.col("n_from")).alias("churn_rate"),
+        *_pair_labels(axis), "dimension", "category", "n_from", "n_to", "n_survived", gone.alias("n_gone"),
+        added.alias("n_added"), F.try_divide(gone, F.col("n_from")).alias("churn_rate"),
         F.try_divide(added, F.col("n_to")).alias("renewal_rate"))
 
 
 def cluster_flow(assigned: DataFrame, axis: list[str], key: str = "job_id", cluster: str = "cluster_id",
                  snapshot: str = "snapshot_date") -> DataFrame:
-    """Counts of (from cluster, to cluster) per adjacent pair with the virtual endpoints for gone and added."""
-    sided = _in_pairs(assigned.select(snapshot, key, F.col(cluster).cast("long").alias("_c")), axis, snapshot)
-    per_id = sided.groupBy("from_snapshot", "to_snapshot", key).agg(
-        F.max(F.when(F.col("_old"), F.col("_c"))).alias("_from"),
-        F.max(F.when(~F.col("_old"), F.col("_c"))).alias("_to"))
+    """Counts of (from cluster, to cluster) per adjacent pair with the virtual endpoints for gone and added.
+
+    Rows are shuffled once, by id; an id then carries its few (snapshot, cluster) stops.
+    """
+    placed = _on_axis(assigned.select(snapshot, key, F.col(cluster).cast("long").alias("_c")), axis, snapshot)
+    per_id = placed.groupBy(key).agg(F.collect_set(F.struct("_at", "_c")).alias("_stops"))
+    seen = F.transform("_stops", lambda s: s.getField("_at"))
+    sided = per_id.select("_stops", F.explode(_touched_pairs(seen, axis)).alias("_pair"))
+
+    def cluster_at(place: Column) -> Column:
+        here = F.filter("_stops", lambda s: s.getField("_at") == place)
+        return F.array_max(F.transform(here, lambda s: s.getField("_c")))
+
+    ends = sided.select("_pair", cluster_at(F.col("_pair")).alias("_from"), cluster_at(F.col("_pair") + 1).alias("_to"))
     kind = (F.when(F.col("_to").isNull(), "gone").when(F.col("_from").isNull(), "added")
             .when(F.col("_from") == F.col("_to"), "stayed").otherwise("moved"))
-    ends = per_id.select(
-        "from_snapshot", "to_snapshot",
-        F.coalesce("_from", F.lit(S.ADDED).cast("long")).alias("from_cluster"),
-        F.coalesce("_to", F.lit(S.GONE).cast("long")).alias("to_cluster"), kind.alias("kind"))
-    return ends.groupBy("from_snapshot", "to_snapshot", "from_cluster", "to_cluster", "kind").agg(
-        F.count(F.lit(1)).alias("n")).select(
-        "from_snapshot", "to_snapshot", "from_cluster", "to_cluster", "n", "kind")
+    counts = ends.groupBy("_pair", "_from", "_to").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(
+        *_pair_labels(axis), F.coalesce("_from", F.lit(S.ADDED).cast("long")).alias("from_cluster"),
+        F.coalesce("_to", F.lit(S.GONE).cast("long")).alias("to_cluster"), "n", kind.alias("kind"))
 
 
 def company_shift(assigned: DataFrame, axis: list[str], carry: list[str], vec: str = "vec",
