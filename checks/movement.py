@@ -8,6 +8,7 @@ from checks.bindings import (
     CATALOG, LONG, PAIRS, PRIORITY_SEGMENT, SERIES, YEARLY, rounded, table, yearly, yearly_catalog)
 from checks.registry import check
 from tidemark.operators import ranking, snapshots
+from tidemark.session import cut
 
 
 @check("timeline", f"""WITH {YEARLY}
@@ -59,7 +60,7 @@ FROM per_pair GROUP BY ALL"""
 
 @check("survival", f"WITH {YEARLY}, {LONG}, {PAIRS}, {_SURVIVAL}")
 def survival(spark, folder):
-    b1 = yearly(spark, folder)
+    b1 = cut(yearly(spark, folder))
     return rounded(snapshots.survival(b1, snapshots.snapshot_axis(b1), PRIORITY_SEGMENT))
 
 
@@ -87,7 +88,7 @@ flow AS (SELECT from_snapshot, to_snapshot, coalesce(c0, -998) AS from_cluster,
 
 @check("cluster_flow", f"WITH {YEARLY}, {PAIRS}, {_FLOW} SELECT * FROM flow")
 def cluster_flow(spark, folder):
-    b1 = yearly(spark, folder)
+    b1 = cut(yearly(spark, folder))
     return snapshots.cluster_flow(b1, snapshots.snapshot_axis(b1))
 
 
@@ -96,7 +97,7 @@ SELECT f.*, a.label AS from_label, b.label AS to_label FROM flow f
 LEFT JOIN catalog a ON a.cluster_id = f.from_cluster LEFT JOIN catalog b ON b.cluster_id = f.to_cluster
 WHERE f.n >= 5 AND f.kind <> 'stayed'""")
 def cluster_flow_labelled(spark, folder):
-    b1 = yearly(spark, folder)
+    b1 = cut(yearly(spark, folder))
     flow = snapshots.cluster_flow(b1, snapshots.snapshot_axis(b1)).where((F.col("n") >= 5) & (F.col("kind") != "stayed"))
     return snapshots.with_cluster_labels(flow, yearly_catalog(b1))
 
@@ -122,7 +123,7 @@ def category_cluster_mix(spark, folder):
 SELECT category, cluster_id, n, snapshot_date, dimension, round(share_in_category, 6) AS share_in_category, label
 FROM mix LEFT JOIN catalog USING (cluster_id) WHERE n >= 20 AND dimension = 'segment' AND snapshot_date = '1997'""")
 def category_composition(spark, folder):
-    b1 = yearly(spark, folder)
+    b1 = cut(yearly(spark, folder))
     mix = snapshots.category_cluster_mix(b1.where("snapshot_date = '1997'"), PRIORITY_SEGMENT)
     labels = yearly_catalog(b1).select("cluster_id", "label")
     return rounded(mix.where("n >= 20 AND dimension = 'segment'").join(labels, "cluster_id", "left"))
@@ -144,7 +145,7 @@ FROM change ORDER BY abs(share_delta_pp) DESC, cluster_id LIMIT 600"""
 
 @check("cluster_change", f"WITH {YEARLY}, {SERIES}, {CATALOG}, {_CHANGE}")
 def cluster_change(spark, folder):
-    b1 = yearly(spark, folder)
+    b1 = cut(yearly(spark, folder))
     return rounded(snapshots.cluster_change(yearly_catalog(b1), snapshots.cluster_timeseries(b1), "1996", "1997"))
 
 
@@ -154,7 +155,7 @@ rng AS (SELECT cluster_id, max(share) - min(share) AS spread FROM series WHERE c
 SELECT snapshot_date, cluster_id, n, round(share, 6) AS share, label
 FROM series JOIN rng USING (cluster_id) JOIN catalog USING (cluster_id)""")
 def cluster_series_top(spark, folder):
-    b1 = yearly(spark, folder)
+    b1 = cut(yearly(spark, folder))
     series = snapshots.cluster_series(snapshots.cluster_timeseries(b1), yearly_catalog(b1), top=3)
     return rounded(series.select("snapshot_date", "cluster_id", "n", "share", "label"))
 
@@ -163,7 +164,7 @@ def cluster_series_top(spark, folder):
 SELECT snapshot_date, cluster_id, n, round(share, 6) AS share, label
 FROM series JOIN catalog USING (cluster_id) WHERE cluster_id = 2""")
 def cluster_series_one(spark, folder):
-    b1 = yearly(spark, folder)
+    b1 = cut(yearly(spark, folder))
     series = snapshots.cluster_series(snapshots.cluster_timeseries(b1), yearly_catalog(b1), cluster_id=2)
     return rounded(series.select("snapshot_date", "cluster_id", "n", "share", "label"))
 
@@ -172,7 +173,7 @@ def cluster_series_one(spark, folder):
 SELECT snapshot_date, job_id, priority, segment, round(sim, 6) AS sim FROM b1 WHERE cluster_id = 1
 ORDER BY b1.sim DESC, snapshot_date, job_id LIMIT 50""")
 def cluster_members(spark, folder):
-    b1 = yearly(spark, folder)
+    b1 = cut(yearly(spark, folder))
     members = snapshots.cluster_members(
         b1.select("snapshot_date", "job_id", "cluster_id", "sim"), b1.drop("sim", "cluster_id"), 1, ["priority", "segment"])
     return rounded(members.select("snapshot_date", "job_id", "priority", "segment", "sim"))
@@ -188,7 +189,7 @@ kept AS (SELECT job_id, sim, fresh_cluster, prev.job_id IS NOT NULL AS survivor,
 
 
 def _inherited(spark, folder):
-    b1 = yearly(spark, folder)
+    b1 = cut(yearly(spark, folder))
     moved = F.col("cluster_id").isin(1, 2) & (F.col("segment") == "BUILDING")
     fresh = b1.where("snapshot_date = '1997'").select(
         "job_id", "sim", F.when(moved, F.lit(3)).otherwise(F.col("cluster_id")).cast("long").alias("cluster_id"))
@@ -223,7 +224,7 @@ SELECT job_id, CASE WHEN bool_or(snapshot_date = '1996') AND bool_or(snapshot_da
                     WHEN bool_or(snapshot_date = '1996') THEN 'before' ELSE 'after' END AS membership
 FROM b1 WHERE snapshot_date IN ('1996', '1997') GROUP BY 1""")
 def id_set_ops(spark, folder):
-    b1 = yearly(spark, folder)
+    b1 = cut(yearly(spark, folder))
     return snapshots.id_sets(b1.where("snapshot_date = '1996'"), b1.where("snapshot_date = '1997'"))
 
 

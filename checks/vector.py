@@ -11,7 +11,7 @@ from tidemark import settings as S
 from tidemark.functions.vectors import l2_normalize, norm
 from tidemark.operators import clusters, encode, neighbors, snapshots, textfeatures
 from tidemark.operators.ranking import modal_value
-from tidemark.plans.analysis import Options, run_analysis
+from tidemark.plans.analysis import Options, reference_labels, run_analysis
 from tidemark.session import cut
 
 VOTE, FLOOR = 0.20, 0.25
@@ -301,11 +301,11 @@ def snapshot_loop(spark, folder):
 @check("reference_reuse", """
 SELECT CAST(vec_id AS VARCHAR) AS job_id, TRUE AS same FROM embeddings WHERE label <= 6""")
 def reference_reuse(spark, folder):
-    """A second run reuses the stored reference labels: every reference row keeps its cluster."""
-    rows, vectors = loop_inputs(spark, folder)
+    """A second call reuses the stored reference labels: every reference row keeps its cluster."""
+    _, vectors = loop_inputs(spark, folder)
     base = scratch(spark)
-    run_analysis(rows, vectors, base, loop_options())
-    first = cut(spark.read.parquet(f"{base}/reference_labels")).withColumnRenamed("cluster_id", "_first")
-    run_analysis(rows, vectors, base, loop_options())
-    again = spark.read.parquet(f"{base}/job_cluster").where("snapshot_date = 's1'")
+    early = cut(vectors.where("snapshot_date = 's1'").select("job_id", "vec"))
+    first, _ = reference_labels(early, base, loop_options())
+    first = cut(first.withColumnRenamed("cluster_id", "_first"))
+    again, _ = reference_labels(early, base, loop_options())
     return again.join(first, "job_id").select("job_id", (F.col("_first") == F.col("cluster_id")).alias("same"))

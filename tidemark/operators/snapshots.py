@@ -11,6 +11,10 @@ from tidemark.operators.ranking import exact_quantiles, modal_value, top_n
 from tidemark.session import small_table
 
 
+#: pairs per bit word; a word also holds the first place of the next one
+_PLACES_PER_WORD = 62
+
+
 # --- time axis --------------------------------------------------------------------------------
 def snapshot_axis(df: DataFrame, reference: str | None = None, snapshot: str = "snapshot_date") -> list[str]:
     """Snapshot labels in time order, the reference first; one short string per snapshot."""
@@ -58,6 +62,13 @@ def _on_axis(df: DataFrame, axis: list[str], snapshot: str) -> DataFrame:
     return df.join(places, F.col(snapshot) == F.col("_label")).select(*kept, "_at")
 
 
+def _words_of(place: Column) -> Column:
+    """Words a place belongs to: its own, and the one before when it is the shared place."""
+    word = F.floor(place / _PLACES_PER_WORD).cast("int")
+    shared = (place % _PLACES_PER_WORD == 0) & (place > 0)
+    return F.when(shared, F.array(word, word - 1)).otherwise(F.array(word))
+
+
 def _touched_pairs(places: Column, axis: list[str]) -> Column:
     """Numbers of the adjacent pairs (i, i + 1) that the places take part in."""
     both = F.array_distinct(F.concat(places, F.transform(places, lambda p: p - 1)))
@@ -119,18 +130,30 @@ def survival(postings: DataFrame, axis: list[str], dimensions: dict[str, str] =
              key: str = "job_id", snapshot: str = "snapshot_date") -> DataFrame:
     """Survived, gone and added ids per adjacent pair, dimension and category.
 
-    One shuffle on (dimension, category, id), so no category is ever gathered into one task and every row
-    travels once for all pairs.  An id that changes category is gone from the old one and added to the
-    new one.
+    One shuffle on (dimension, category, id) for all pairs, so no category is ever gathered into one task.
+    The snapshots of an id are one bit each in a 64-bit word (longer axes use several words that overlap
+    by one place).  An id that changes category is gone from the old one and added to the new one.
     """
     placed = _on_axis(postings.select(snapshot, key, *dict.fromkeys(dimensions.values())), axis, snapshot)
-    long = _long_by_dimension(placed, dimensions, ["_at", key]).where(F.col("category").isNotNull())
-    per_id = long.groupBy("dimension", "category", key).agg(F.collect_set("_at").alias("_seen"))
-    sided = per_id.select("dimension", "category", "_seen", F.explode(_touched_pairs(F.col("_seen"), axis)).alias("_pair"))
-    was, still = F.array_contains("_seen", F.col("_pair")), F.array_contains("_seen", F.col("_pair") + 1)
-    counts = sided.groupBy("_pair", "dimension", "category").agg(
-        F.count(F.when(was, 1)).alias("n_from"), F.count(F.when(still, 1)).alias("n_to"),
-        F.count(F.when(was & still, 1)).alias("n_survived"))
+    if len(axis) > _PLACES_PER_WORD + 1:
+        placed = placed.select("*", F.explode(_words_of(F.col("_at"))).alias("_word"))
+    else:
+        placed = placed.withColumn("_word", F.lit(0))
+    long = _long_by_dimension(placed, dimensions, ["_word", "_at", key]).where(F.col("category").isNotNull())
+    bit = F.expr(f"shiftleft(1L, _at - _word * {_PLACES_PER_WORD})")
+    per_id = long.groupBy("_word", "dimension", "category", key).agg(F.bit_or(bit).alias("_seen"))
+    # equal histories are counted together before they are taken apart into pairs
+    histories = per_id.groupBy("_word", "dimension", "category", "_seen").agg(F.count(F.lit(1)).alias("_ids"))
+    start = F.col("_word") * _PLACES_PER_WORD
+    last = F.least(start + _PLACES_PER_WORD, F.lit(len(axis) - 1)) - 1
+    sided = histories.where(last >= start).select("*", F.explode(F.sequence(start, last)).alias("_pair"))
+    was = F.expr(f"(shiftright(_seen, _pair - _word * {_PLACES_PER_WORD}) & 1) = 1")
+    still = F.expr(f"(shiftright(_seen, _pair - _word * {_PLACES_PER_WORD} + 1) & 1) = 1")
+    zero = F.lit(0).cast("long")
+    counts = sided.where(was | still).groupBy("_pair", "dimension", "category").agg(
+        F.sum(F.when(was, F.col("_ids")).otherwise(zero)).alias("n_from"),
+        F.sum(F.when(still, F.col("_ids")).otherwise(zero)).alias("n_to"),
+        F.sum(F.when(was & still, F.col("_ids")).otherwise(zero)).alias("n_survived"))
     gone, added = F.col("n_from") - F.col("n_survived"), F.col("n_to") - F.col("n_survived")
     return counts.select(
         *_pair_labels(axis), "dimension", "category", "n_from", "n_to", "n_survived", gone.alias("n_gone"),
