@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.bindings import (
-    CATALOG, LONG, PAIRS, PRIORITY_SEGMENT, SERIES, YEARLY, rounded, table, yearly, yearly_catalog)
+    CATALOG, LONG, PAIRS, PRIORITY_SEGMENT, SERIES, YEARLY, rounded, scratch, table, yearly, yearly_catalog)
 from checks.registry import check
 from tidemark.operators import ranking, snapshots
+from tidemark.plans.reports import Reports
 from tidemark.session import cut
+from tidemark.sources.meta import meta_frame
+from tidemark.sources.tables import replace_table
 
 
 @check("timeline", f"""WITH {YEARLY}
@@ -214,6 +217,18 @@ def assignment_stability(spark, folder):
     return rounded(snapshots.assignment_stability(_inherited(spark, folder), "1996", "1997"))
 
 
+@check("stability_lookup", f"""WITH {YEARLY}, {_INHERIT}
+SELECT '1996' AS from_snapshot, '1997' AS to_snapshot, count(*) AS n_survivors FROM kept WHERE survivor""")
+def stability_lookup(spark, folder):
+    """The stored stability row of one pair, read back through the report; other pairs have none."""
+    base = scratch(spark)
+    replace_table(snapshots.assignment_stability(_inherited(spark, folder), "1996", "1997"), f"{base}/assignment_stability")
+    replace_table(meta_frame(spark, {"snapshots": ["1995", "1996", "1997"]}), f"{base}/analysis_meta")
+    reports = Reports(spark, base)
+    pairs = reports.stability().unionByName(reports.stability("1995", "1996"))
+    return pairs.select("from_snapshot", "to_snapshot", "n_survivors")
+
+
 @check("snapshot_axis", f"WITH {YEARLY}, {PAIRS} SELECT * FROM pairs")
 def snapshot_axis(spark, folder):
     return snapshots.adjacent_pairs(yearly(spark, folder))

@@ -246,7 +246,8 @@ def silhouette_sweep(spark, folder):
 
 # --- encoding ---------------------------------------------------------------------------------
 @check("encode_vectors", """
-SELECT doc_id, 256 AS dim, CASE WHEN length(trim(text, ' ' || chr(10))) > 0 THEN 1.0 ELSE 0.0 END AS length FROM documents""")
+SELECT doc_id, CAST(256 AS BIGINT) AS dim,
+       CAST(CASE WHEN length(trim(text, ' ' || chr(10))) > 0 THEN 1 ELSE 0 END AS DOUBLE) AS length FROM documents""")
 def encode_vectors(spark, folder):
     """Whole documents through the offline encoder; every non-blank text gets a unit vector."""
     rows = encode.hashed_ngram_vectors(table(spark, folder, "documents"), "text")

@@ -47,6 +47,13 @@ def test_anchor_is_a_renormalised_mean(spark):
     assert anchor == pytest.approx([0.5 ** 0.5, 0.5 ** 0.5])
 
 
+def test_anchors_from_the_dictionary(spark):
+    sentences = concepts.anchor_sentences(spark)
+    assert sentences.count() == sum(map(len, S.CONCEPT_ANCHORS.values()))
+    anchors = concepts.collect_anchors(concepts.anchor_vectors(encode.hashed_ngram_vectors(sentences)), S.CONCEPT_PATTERNS)
+    assert set(anchors) == set(S.CONCEPT_PATTERNS) and all(sum(x * x for x in v) == pytest.approx(1.0) for v in anchors.values())
+
+
 def test_encoder_is_pluggable_and_keeps_columns(spark):
     import numpy as np
 

@@ -121,10 +121,9 @@ def canonical_projection(df: DataFrame) -> DataFrame:
 
 def ingest_audit(raw: DataFrame, marked: DataFrame) -> DataFrame:
     """Rows read, removed as stale, dropped as defective and kept, with the keep rate (one row)."""
-    read = raw.agg(F.count(F.lit(1)).alias("n_read"))
     checked = marked.agg(
         F.count(F.lit(1)).alias("_unique"), F.count(F.when(F.col("_defect"), 1)).alias("n_dropped"))
-    joined = read.withColumn("_one", F.lit(1)).join(checked.withColumn("_one", F.lit(1)), "_one")
+    joined = checked.withColumn("n_read", raw.agg(F.count(F.lit(1))).scalar())
     kept = F.col("_unique") - F.col("n_dropped")
     return joined.select(
         "n_read", (F.col("n_read") - F.col("_unique")).alias("n_stale"), "n_dropped", kept.alias("n_kept"),

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import settings as S
 from tidemark.functions.vectors import l2_normalize, mean_vector, similarities
 from tidemark.operators.ranking import exact_quantiles, top_n
+from tidemark.session import small_table
 
 SEPARATION_GUARD = 1e-9
 
@@ -20,6 +21,12 @@ def matches(text: Column, pattern: str) -> Column:
     return F.coalesce(text, F.lit("")).rlike("(?iU)" + pattern)
 
 
+def anchor_sentences(spark: SparkSession, anchors: dict[str, list[str]] | None = None) -> DataFrame:
+    """The dictionary's anchor sentences as rows to encode: (concept, text_for_embed)."""
+    rows = [(c, s) for c, sentences in (anchors or S.CONCEPT_ANCHORS).items() for s in sentences]
+    return small_table(spark, rows, "concept string, text_for_embed string")
+
+
 def anchor_vectors(sentences: DataFrame, concept: str = "concept", vec: str = "vec") -> DataFrame:
     """One unit vector per concept: the renormalised mean of its normalised sentence vectors."""
     unit = sentences.select(concept, l2_normalize(F.col(vec)).alias("_u"))
@@ -164,6 +171,6 @@ def headline_metrics(series: DataFrame, summary: DataFrame, snapshot_label: str)
     """One row: largest cluster share, share of the ten largest, mean premium of flagged concepts (nulls skipped)."""
     shares = series.where((F.col("snapshot_date") == snapshot_label) & (F.col("cluster_id") != S.NOISE))
     ten = shares.orderBy(F.col("share").desc(), "cluster_id").limit(10)
-    top = ten.agg(F.max("share").alias("max_share"), F.sum("share").alias("top10_share")).withColumn("_one", F.lit(1))
-    premium = summary.where("is_ai").agg(F.avg("salary_premium").alias("mean_ai_premium")).withColumn("_one", F.lit(1))
-    return top.join(premium, "_one").drop("_one")
+    premium = summary.where("is_ai").agg(F.avg("salary_premium"))
+    return ten.agg(F.max("share").alias("max_share"), F.sum("share").alias("top10_share")).withColumn(
+        "mean_ai_premium", premium.scalar())
