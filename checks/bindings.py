@@ -25,8 +25,10 @@ def r6(column: str) -> Column:
     return F.round(F.col(column), 6).alias(column)
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[r6(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to ``digits`` places.  Values that were rounded before keep all their places (9 or 12 here):
+    rounding a rounded value again would put it on a half, where engines differ."""
+    return df.select(*[F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 # --- B1: the latest order of each customer in each year ---------------------------------------

@@ -68,15 +68,15 @@ def _even_ties(rows):
 
 
 @check("concept_examples", f"""{_ALL}, {_RANKED}
-SELECT concept, job_id, job_title, category, round(s, 6) AS anchor_similarity FROM r WHERE hit AND rn <= 10""")
+SELECT concept, job_id, job_title, category, s AS anchor_similarity FROM r WHERE hit AND rn <= 10""")
 def concept_examples(spark, folder):
-    return rounded(concepts.concept_examples(_even_ties(tagged(spark, folder)), ["job_title", "category"], "job_id"))
+    return rounded(concepts.concept_examples(_even_ties(tagged(spark, folder)), ["job_title", "category"], "job_id"), 9)
 
 
 @check("concept_candidates", f"""{_ALL}, {_RANKED}
-SELECT concept, job_id, job_title, round(s, 6) AS anchor_similarity FROM r WHERE NOT hit AND rn <= 30""")
+SELECT concept, job_id, job_title, s AS anchor_similarity FROM r WHERE NOT hit AND rn <= 30""")
 def concept_candidates(spark, folder):
-    return rounded(concepts.concept_candidates(_even_ties(tagged(spark, folder)), ["job_title"], "job_id"))
+    return rounded(concepts.concept_candidates(_even_ties(tagged(spark, folder)), ["job_title"], "job_id"), 9)
 
 
 @check("concept_counts", f"""WITH {PARTS}, {CONCEPTS} SELECT count(DISTINCT job_id) AS n_digital_jobs,
@@ -114,11 +114,11 @@ def concept_pay(spark, folder):
 
 
 @check("concept_members", f"""{_ALL}, g AS (SELECT *, round(sim, 9) AS s FROM cells WHERE hit AND concept = 'gears')
-SELECT job_id, job_title, salary_month_min, round(s, 6) AS anchor_similarity FROM g ORDER BY s DESC, job_id LIMIT 100""")
+SELECT job_id, job_title, salary_month_min, s AS anchor_similarity FROM g ORDER BY s DESC, job_id LIMIT 100""")
 def concept_members(spark, folder):
     scores = concepts.concept_hits(_even_ties(tagged(spark, folder)), ["job_id"])
     members = concepts.concept_members(scores, parts(spark, folder), "gears", ["job_title", "salary_month_min"])
-    return rounded(members)
+    return rounded(members, 9)
 
 
 @check("concept_list", f"""WITH {PARTS}, {CONCEPTS}
@@ -134,10 +134,10 @@ def concept_list(spark, folder):
 r AS (SELECT concept, hit, sim, row_number() OVER (PARTITION BY concept ORDER BY round(sim, 9) DESC, job_id) AS rn FROM cells),
 e AS (SELECT concept, count(*) FILTER (hit) AS n_hits, count(*) FILTER (hit AND rn <= 500) AS n_found,
   median(round(sim, 9)) FILTER (hit) AS median_hits, quantile_cont(round(sim, 9), 0.99) AS p99_all FROM r GROUP BY 1)
-SELECT concept, n_hits, n_found, round(n_found / NULLIF(n_hits, 0), 6) AS recall_at_top, round(median_hits, 6) AS median_hits,
-  round(p99_all, 6) AS p99_all, p99_all > median_hits AS p99_beats_hits FROM e""")
+SELECT concept, n_hits, n_found, round(n_found / NULLIF(n_hits, 0), 12) AS recall_at_top, round(median_hits, 12) AS median_hits,
+  round(p99_all, 12) AS p99_all, p99_all > median_hits AS p99_beats_hits FROM e""")
 def keyword_vs_vector_eval(spark, folder):
-    return rounded(concepts.keyword_vs_vector(_even_ties(tagged(spark, folder)), "job_id"))
+    return rounded(concepts.keyword_vs_vector(_even_ties(tagged(spark, folder)), "job_id"), 12)
 
 
 @check("headline_metrics", f"""{_ALL}, {YEARLY}, {SERIES},
@@ -153,7 +153,7 @@ def headline_metrics(spark, folder):
 
 
 @check("export_nested", f"""{_ALL}, {_RANKED}
-SELECT 'by_concept' AS name, concept AS group_key, rn AS rank, job_id, job_title, round(s, 6) AS anchor_similarity
+SELECT 'by_concept' AS name, concept AS group_key, rn AS rank, job_id, job_title, s AS anchor_similarity
 FROM r WHERE hit AND rn <= 100""")
 def export_nested(spark, folder):
     """The nested per-concept documents, opened again into rows."""
@@ -161,4 +161,4 @@ def export_nested(spark, folder):
     nested = export.nest_top(hits, "concept", [F.col("anchor_similarity").desc(), F.col("job_id")],
                              export.TOP_PER_CONCEPT, "by_concept")
     body = "array<struct<rank:bigint,job_id:bigint,job_title:string,anchor_similarity:double>>"
-    return rounded(nested.select("name", "group_key", F.inline(F.from_json("document", body))))
+    return rounded(nested.select("name", "group_key", F.inline(F.from_json("document", body))), 9)

@@ -23,18 +23,22 @@ _FIRST = "SELECT * FROM flat QUALIFY row_number() OVER (PARTITION BY job_id ORDE
 _ARRIVAL = ("industry_bucket", "page", "pos")
 
 
+def _columns():
+    return [F.col(c).cast("long").alias(c) if c == "page" else F.col(c) for c in _COLUMNS]
+
+
 def _flat(spark, folder):
     return landing.flatten_hits(event_pages(spark, folder), "2024-01", "https://jobs.example/")
 
 
 @check("landing_flatten", f"WITH {_FLAT} SELECT * FROM flat")
 def landing_flatten(spark, folder):
-    return _flat(spark, folder).select(*_COLUMNS)
+    return _flat(spark, folder).select(*_columns())
 
 
 @check("landing_first_seen", f"WITH {_FLAT} {_FIRST}")
 def landing_first_seen(spark, folder):
-    return landing.first_seen(_flat(spark, folder), "job_id", [F.col(c) for c in _ARRIVAL]).select(*_COLUMNS)
+    return landing.first_seen(_flat(spark, folder), "job_id", [F.col(c) for c in _ARRIVAL]).select(*_columns())
 
 
 @check("stream_landing", f"WITH {_FLAT} {_FIRST}")
@@ -44,7 +48,7 @@ def stream_landing(spark, folder):
     event_pages(spark, folder).write.json(f"{base}/pages")
     rows = landing.flatten_hits(page_stream(spark, f"{base}/pages"), "2024-01", "https://jobs.example/")
     land_stream(rows, f"{base}/landed", f"{base}/state", arrival=_ARRIVAL).awaitTermination()
-    return spark.read.parquet(f"{base}/landed").select(*_COLUMNS)
+    return spark.read.parquet(f"{base}/landed").select(*_columns())
 
 
 @check("category_cap", """
@@ -126,10 +130,10 @@ def _gaps(spark, folder):
 
 @check("gap_audit", f"""WITH {_GAPS}
 SELECT kind, count(*) AS n, round(min(gap), 6) AS min_gap, round(max(gap), 6) AS max_gap, count(*) FILTER (gap < 60) AS n_below_floor,
-  count(*) FILTER (gap < 1) AS n_burst, round(sum(gap), 3) AS total_gap, round(median(gap), 6) AS median_gap FROM gaps GROUP BY 1""")
+  count(*) FILTER (gap < 1) AS n_burst, round(sum(gap), 3) AS total_gap, round(median(gap), 9) AS median_gap FROM gaps GROUP BY 1""")
 def gap_audit(spark, folder):
     audit = gaps.gap_audit(_gaps(spark, folder), {"within": 60, "change": 60})
-    return rounded(audit.withColumn("total_gap", F.round("total_gap", 3)))
+    return rounded(audit.withColumn("total_gap", F.round("total_gap", 3)), 9)
 
 
 @check("smallest_gaps", f"""WITH {_GAPS}

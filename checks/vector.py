@@ -23,7 +23,7 @@ _TOPK = """pairs AS (
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, neighbor_id) AS rank FROM pairs
         QUALIFY rank <= 15)"""
 _TOPK_SQL = f"""WITH {VECTOR_SNAPSHOTS}, {_TOPK}
-SELECT query_id, neighbor_id, neighbor_label, round(sim, 6) AS sim, rank FROM top"""
+SELECT query_id, neighbor_id, neighbor_label, sim, rank FROM top"""
 
 
 def _sides(spark, folder):
@@ -35,7 +35,7 @@ def _sides(spark, folder):
 def knn_topk(spark, folder):
     late, early = _sides(spark, folder)
     found = neighbors.knn_join(late, early, label="cluster_id")
-    return rounded(found.withColumn("rank", F.col("rank").cast("long")))
+    return rounded(found.withColumn("rank", F.col("rank").cast("long")), 9)
 
 
 @check("knn_topk_cells", _TOPK_SQL)
@@ -43,28 +43,28 @@ def knn_topk_cells(spark, folder):
     """The same join through 12 cells and small blocks: both rounds, several blocks per cell."""
     late, early = _sides(spark, folder)
     found = neighbors.knn_join(late, early, label="cluster_id", cells=12, block_rows=64)
-    return rounded(found.withColumn("rank", F.col("rank").cast("long")))
+    return rounded(found.withColumn("rank", F.col("rank").cast("long")), 9)
 
 
 @check("knn_vote", f"""WITH {VECTOR_SNAPSHOTS}, {_TOPK},
 tally AS (SELECT query_id, neighbor_label, count(*) AS votes, avg(sim) AS mean_sim FROM top WHERE neighbor_label <> -1 GROUP BY 1, 2),
 won AS (SELECT * FROM tally QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, neighbor_label) = 1)
 SELECT q.query_id, CASE WHEN votes / 15.0 >= {VOTE} AND mean_sim >= {FLOOR} THEN neighbor_label ELSE -1 END AS cluster_id,
-       round(coalesce(mean_sim, 0), 6) AS sim, coalesce(neighbor_label, -1) AS winner, coalesce(votes, 0) AS votes
+       round(coalesce(mean_sim, 0), 12) AS sim, coalesce(neighbor_label, -1) AS winner, coalesce(votes, 0) AS votes
 FROM (SELECT DISTINCT query_id FROM top) q LEFT JOIN won USING (query_id)""")
 def knn_vote(spark, folder):
     late, early = _sides(spark, folder)
-    return rounded(neighbors.knn_vote(neighbors.knn_join(late, early, label="cluster_id"), S.KNN_K, VOTE, FLOOR))
+    return rounded(neighbors.knn_vote(neighbors.knn_join(late, early, label="cluster_id"), S.KNN_K, VOTE, FLOOR), 12)
 
 
 @check("similar", f"""WITH {VECTOR_SNAPSHOTS}, src AS (SELECT vec FROM v WHERE job_id = 7 ORDER BY snapshot_date DESC LIMIT 1)
-SELECT snapshot_date, job_id, round(list_dot_product(v.vec, src.vec), 6) AS similarity,
+SELECT snapshot_date, job_id, round(list_dot_product(v.vec, src.vec), 9) AS similarity,
        row_number() OVER (ORDER BY round(list_dot_product(v.vec, src.vec), 9) DESC, job_id) AS rank, bucket
 FROM v, src WHERE snapshot_date = 's1' AND job_id <> 7 QUALIFY rank <= 10""")
 def similar(spark, folder):
     v = vector_snapshots(spark, folder)
     hits = neighbors.similar(v, 7, "s1", 10, v.select("snapshot_date", "job_id", "bucket"))
-    return rounded(hits.withColumn("rank", F.col("rank").cast("long")))
+    return rounded(hits.withColumn("rank", F.col("rank").cast("long")), 9)
 
 
 @check("l2_normalize", """
@@ -104,10 +104,10 @@ titles AS (SELECT cluster_id, list(job_title ORDER BY r) AS titles
 
 
 @check("centroid_nearest", f"""WITH {PARTS}, {_NEAREST}
-SELECT cluster_id, job_id, job_title, round(sim, 6) AS sim, rank FROM near""")
+SELECT cluster_id, job_id, job_title, sim, rank FROM near""")
 def centroid_nearest(spark, folder):
     near = clusters.nearest_to_centroid(parts(spark, folder, vectors=True), columns=["job_title"])
-    return rounded(near.withColumn("rank", F.col("rank").cast("long")))
+    return rounded(near.withColumn("rank", F.col("rank").cast("long")), 9)
 
 
 @check("centroid_titles", f"""WITH {PARTS}, {_NEAREST}
