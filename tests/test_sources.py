@@ -1,8 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
-
 from tidemark.operators import concepts, landing
 from tidemark.schema import DERIVED
 from tidemark.sources import export, meta, readers, tables

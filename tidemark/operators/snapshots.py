@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import settings as S
 from tidemark.functions.vectors import cosine, mean_vector
-from tidemark.operators.ranking import exact_quantiles, modal_value, top_n
+from tidemark.operators.ranking import exact_quantiles, modal_value
 from tidemark.session import small_table
 
 
@@ -309,10 +309,6 @@ def with_cluster_labels(df: DataFrame, clusters: DataFrame, start: str = "from_c
     return df
 
 
-def top_members(rows: DataFrame, group: str, order: list[Column], n: int, rank: str = "rank") -> DataFrame:
-    return top_n(rows, [group], order, n, rank)
-
-
 # --- id sets ----------------------------------------------------------------------------------
 def id_sets(before: DataFrame, after: DataFrame, key: str = "job_id") -> DataFrame:
     """Every id of either side with its membership: ``both``, ``before`` or ``after``."""
