@@ -21,8 +21,8 @@ SLICE_BYTES = 1 << 22
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_BASE = 0x9E3779B97F4A7C15                       # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15                       # odd, so it has an inverse modulo 2**64
+INVERSE = pow(BASE, -1, 1 << 64)
 _powers = {}
 
 
@@ -60,7 +60,7 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def _power_table(base: int, n: int) -> np.ndarray:
+def power_table(base: int, n: int) -> np.ndarray:
     table = _powers.get(base)
     if table is None or len(table) < n:
         size = max(n, SLICE_BYTES + 1)
@@ -84,8 +84,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span: a polynomial modulo 2**64 from one running sum, then mixed with the length."""
     total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, len(data)), out=total[1:])
-    h = (total[ends] - total[starts]) * _power_table(_INVERSE, len(data) + 1)[starts]
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power_table(BASE, len(data)), out=total[1:])
+    h = (total[ends] - total[starts]) * power_table(INVERSE, len(data) + 1)[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -96,7 +96,7 @@ def window_hashes(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, n
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     out = np.zeros(n, dtype=np.uint64)
     for i in range(k):
-        out = out * np.uint64(_BASE) + h[i:i + n]
+        out = out * np.uint64(BASE) + h[i:i + n]
     at = np.flatnonzero(doc[:n] == doc[k - 1:])
     return mix(out[at]), at
 

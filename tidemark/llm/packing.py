@@ -1,8 +1,8 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
 Each task packs the documents of its own partition in blocks, so there is no shuffle and no task grows with
-the corpus.  A document's full windows are cut off first; the remainders of a block are divided over k windows
-by differencing: every remainder starts as a partial partition of its own, and the two partial partitions of
+the corpus.  A document's full windows are cut off first; the remainders of a block, in pieces of at most 512
+tokens, are divided over k windows by differencing: every piece starts as a partial partition of its own, and the two partial partitions of
 the largest spread are merged so that large sums meet small ones, until one is left.  k starts at the least
 possible count and rises while a window exceeds the capacity.
 """
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 CAPACITY = 2048
 BLOCK_ITEMS = 384          # remainders differenced together
+PIECE = 512                # remainders are cut to this length, so that few sums are forced to be uneven
 CACHE_WORDS = 600_000      # entries of the word-to-ids cache of a worker
 _tokenizers: dict[str, Callable[[str], bytes]] = {}
 
@@ -164,7 +165,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
             kept.clear()
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
-        key_type = None
+        key_type, items = None, 0
         for batch in batches:
             key_type = batch.schema.field(0).type
             for doc, words in zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1))):
@@ -175,9 +176,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
                     next_sequence += 1
                     start += capacity
                 if start < total:
-                    waiting.append((doc, start, ids[4 * start:], total))
-                    if len(waiting) >= BLOCK_ITEMS:
-                        flush()
+                    items += 1
+                for at in range(start, total, PIECE):
+                    waiting.append((doc, at, ids[4 * at:4 * (at + PIECE)], total))
+                if items >= BLOCK_ITEMS:
+                    flush()
+                    items = 0
                 if len(done) >= 20_000:
                     yield emit()
         if key_type is not None:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix, runs, span_hashes, text_slices, window_hashes
+from tidemark.llm.common import BASE, INVERSE, mix, power_table, runs, span_hashes, text_slices, window_hashes
 from tidemark.session import cut
 
 SEED_WORDS = 5
@@ -106,13 +106,9 @@ def _windows(words: np.ndarray, free: np.ndarray, k: int) -> tuple[np.ndarray, n
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    base = np.uint64(0x9E3779B97F4A7C15)
-    powers = np.full(len(words), base, dtype=np.uint64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
     total = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * powers[::-1], out=total[1:])           # all windows from one running sum
-    h = (total[k:] - total[:-k]) * powers[:n]
+    np.cumsum(words * power_table(BASE, len(words)), out=total[1:])      # all windows from one running sum
+    h = (total[k:] - total[:-k]) * power_table(INVERSE, n)
     blocked = np.concatenate([[0], np.cumsum(~free)])
     at = np.flatnonzero(blocked[k:] == blocked[:-k])
     return mix(h[at]), at

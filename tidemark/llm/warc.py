@@ -7,6 +7,7 @@ and gives one nested row per capture.
 
 from __future__ import annotations
 
+import base64
 import re
 import uuid
 import zlib
@@ -22,28 +23,20 @@ from pyspark.sql import functions as F
 from tidemark.session import checkpoint_dir
 
 ARCHIVE_BYTES = 32 << 20        # a file is closed once it holds this much
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORD = ("record_id string, type string, url string, date string, concurrent_to string, refers_to string, "
           "payload_digest string, fields map<string,string>, payload binary, payload_bytes bigint")
 _END = b"\r\n\r\n"
 
 
-def base32_sha1(payload: str) -> F.Column:
-    """Bare upper-case base32 SHA-1 of a binary column."""
-    bits = F.concat(*[F.lpad(F.conv(F.substring(F.sha1(payload), 5 * i + 1, 5), 16, 2), 20, "0") for i in range(8)])
-    return F.concat(*[F.substring(F.lit(ALPHABET), F.conv(F.substring(bits, 5 * i + 1, 5), 2, 10).cast("int") + 1, F.lit(1))
-                      for i in range(32)])
-
-
 def with_digest(pages: DataFrame, key: str = "page_id", html: str = "html", least_bytes: int = 0) -> DataFrame:
-    """``pages`` plus payload, payload_digest and original: the largest key of an equal payload.
+    """``pages`` plus payload, payload_sha1 (hex) and original: the largest key of an equal payload.
 
     Payloads under ``least_bytes`` have no original.  Keys that are null are ignored unless all are.
     """
     full = pages.withColumn("payload", F.encode(F.coalesce(html, F.lit("")), "UTF-8")).withColumn(
-        "payload_digest", base32_sha1("payload"))
-    largest = full.where(F.octet_length("payload") >= least_bytes).groupBy("payload_digest").agg(F.max(key).alias("original"))
-    return full.join(largest, "payload_digest", "left")
+        "payload_sha1", F.sha1("payload"))
+    largest = full.where(F.octet_length("payload") >= least_bytes).groupBy("payload_sha1").agg(F.max(key).alias("original"))
+    return full.join(largest, "payload_sha1", "left")
 
 
 def _record(kind: str, record_id: str, url: str, date: str, body: bytes, content_type: str, extra: dict[str, str]) -> bytes:
@@ -92,7 +85,7 @@ def write_archives(captures: DataFrame, folder: str, key: str = "page_id", url:
                 host = urlsplit(link).netloc if re.match(r"[a-z]+://[^\[\]]*$", link) else ""
                 ask = f"GET {_flat(link)} HTTP/1.1\r\nHost: {_flat(host)}\r\n\r\n".encode()
                 head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-                told = {"WARC-Payload-Digest": f"sha1:{digest}"}
+                told = {"WARC-Payload-Digest": f"sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}"}
                 if revisit:
                     told |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
                              "WARC-Refers-To-Key": str(original)}
@@ -113,7 +106,7 @@ def write_archives(captures: DataFrame, folder: str, key: str = "page_id", url:
             [pa.array([f[0] for f in files], pa.string()), pa.array([f[1] for f in files], pa.int64()),
              pa.array([f[2] for f in files], pa.int64())], names=["file", "captures", "bytes"])
 
-    return captures.select(key, url, "payload", "payload_digest", "original").mapInArrow(
+    return captures.select(key, url, "payload", "payload_sha1", "original").mapInArrow(
         run, "file string, captures bigint, bytes bigint")
 
 
