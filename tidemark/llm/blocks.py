@@ -3,7 +3,7 @@
 The page is cut into blocks of text.  The first pass decides each block from its place (navigation, forms,
 adverts, comments and the like are out; an article is in), its link density, its length and its share of stop
 words.  Blocks too short to tell stay open; in the second pass they take the label of the nearest decided block
-of the same region, the one after them when both are as near.
+of the same region, the good one when both are as near.
 """
 
 from __future__ import annotations
@@ -151,8 +151,8 @@ def decide(found: list[Block]) -> list[Block]:
         b = found[i]
         if b.good is None:
             left, right = earlier[i], after.get(b.region)
-            near = right if right and (not left or right[0] - i <= i - left[0]) else left
-            b.good = near[1] if near else b.region > 0
+            sides = [(abs(i - s[0]), not s[1]) for s in (left, right) if s]
+            b.good = not min(sides)[1] if sides else b.region > 0
         elif not b.out:
             after[b.region] = (i, b.good)
     return [b for b in found if b.good and (b.region > 0 or not article)]

@@ -44,7 +44,7 @@ def _places(seeds: np.ndarray) -> list[np.ndarray]:
 
 
 def item_seeds(items: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(item, seed, n_words): the distinct seeds of each item; items under ``k`` words have none."""
+    """(item, seed, n_words): the distinct seeds of each item, by its row hash; items under ``k`` words have none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, words, doc in word_hashes(batch.column(1)):
@@ -55,9 +55,8 @@ def item_seeds(items: DataFrame, key: str, text: str, k: int) -> DataFrame:
                     [batch.column(0).take(pa.array(rows)), pa.array(h.view(np.int64)), pa.array(n[doc[at]].astype(np.int64))],
                     names=["item", "seed", "n_words"])
 
-    kind = dict(items.dtypes)[key]
-    return items.select(F.col(key).alias("item"), F.col(text).cast("string")).mapInArrow(
-        run, f"item {kind}, seed bigint, n_words bigint").distinct()
+    return items.select(row_hash(key, text).alias("item"), F.col(text).cast("string").alias("text")).mapInArrow(
+        run, "item bigint, seed bigint, n_words bigint").distinct()
 
 
 def bloom(seeds: DataFrame) -> np.ndarray:
@@ -175,8 +174,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     pairs = shared.groupBy("row_hash", "item").agg(F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words")).where(
         F.col("n") * k >= F.col("n_words") * threshold).select("row_hash", "item")
     texts = hits.groupBy("row_hash").agg(F.first("doc").alias("doc"), F.first("text").alias("text"))
-    named = items.select(F.col(item_key).alias("item"), F.col(item_text).cast("string").alias("item_text")).distinct()
-    ready = pairs.join(texts, "row_hash").join(named, "item").select("row_hash", "doc", "item", "text", "item_text")
+    named = items.select(row_hash(item_key, item_text).alias("item"), F.col(item_key).alias("name"), F.col(item_text).cast("string").alias("item_text")).distinct()
+    ready = pairs.join(texts, "row_hash").join(named, "item").select("row_hash", "doc", "name", "text", "item_text")
     item_kind = dict(items.dtypes)[item_key]
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,13 +187,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                 made.append((sum(t[2] for t in found) / max(1, len(item)), len(found), max([0, *(t[2] for t in found)])))
             columns = list(zip(*made)) if made else [(), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row_hash"), batch.column("doc"), batch.column("item"), pa.array(columns[0], pa.float64()),
+                [batch.column("row_hash"), batch.column("doc"), batch.column("name"), pa.array(columns[0], pa.float64()),
                  pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())],
-                names=["row_hash", "doc", "item", "coverage", "n_tiles", "longest"])
+                names=["row_hash", "doc", "name", "coverage", "n_tiles", "longest"])
 
-    tiled = ready.mapInArrow(tile, f"row_hash bigint, doc {kind}, item {item_kind}, coverage double, n_tiles bigint, longest bigint")
+    tiled = ready.mapInArrow(tile, f"row_hash bigint, doc {kind}, name {item_kind}, coverage double, n_tiles bigint, longest bigint")
     return tiled.where(F.col("coverage") >= threshold).select(
-        F.col("doc").alias(key), F.col("item").alias(item_key), "coverage", "n_tiles", "longest", "row_hash")
+        F.col("doc").alias(key), F.col("name").alias(item_key), "coverage", "n_tiles", "longest", "row_hash")
 
 
 def row_hash(key: str, text: str):
