@@ -5,10 +5,11 @@ band and one class of population counts; since the distance of two fingerprints
 their population counts, only tiles of the same or the next class (a class is ``radius + 1`` counts wide) are
 paired, and inside a pair of tiles each block of rows meets only the rows within the radius of its counts.
 
-Bands keep the pairs of tiles from growing with the square of the corpus without losing a link:
+Bands keep the pairs of tiles from growing with the square of the corpus:
 
-* a small radius on one 64-bit word: ``radius + 1`` blocks of bits, of which one must be equal;
-* otherwise, with a least ratio of shingle counts: classes of that ratio, each row in its own and the next.
+* one 64-bit word and a small radius: ``radius + 1`` blocks of bits, of which one must be equal, so no link is lost;
+* the wide fingerprint of the corpus stage: 24 blocks of ten bits.  A pair of similarity 0.8 differs in 15 % of its
+  bits and shares a block with probability 0.995; the blocks are part of what a link is there.
 
 A band with more than ``cap`` rows is cut into tiles of about ``cap`` rows, spread over tasks; smaller bands
 are packed into groups of about ``cap`` rows.  Nothing is dropped at any size.  From each pair of tiles only a
@@ -33,7 +34,7 @@ SEED = 42
 TILE_ROWS = 8192
 #: bits of the wide fingerprint of the corpus stage, and the most that may differ: at most 45 of 256 bits is
 #: an angle that five-word shingle sets of similarity 0.8 (27 degrees, 38 bits on average) stay under
-STAGE_WORDS64, STAGE_RADIUS, STAGE_SHINGLE, STAGE_SIMILARITY = 4, 45, 5, 0.8
+STAGE_WORDS64, STAGE_RADIUS, STAGE_SHINGLE, BLOCK_BITS = 4, 45, 5, 10
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -108,42 +109,37 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.nda
 
 
 def _equal_bands(band: np.ndarray, words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within ``radius`` among rows of the same band; rows are sorted by band, then population count."""
-    ones = np.bitwise_count(words).sum(axis=0, dtype=np.int64)
-    left, right = [], []
-    at, d = np.arange(len(band)), 1
-    while True:
-        at = at[at + d < len(band)]
-        at = at[(band[at] == band[at + d]) & (ones[at + d] - ones[at] <= radius)]
-        if not len(at):
+    """Index pairs within ``radius`` among rows of the same band; rows are sorted by band."""
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    half = max(1, words.shape[0] // 2)
+    for d in range(1, len(band)):
+        same = band[:-d] == band[d:]
+        if not same.any():
             break
-        ok = at[np.bitwise_count(words[:, at] ^ words[:, at + d]).sum(axis=0, dtype=np.int64) <= radius]
-        left.append(ok)
-        right.append(ok + d)
-        d += 1
-    none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+        far = np.bitwise_count(words[0, :-d] ^ words[0, d:])
+        for w in range(1, half):
+            far = far + np.bitwise_count(words[w, :-d] ^ words[w, d:])
+        at = np.flatnonzero(same & (far <= radius))         # a part of the words bounds the distance from below
+        at = at[np.bitwise_count(words[:, at] ^ words[:, at + d]).sum(axis=0, dtype=np.int64) <= radius]
+        left.append(at)
+        right.append(at + d)
+    return np.concatenate(left), np.concatenate(right)
 
 
-def links(prints: DataFrame, radius: int, words64: int = 1, ratio: float | None = None, cap: int = TILE_ROWS) -> DataFrame:
-    """Edges (a, b) between nodes of ``prints`` (node, w0.., size) at ``radius`` or fewer differing bits.
+def links(prints: DataFrame, radius: int, words64: int = 1, cap: int = TILE_ROWS) -> DataFrame:
+    """Edges (a, b) between nodes of ``prints`` (node, w0..) at ``radius`` or fewer differing bits that share a band.
 
-    Only a spanning forest of each tile pair is returned, which keeps components and loses no link.  With
-    ``ratio`` a link also needs shingle counts within that ratio's class or the next.
+    Only a spanning forest of each tile pair is returned, which keeps components and loses no link.
     """
     names = [f"w{i}" for i in range(words64)]
     ones = sum((F.bit_count(w) for w in names[1:]), F.bit_count(names[0]))
-    width = 64 // (radius + 1)
-    if ratio is not None:
-        level = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / -float(np.log(ratio))).cast("long")
-        bands, per_row = F.array(level, level + 1), 2
-    elif words64 == 1 and width >= 12:
+    if words64 == 1:
         edges = [i * 64 // (radius + 1) for i in range(radius + 2)]
-        cuts = [F.shiftrightunsigned("w0", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) + F.lit(i << 33)
-                for i, (lo, hi) in enumerate(zip(edges, edges[1:]))]
-        bands, per_row = F.array(*cuts), radius + 1
     else:
-        bands, per_row = F.array(F.lit(0).cast("long")), 1
+        edges = list(range(0, 64, BLOCK_BITS))
+    spans = [(w, lo, hi) for w in names for lo, hi in zip(edges, edges[1:])]
+    bands = F.array(*[F.shiftrightunsigned(w, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) + F.lit(i << 33) for i, (w, lo, hi) in enumerate(spans)])
+    per_row = len(spans)
     rows = prints.select("node", *names, F.explode(bands).alias("band"), F.floor(ones / (radius + 1)).cast("int").alias("level"))
     groups = max(1, -(-prints.count() * per_row // cap))
     by_level = rows.groupBy("band", "level").agg(F.count(F.lit(1)).alias("n"))
@@ -170,7 +166,7 @@ def links(prints: DataFrame, radius: int, words64: int = 1, ratio: float | None
         band, side, pair = table["band"].to_numpy(), table["side"].to_numpy(), table["pair"][0].as_py()
         count = np.bitwise_count(words).sum(axis=0, dtype=np.int64)
         if not pair:
-            order = np.lexsort((count, band))
+            order = np.argsort(band, kind="stable")
             i, j = _equal_bands(band[order], words[:, order], radius)
             i, j = order[i], order[j]
         else:
@@ -188,12 +184,12 @@ def links(prints: DataFrame, radius: int, words64: int = 1, ratio: float | None
     return keyed.groupBy("g", "pair").applyInArrow(compare, "a bigint, b bigint")
 
 
-def groups(marks: DataFrame, first: str, radius: int, words64: int = 1, ratio: float | None = None) -> DataFrame:
+def groups(marks: DataFrame, first: str, radius: int, words64: int = 1) -> DataFrame:
     """``marks`` (a written table with ``first``, w0.., size) plus ``component``: the least ``first`` that a row reaches."""
     names = [f"w{i}" for i in range(words64)]
     node = F.col("w0") if words64 == 1 else F.xxhash64(*names)
-    prints = cut(marks.groupBy(*names).agg(F.min(first).alias("_first"), F.max("size").alias("size")).withColumn("node", node))
-    roots = components(links(prints, radius, words64, ratio))
+    prints = cut(marks.groupBy(*names).agg(F.min(first).alias("_first")).withColumn("node", node))
+    roots = components(links(prints, radius, words64))
     rooted = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("_first").alias("component"))
     return marks.join(rooted.join(least, "root").select(*names, "component"), names)
@@ -215,12 +211,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one of the least key (null last), then the first read.
 
-    Works on fingerprints of 256 bits over five-word shingles; texts link at 45 or fewer differing bits and
-    shingle counts within a ratio of 0.8 by class.  Columns are those of ``docs``; null texts are one group.
+    Works on fingerprints of 256 bits over five-word shingles; texts link at 45 or fewer differing bits if one of
+    24 blocks of ten bits is equal.  Columns are those of ``docs``; null texts are one group.
     """
     kept = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
     ordered = kept.withColumn("_first", F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_row").alias("r")))
     marks = cut(fingerprints(ordered, ["_first"], text, STAGE_SHINGLE, STAGE_WORDS64))
-    found = groups(marks, "_first", STAGE_RADIUS, STAGE_WORDS64, STAGE_SIMILARITY)
+    found = groups(marks, "_first", STAGE_RADIUS, STAGE_WORDS64)
     stays = found.where(F.col("_first") == F.col("component")).select(F.col("_first.r").alias("_row"))
     return kept.join(stays, "_row", "left_semi").select(*docs.columns)
