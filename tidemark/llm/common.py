@@ -1,6 +1,6 @@
 """Byte-level text helpers in numpy, shared by the operators of this package, and connected components.
 
-Texts reach Python as Arrow batches.  Work goes over slices of a few megabytes of UTF-8, so memory follows
+Texts reach Python as Arrow batches.  Work goes over slices of a megabyte of UTF-8, so memory follows
 the longest single text and not the batch.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut
 
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 
 #: fixed values: the bytes that separate words, U+0020 and U+0009 to U+000D
 SPACES = np.zeros(256, dtype=bool)

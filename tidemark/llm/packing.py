@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 BLOCK_ITEMS = 384          # remainders differenced together
 PIECE = 512                # remainders are cut to this length, so that few sums are forced to be uneven
-CACHE_WORDS = 600_000      # entries of the word-to-ids cache of a worker
+CACHE_WORDS = 250_000      # entries of the word-to-ids cache of a worker
 _tokenizers: dict[str, Callable[[str], bytes]] = {}
 
 
