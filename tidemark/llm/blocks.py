@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHORT_CHARS, LINK_SHARE, STOP_SHARE = 60, 0.4, 0.2
+SHORT_CHARS, LINK_SHARE, ARTICLE_LINK_SHARE, STOP_SHARE = 60, 0.4, 0.8, 0.2
 
 #: fixed values: frequent function words of English, German, French and Spanish
 STOP_WORDS = frozenset((
@@ -130,7 +130,7 @@ def decide(found: list[Block]) -> list[Block]:
     """Both passes; returns the good blocks."""
     for b in found:
         linked = b.link_chars / len(b.text)
-        if b.out or linked > LINK_SHARE and not (b.region and len(b.text) - b.link_chars >= SHORT_CHARS):
+        if b.out or linked > (ARTICLE_LINK_SHARE if b.region else LINK_SHARE):
             b.good = False
         elif len(b.text) < SHORT_CHARS:
             b.good = None
