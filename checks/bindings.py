@@ -174,13 +174,13 @@ cells AS (SELECT p.*, concept, regexp_matches(job_title, pattern) AS hit, list_d
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     first_line = F.substring_index("text", "\n", 1)
     return table(spark, folder, "documents").select(
-        F.col("doc_id").cast("string").alias("job_id"), F.substring(first_line, 1, 40).alias("job_title"),
+        F.col("doc_id").cast("string").alias("job_id"), first_line.alias("job_title"),
         F.col("source").alias("company_name"), F.col("source").alias("company_id"),
         F.col("lang").alias("industry_bucket"), F.col("lang").alias("industry_name"), F.col("text").alias("description"))
 
 
 DOCUMENTS = """d AS (
-  SELECT CAST(doc_id AS VARCHAR) AS job_id, substr(split_part(text, chr(10), 1), 1, 40) AS job_title,
+  SELECT CAST(doc_id AS VARCHAR) AS job_id, split_part(text, chr(10), 1) AS job_title,
          source AS company_name, source AS company_id, lang AS industry_bucket, lang AS industry_name,
          text AS description FROM documents)"""
 

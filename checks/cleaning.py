@@ -66,10 +66,10 @@ def ingest_audit(spark, folder):
 
 
 @check("embed_text", f"""WITH {DOCUMENTS}
-SELECT job_id, trim(job_title || '。' || job_title || '。' || industry_name || '。' || substr(description, 1, 1000),
+SELECT job_id, trim(job_title || '。' || job_title || '。' || industry_name || '。' || description,
                     ' ' || chr(10)) AS text_for_embed FROM d""")
 def embed_text(spark, folder):
-    built = text.embedding_text(F.col("job_title"), F.col("industry_name"), F.col("description"), 1000)
+    built = text.embedding_text(F.col("job_title"), F.col("industry_name"), F.col("description"))
     return documents(spark, folder).select("job_id", built.alias("text_for_embed"))
 
 

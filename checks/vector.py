@@ -234,13 +234,13 @@ def pca_explained(spark, folder):
 @check("kmeans_labels")
 def kmeans_labels(spark, folder):
     low, _ = clusters.pca_project(_keyed(spark, folder).drop("cluster_id"))
-    return clusters.kmeans_labels(low, 10, n_init=2).select("job_id", "cluster_id")
+    return clusters.kmeans_labels(low, 10).select("job_id", "cluster_id")
 
 
 @check("silhouette_sweep")
 def silhouette_sweep(spark, folder):
     low, _ = clusters.pca_project(_keyed(spark, folder).drop("cluster_id"))
-    scores = clusters.silhouette_sweep(cut(clusters.model_selection_sample(low)), S.K_GRID[:2])
+    scores = clusters.silhouette_sweep(cut(low.select("job_id", "low")))
     return spark.createDataFrame(scores, "k int, silhouette double")
 
 

@@ -81,3 +81,15 @@ def test_progress_markers(spark):
     marks = spark.createDataFrame([(["x|1", "x|2"], False), ([], True)], "pages array<string>, complete boolean")
     got = sorted((r.bucket, r.page, r.complete) for r in landing.read_progress(marks).collect() if r.bucket)
     assert got == [("x", 1, False), ("x", 2, False)]
+
+
+def test_newest_of_mixed_stamps_wins(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.coerce import to_timestamp
+
+    shapes = ["2026-05-19T08:30:00.123Z", "2026-05-19T08:30:00+0800", "2026-05-19 08:30:00.5", "2026-05-19T08:30",
+              "2026-05-19T08:30:00.123456+08:00", "2026/05/19 08:30:00.123", "bad", "2026-13-40T08:30"]
+    got = [str(r[0]) for r in spark.createDataFrame([(s,) for s in shapes], "s string").select(to_timestamp(F.col("s"))).collect()]
+    assert got == ["2026-05-19 08:30:00.123000", "2026-05-19 00:30:00", "2026-05-19 08:30:00.500000", "2026-05-19 08:30:00",
+                   "2026-05-19 00:30:00.123456", "2026-05-19 08:30:00.123000", "None", "None"]

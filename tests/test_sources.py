@@ -112,3 +112,17 @@ def test_enrichment_runs_on_a_stream(spark, folder):
     query.awaitTermination()
     got = {(r.concept, r.salary_month_min, r.bucket_label) for r in spark.read.parquet(f"{folder}/out").collect()}
     assert got == {("軟體開發", 40000.0, "設計"), ("雲端／DevOps", 40000.0, "設計")}
+
+
+def test_empty_table_and_empty_snapshot(spark, folder):
+    from tidemark.sources import tables
+
+    path = f"{folder}/t"
+    none = spark.createDataFrame([], "job_id string, n int, snapshot_date string")
+    tables.replace_table(none, path, "snapshot_date")
+    assert tables.read_table(spark, path).columns == none.columns and tables.read_table(spark, path).count() == 0
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, "x")], none.schema)
+    for day in ("2026-01-01", "2026-02-01"):
+        tables.upsert_snapshot(rows, path, day)
+    tables.upsert_snapshot(none, path, "2026-01-01")
+    assert [tuple(r) for r in tables.read_table(spark, path).groupBy("snapshot_date").count().collect()] == [("2026-02-01", 2)]

@@ -87,11 +87,11 @@ def clean_title(title: Column) -> Column:
     return F.substring(F.regexp_replace(t, TITLE_TAIL, ""), 1, TITLE_LENGTH)
 
 
-def embedding_text(title: Column, industry: Column, description: Column, prefix: int) -> Column:
-    """``title。title。industry。description`` with the title doubled as weight."""
+def embedding_text(title: Column, industry: Column, description: Column, prefix: int | None = None) -> Column:
+    """``title。title。industry。description`` with the title doubled as weight; ``prefix`` cuts the description if given."""
     blank = F.lit("")
     t, i, d = (F.coalesce(c, blank) for c in (title, industry, description))
-    return strip(F.concat(t, F.lit("。"), t, F.lit("。"), i, F.lit("。"), F.substring(d, 1, prefix)))
+    return strip(F.concat(t, F.lit("。"), t, F.lit("。"), i, F.lit("。"), d if prefix is None else F.substring(d, 1, prefix)))
 
 
 def is_blank_title(title: Column) -> Column:

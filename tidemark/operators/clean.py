@@ -107,7 +107,7 @@ def finish_postings(df: DataFrame, snapshot: str, industry_classes: dict[str, st
         "salary_min": F.col("_pay.lo"), "salary_max": F.col("_pay.hi"),
         "salary_month_min": F.col("_pay.month_min"),
         "text_for_embed": text.embedding_text(
-            F.col("job_title"), F.col("industry_name"), F.col("description"), S.DESCRIPTION_PREFIX)})
+            F.col("job_title"), F.col("industry_name"), F.col("description"))})
     kept = df.select(*([F.col("_defect")] if audit else []), *POSTINGS.names)
     return kept
 

@@ -10,7 +10,6 @@ from tidemark.operators.ranking import top_n
 
 # --- fixed values: n-gram range, vocabulary size, terms per cluster ---------------------------
 NGRAM_MIN, NGRAM_MAX = 2, 4
-MAX_TERMS = 60000
 CANDIDATE_TERMS, SHOWN_TERMS = 12, 6
 
 
@@ -31,11 +30,11 @@ def char_ngrams(text: Column, low: int = NGRAM_MIN, high: int = NGRAM_MAX) -> Co
 
 
 def title_tfidf(titles: DataFrame, group: str, title: str, min_df: int | None = None,
-                max_terms: int = MAX_TERMS) -> DataFrame:
+                max_terms: int | None = None) -> DataFrame:
     """Normalised TF-IDF per distinct (group, title): (group, title, n, term, weight).
 
     Equal titles are counted once with their multiplicity ``n`` before any n-gram is built.  The
-    vocabulary is cut to ``max_terms``, which bounds the side that is broadcast.
+    vocabulary is what ``min_df`` leaves, or the ``max_terms`` most frequent of it if given.
     """
     distinct = titles.groupBy(group, F.coalesce(title, F.lit("")).alias("title")).agg(F.count(F.lit(1)).alias("n"))
     # grouping by (group, title) already placed each title, so counting and the length need no shuffle
@@ -43,11 +42,11 @@ def title_tfidf(titles: DataFrame, group: str, title: str, min_df: int | None =
         group, "title", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = titles.count()
     least = max(2, n_docs // 5000) if min_df is None else min_df
-    vocabulary = (
-        tokens.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.col("n") * F.col("tf")).alias("_cf"))
-        .where(F.col("df") >= least).orderBy(F.col("_cf").desc(), "term").limit(max_terms)
-        .select("term", (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("idf")))
-    weighted = tokens.join(F.broadcast(vocabulary), "term").withColumn("_w", F.col("tf") * F.col("idf"))
+    terms = tokens.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.col("n") * F.col("tf")).alias("_cf")).where(F.col("df") >= least)
+    if max_terms is not None:
+        terms = terms.orderBy(F.col("_cf").desc(), "term").limit(max_terms)
+    vocabulary = terms.select("term", (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighted = tokens.join(vocabulary, "term").withColumn("_w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(group, "title")))
     return weighted.select(group, "title", "n", "term", (F.col("_w") / length).alias("weight"))
 

@@ -33,12 +33,13 @@ class Options:
 
 
 def reference_labels(vectors: DataFrame, base: str, options: Options) -> tuple[DataFrame, dict]:
-    """Stored labels while their number equals the reference rows, else a new fit."""
+    """Stored labels while they are for exactly the reference rows, else a new fit."""
     spark = vectors.sparkSession
     path = f"{base}/reference_labels"
     if not options.refit and table_exists(spark, path):
         stored = read_table(spark, path, DERIVED["reference_labels"])
-        if stored.count() == vectors.count():
+        ids = vectors.select("job_id")
+        if stored.join(ids, "job_id", "left_anti").isEmpty() and ids.join(stored, "job_id", "left_anti").isEmpty():
             quality = clusters.cluster_quality(stored).head()
             meta = read_table(spark, f"{base}/analysis_meta", DERIVED["analysis_meta"])
             method = meta_dict(meta).get("cluster_method", "density")

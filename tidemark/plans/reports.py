@@ -157,7 +157,8 @@ class Reports:
     def export(self, path: str) -> None:
         """All aggregates as nested JSON under ``path``: core reports, members per cluster and per concept."""
         core = {
-            "timeline": self.timeline(), "clusters": self.clusters(limit=3000), "concepts": self.concepts(),
+            "timeline": self.timeline(), "clusters": snapshots.cluster_change(
+                self.table("clusters"), self.table("cluster_timeseries"), *self._pair(None, None), None), "concepts": self.concepts(),
             "concept_salary": self.concept_salary(), "concept_examples": self.concept_examples(),
             "concept_candidates": self.concept_candidates(), "dimensions": self.dimension_list(),
             "meta": self.table("analysis_meta"), "concept_meta": self.table("concept_meta")}

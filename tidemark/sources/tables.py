@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,28 +32,49 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     reader = spark.read
     if schema is not None:
         return reader.schema(schema).parquet(path).select(*empty(spark, schema).columns)
-    found = reader.parquet(path).schema
+    found = stored_schema(spark, path)
     typed = T.StructType([T.StructField(f.name, T.StringType() if f.name == PARTITION else f.dataType) for f in found])
     return spark.read.schema(typed).parquet(path)
 
 
+def stored_schema(spark: SparkSession, path: str) -> T.StructType:
+    """From the note that ``replace_table`` and ``upsert_snapshot`` leave, which also describes a table without rows."""
+    note = f"{path}/_schema"
+    if table_exists(spark, note):
+        return T.StructType.fromJson(json.loads("".join(r[0] for r in spark.read.text(note, wholetext=True).collect())))
+    return spark.read.parquet(path).schema
+
+
+def _note_schema(df: DataFrame, path: str) -> None:
+    """Beside the data, under a name that readers skip; the partition column comes last, as Spark reads it."""
+    fields = [f for f in df.schema if f.name != PARTITION] + [f for f in df.schema if f.name == PARTITION]
+    spark = df.sparkSession
+    spark.createDataFrame([(T.StructType(fields).json(),)], "note string").coalesce(1).write.mode("overwrite").text(f"{path}/_schema")
+
+
 def replace_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Full overwrite; an empty frame leaves an empty table with its types."""
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    if partition_by == PARTITION:
+        _note_schema(df, path)
 
 
 def upsert_snapshot(df: DataFrame, path: str, snapshot: str) -> None:
     """Replace one snapshot's rows and leave the others; the column list must match the stored one."""
     spark = df.sparkSession
     if table_exists(spark, path):
-        stored = [c for c in spark.read.parquet(path).columns if c != PARTITION]
+        stored = [c for c in stored_schema(spark, path).names if c != PARTITION]
         given = [c for c in df.columns if c != PARTITION]
         if stored != given:
             added, removed = [c for c in given if c not in stored], [c for c in stored if c not in given]
             raise ValueError(f"columns of {path} changed (or their order); added {added}, removed {removed}; rebuild the table")
     rows = df.drop(PARTITION).withColumn(PARTITION, F.lit(snapshot))
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(path))
+    _note_schema(rows, path)
+    if rows.isEmpty():                                       # a dynamic overwrite leaves partitions without new rows alone
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path, f"{PARTITION}={snapshot}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def rebuild(frames: Iterable[DataFrame], path: str) -> None:
