@@ -197,7 +197,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         return pa.table({"machine": table["machine"][:1], "weights": pa.array([weights], pa.list_(pa.float32())), "bias": pa.array([bias])})
 
     fitted = sample.join(F.broadcast(jobs), "_lang").groupBy("machine").applyInArrow(
-        fit, "machine int, weights array<float>, bias double").orderBy("machine").toArrow()
+        fit, "machine int, weights array<float>, bias double").toArrow().sort_by("machine")     # orderBy would fit twice, for its ranges
     return Model(families, pairs, np.stack([np.array(w.as_py(), dtype=np.float32) for w in fitted["weights"]], axis=1), fitted["bias"].to_numpy())
 
 
