@@ -62,22 +62,16 @@ _RANKED = """r AS (SELECT job_id, job_title, category, concept, hit, round(sim,
   row_number() OVER (PARTITION BY concept, hit ORDER BY round(sim, 9) DESC, job_id) AS rn FROM cells)"""
 
 
-def _even_ties(rows):
-    """Equal vectors must tie exactly, so rank on rounded similarities."""
-    return rows.withColumn("cells", F.transform("cells", lambda c: F.struct(
-        c.concept.alias("concept"), c.hit.alias("hit"), F.round(c.sim, 9).alias("sim"))))
-
-
 @check("concept_examples", f"""{_ALL}, {_RANKED}
 SELECT concept, job_id, job_title, category, s AS anchor_similarity FROM r WHERE hit AND rn <= 10""")
 def concept_examples(spark, folder):
-    return rounded(concepts.concept_examples(_even_ties(tagged(spark, folder)), ["job_title", "category"], "job_id"), 9)
+    return rounded(concepts.concept_examples(tagged(spark, folder), ["job_title", "category"], "job_id"), 9)
 
 
 @check("concept_candidates", f"""{_ALL}, {_RANKED}
 SELECT concept, job_id, job_title, s AS anchor_similarity FROM r WHERE NOT hit AND rn <= 30""")
 def concept_candidates(spark, folder):
-    return rounded(concepts.concept_candidates(_even_ties(tagged(spark, folder)), ["job_title"], "job_id"), 9)
+    return rounded(concepts.concept_candidates(tagged(spark, folder), ["job_title"], "job_id"), 9)
 
 
 @check("concept_counts", f"""WITH {PARTS}, {CONCEPTS} SELECT count(DISTINCT job_id) AS n_digital_jobs,
@@ -117,7 +111,7 @@ def concept_pay(spark, folder):
 @check("concept_members", f"""{_ALL}, g AS (SELECT *, round(sim, 9) AS s FROM cells WHERE hit AND concept = 'gears')
 SELECT job_id, job_title, salary_month_min, s AS anchor_similarity FROM g ORDER BY s DESC, job_id LIMIT 100""")
 def concept_members(spark, folder):
-    scores = concepts.concept_hits(_even_ties(tagged(spark, folder)), ["job_id"])
+    scores = concepts.concept_hits(tagged(spark, folder), ["job_id"])
     members = concepts.concept_members(scores, parts(spark, folder), "gears", ["job_title", "salary_month_min"])
     return rounded(members, 9)
 
@@ -137,7 +131,7 @@ e AS (SELECT concept, count(*) FILTER (hit) AS n_hits, count(*) FILTER (hit AND
 SELECT concept, n_hits, n_found, round(n_found / NULLIF(n_hits, 0), 12) AS recall_at_top, round(median_hits, 12) AS median_hits,
   round(p99_all, 12) AS p99_all, p99_all > median_hits AS p99_beats_hits FROM e""")
 def keyword_vs_vector_eval(spark, folder):
-    return rounded(concepts.keyword_vs_vector(_even_ties(tagged(spark, folder)), "job_id"), 12)
+    return rounded(concepts.keyword_vs_vector(tagged(spark, folder), "job_id"), 12)
 
 
 @check("headline_metrics", f"""{_ALL}, {YEARLY}, {SERIES},
@@ -157,8 +151,8 @@ SELECT 'by_concept' AS name, concept AS group_key, rn AS rank, job_id, job_title
 FROM r WHERE hit AND rn <= 100""")
 def export_nested(spark, folder):
     """The nested per-concept documents, opened again into rows."""
-    hits = concepts.concept_hits(_even_ties(tagged(spark, folder)), ["job_id", "job_title"])
-    nested = export.nest_top(hits, "concept", [F.col("anchor_similarity").desc(), F.col("job_id")],
+    hits = concepts.concept_hits(tagged(spark, folder), ["job_id", "job_title"])
+    nested = export.nest_top(hits, "concept", [F.round("anchor_similarity", concepts.TIE_DIGITS).desc(), F.col("job_id")],
                              export.TOP_PER_CONCEPT, "by_concept")
     body = "array<struct<rank:bigint,job_id:bigint,job_title:string,anchor_similarity:double>>"
     return rounded(nested.select("name", "group_key", F.inline(F.from_json("document", body))), 9)

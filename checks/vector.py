@@ -68,11 +68,12 @@ def similar(spark, folder):
 
 
 @check("l2_normalize", """
-WITH u AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) * 3 AS x FROM embeddings)
-SELECT vec_id, round(sqrt(sum(x * x)) / sqrt(sum(x * x)), 6) AS length FROM u GROUP BY 1""")
+WITH u AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) * 3 AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
+SELECT vec_id, i, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 9) AS value FROM u""")
 def l2(spark, folder):
-    rows = table(spark, folder, "embeddings").withColumn("_v", F.transform("embedding", lambda x: x * 3))
-    return rounded(rows.select("vec_id", norm(l2_normalize(F.col("_v"))).alias("length")))
+    rows = table(spark, folder, "embeddings").withColumn("_v", F.transform("embedding", lambda x: x.cast("double") * 3))
+    parts_of = rows.select("vec_id", F.posexplode(l2_normalize(F.col("_v"))).alias("_i", "value"))
+    return rounded(parts_of.select("vec_id", (F.col("_i") + 1).cast("long").alias("i"), "value"), 9)
 
 
 @check("company_shift", f"""WITH {VECTOR_SNAPSHOTS},
@@ -221,8 +222,8 @@ def emergent_renumber(spark, folder):
 SELECT n, round(noise_ratio, 6) AS noise_ratio, n_clusters, noise_ratio > 0.40 OR n_clusters < 8 AS fallback FROM q""")
 def fallback_gate(spark, folder):
     quality = clusters.cluster_quality(yearly(spark, folder))
-    gate = (F.col("noise_ratio") > S.NOISE_LIMIT) | (F.col("n_clusters") < S.MIN_CLUSTERS)
-    return rounded(quality.withColumn("fallback", gate))
+    found = quality.head()
+    return rounded(quality.withColumn("fallback", F.lit(clusters.needs_fallback(found["noise_ratio"], found["n_clusters"]))))
 
 
 @check("pca_explained")

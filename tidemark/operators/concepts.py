@@ -14,6 +14,7 @@ from tidemark.operators.ranking import exact_quantiles, top_n
 from tidemark.session import small_table
 
 SEPARATION_GUARD = 1e-9
+TIE_DIGITS = 9                 # similarities are ranked at this precision, so that equal vectors tie exactly
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -97,7 +98,8 @@ def concept_examples(tagged: DataFrame, columns: list[str], key: str, n: int = S
                      hit: bool = True) -> DataFrame:
     """Per concept, the ``n`` hits (or non-hits) with the highest anchor similarity."""
     wanted = F.filter("cells", lambda c: c.getField("hit") == F.lit(hit))
-    rows = tagged.select(key, *columns, F.inline(wanted)).drop("hit").withColumnRenamed("sim", "anchor_similarity")
+    rows = tagged.select(key, *columns, F.inline(wanted)).drop("hit").withColumn(
+        "anchor_similarity", F.round("sim", TIE_DIGITS)).drop("sim")
     return top_n(rows, ["concept"], [F.col("anchor_similarity").desc_nulls_last(), F.col(key).asc()], n)
 
 
@@ -140,7 +142,8 @@ def concept_members(scores: DataFrame, postings: DataFrame, concept: str, column
     if limit > 1000:
         raise ValueError("limit is at most 1000")
     known = scores.where(F.col("concept") == concept).join(postings.select(key), key, "left_semi")
-    best = known.orderBy(F.col("anchor_similarity").desc(), key).limit(limit).select(key, "anchor_similarity")
+    even = known.withColumn("anchor_similarity", F.round("anchor_similarity", TIE_DIGITS))
+    best = even.orderBy(F.col("anchor_similarity").desc(), key).limit(limit).select(key, "anchor_similarity")
     return best.join(postings.select(key, *columns), key)
 
 
@@ -152,7 +155,7 @@ def concept_pivot(cross: DataFrame, concepts: list[str], value: str = "n") -> Da
 def keyword_vs_vector(tagged: DataFrame, key: str, top: int = 500) -> DataFrame:
     """Per concept: share of keyword hits among the ``top`` rows by anchor similarity, and whether the
     99th percentile of everyone exceeds the median of the hits."""
-    long = tagged.select(key, F.inline("cells"))
+    long = tagged.select(key, F.inline("cells")).withColumn("sim", F.round("sim", TIE_DIGITS))
     totals = long.groupBy("concept").agg(F.count(F.when(F.col("hit"), 1)).alias("n_hits"))
     ranked = top_n(long, ["concept"], [F.col("sim").desc_nulls_last(), F.col(key).asc()], top)
     found = ranked.groupBy("concept").agg(F.count(F.when(F.col("hit"), 1)).alias("n_found"))

@@ -122,8 +122,10 @@ class Reports:
     def _tagged_postings(self) -> DataFrame:
         return self.table("postings").where(F.col("snapshot_date") == self._reference())
 
-    def concept_cross(self, dimension: str = "職務類別", min_n: int = 1) -> DataFrame:
-        column = clean.resolve_dimension(dimension, self.dimensions)
+    def concept_cross(self, dimension: str | None = None, min_n: int = 1) -> DataFrame:
+        """By default over the job category, or over the first dimension if that one is not among them."""
+        usual = "職務類別" if "職務類別" in self.dimensions else next(iter(self.dimensions))
+        column = clean.resolve_dimension(dimension or usual, self.dimensions)
         return concepts.concept_cross(self.table("concept_scores"), self._tagged_postings(), column, min_n).orderBy(
             "concept", F.col("n").desc(), "category")
 
@@ -178,7 +180,8 @@ class Reports:
         hits = self.table("concept_scores").drop("snapshot_date").join(
             self._tagged_postings().select("job_id", *_CONCEPT_COLUMNS), "job_id")
         by_concept = export.nest_top(
-            hits, "concept", [F.col("anchor_similarity").desc(), F.col("job_id")], export.TOP_PER_CONCEPT, "by_concept")
+            hits, "concept", [F.round("anchor_similarity", concepts.TIE_DIGITS).desc(), F.col("job_id")],
+            export.TOP_PER_CONCEPT, "by_concept")
         export.write_documents(by_cluster.unionByName(by_concept), f"{path}/jobs")
 
 
