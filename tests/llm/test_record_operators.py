@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.edge import documents, none, plain
 from tidemark.llm import blocks, chat, queries, sharding, simhash, tiling, warc
-from tidemark.llm.common import forest
+from tidemark.llm.common import components, forest, with_least
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,6 +65,19 @@ def test_tiles_lose_no_link(spark, cap):
     assert {n: sorted(signed)[label[i]] for n, i in index.items()} == expected
 
 
+def test_components_of_hubs_chains_and_nothing(spark):
+    hub = [(5, 100 + i) for i in range(500)] + [(600 + i, 601 + i) for i in range(30)] + [(7, 7), (3, 105), (3, 105)]
+    found = {r.node: r.root for r in components(spark.createDataFrame(hub, "a bigint, b bigint")).collect()}
+    assert found == {3: 3, 5: 3, **{100 + i: 3 for i in range(500)}, **{600 + i: 600 for i in range(31)}}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_least_of_a_hot_key(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("k"), F.col("id").alias("v"))
+    got = {(r.k, r.v): r.m for r in with_least(rows, "k", "v", "m", "v > 5").collect()}
+    assert got == {(v if v % 3 == 0 else -1, v): v if v % 3 == 0 else 1 for v in range(6, 3000)}
+
+
 def test_near_duplicate_edges(spark):
     docs = documents(spark)
     rows = simhash.near_duplicates(docs).collect()

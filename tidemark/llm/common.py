@@ -10,12 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import cut
 
 SLICE_BYTES = 1 << 20
+SALTS = 64
 
 #: fixed values: the bytes that separate words, U+0020 and U+0009 to U+000D
 SPACES = np.zeros(256, dtype=bool)
@@ -124,12 +125,24 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = up
 
 
+def with_least(rows: DataFrame, key: str, value: str, out: str, keep: str = "true") -> DataFrame:
+    """The rows that ``keep``, plus ``out``: the least ``value`` among all rows of their key.
+
+    A key is split over ``SALTS`` parts: minima of the parts are settled first, and rows are joined by key and
+    part, so a key that holds most rows is spread over tasks.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)))
+    parts = salted.groupBy(key, "_salt").agg(F.min(value).alias("_part"))
+    least = parts.select(key, "_salt", F.min("_part").over(Window.partitionBy(key)).alias(out))   # SALTS rows a key at most
+    return salted.where(keep).join(least, [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node it reaches.
 
     Alternates two star steps: each node hands its larger neighbours to its least neighbour, then its smaller
-    ones.  Degrees shrink every round; minima combine on the map side and the hub joins can be split by Spark.
-    Each round is written to the checkpoint folder.  No edges give no rows.
+    ones.  Degrees shrink every round; a hub is split by :func:`with_least`.  Each round is written to the
+    checkpoint folder.  No edges give no rows.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
@@ -140,10 +153,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = mark
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        large = with_least(both, "a", "b", "m", "b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        small = with_least(large, "a", "b", "m")
         now = cut(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             small.select("a", F.col("m").alias("b"))).distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

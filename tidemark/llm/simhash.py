@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, forest, mix
+from tidemark.llm.common import components, forest, mix, with_least
 from tidemark.session import cut
 
 SEED = 42
@@ -191,8 +191,7 @@ def groups(marks: DataFrame, first: str, radius: int, words64: int = 1) -> DataF
     prints = cut(marks.groupBy(*names).agg(F.min(first).alias("_first")).withColumn("node", node))
     roots = components(links(prints, radius, words64))
     rooted = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("_first").alias("component"))
-    return marks.join(rooted.join(least, "root").select(*names, "component"), names)
+    return marks.join(with_least(rooted, "root", "_first", "component").select(*names, "component"), names)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, radius: int = 3) -> DataFrame:
