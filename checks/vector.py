@@ -179,11 +179,9 @@ def _keyed(spark, folder):
 def _density_sql(source: str, eps: float, samples: int, size: str) -> str:
     return f"""WITH RECURSIVE e AS ({source}),
 sims AS (SELECT a.job_id AS q, b.job_id AS p, round(list_dot_product(a.vec, b.vec), 9) AS sim FROM e a, e b),
-near AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, p) AS rank FROM sims QUALIFY rank <= 15),
-core AS (SELECT q AS id FROM near WHERE rank = {samples} AND sim >= {eps}),
-edge AS (SELECT q, p FROM near WHERE sim >= {eps} AND q <> p AND q IN (FROM core) AND p IN (FROM core)),
-both_ways AS (SELECT q, p FROM edge UNION SELECT p, q FROM edge),
-reach(a, b) AS (SELECT job_id, job_id FROM e UNION SELECT r.a, x.p FROM reach r JOIN both_ways x ON r.b = x.q),
+core AS (SELECT q AS id FROM sims WHERE sim >= {eps} GROUP BY 1 HAVING count(*) >= {samples}),
+edge AS (SELECT q, p FROM sims WHERE sim >= {eps} AND q <> p AND q IN (FROM core) AND p IN (FROM core)),
+reach(a, b) AS (SELECT job_id, job_id FROM e UNION SELECT r.a, x.p FROM reach r JOIN edge x ON r.b = x.q),
 part AS (SELECT a AS job_id, min(b) AS component FROM reach GROUP BY 1),
 big AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS no FROM part GROUP BY 1
         HAVING count(*) >= {size})
@@ -195,7 +193,7 @@ _ALL_VECTORS = "SELECT vec_id AS job_id, CAST(embedding AS DOUBLE[]) AS vec FROM
 
 @check("density_cluster", _density_sql(_ALL_VECTORS, 0.28, 5, "25"))
 def density_cluster(spark, folder):
-    return clusters.density_clusters(_keyed(spark, folder), 25, 5, 0.28, k=15)
+    return clusters.density_clusters(_keyed(spark, folder), 25, 5, 0.28)
 
 
 @check("discover_residue", _density_sql(
@@ -204,8 +202,19 @@ def density_cluster(spark, folder):
 def discover_residue(spark, folder):
     """Structure among the rows whose label the early snapshot does not know."""
     residue = _keyed(spark, folder).where("cluster_id IN (7, 8, 9)").select("job_id", "vec")
-    min_size = max(S.DENSITY_MIN_SIZE, int(residue.count() * S.RESIDUE_MIN_FRACTION))
-    return clusters.density_clusters(residue, min_size, S.RESIDUE_MIN_SAMPLES, 0.20, k=15)
+    return clusters.discover_residue(residue, 0.20)
+
+
+_COPIES = """SELECT vec_id * 100 + i AS job_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings,
+  (SELECT unnest(range(4)) AS i) WHERE i < 1 + vec_id % 4"""
+
+
+@check("density_duplicates", _density_sql(_COPIES, 0.34, 8, "10"))
+def density_duplicates(spark, folder):
+    """Every vector one to four times: copies count, and do not hide the neighbours behind them."""
+    copies = table(spark, folder, "embeddings").select(
+        F.col("vec_id"), F.explode(F.sequence(F.lit(0), (F.col("vec_id") % 4).cast("int"))).alias("i"), F.col("embedding").alias("vec"))
+    return clusters.density_clusters(copies.select((F.col("vec_id") * 100 + F.col("i")).alias("job_id"), "vec"), 10, 8, 0.34)
 
 
 @check("emergent_renumber", f"""WITH {YEARLY}

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark import settings as S
 from tidemark.operators.ranking import latest_per_key, top_n
 
 
@@ -46,7 +45,7 @@ def first_seen(rows: DataFrame, key: str | list[str], arrival: list[Column], lan
     return fresh.join(landed.select(*keys).distinct(), keys, "left_anti") if landed is not None else fresh
 
 
-def cap_per_bucket(rows: DataFrame, bucket: str, order: list[Column], cap: int = S.CAP_PER_BUCKET) -> DataFrame:
+def cap_per_bucket(rows: DataFrame, bucket: str, order: list[Column], cap: int) -> DataFrame:
     """At most ``cap`` rows per bucket, in arrival order."""
     return top_n(rows, [bucket], order, cap)
 

@@ -58,6 +58,11 @@ class _Cells:
         gap = np.maximum(np.maximum(angles - self.high, self.low - angles) - _ANGLE_SLACK, 0.0)
         return (np.cos(gap) >= bound[:, None]) & (self.count > 0) & ~self.first_round(angles, k)
 
+    def within(self, angles: np.ndarray, reach: float) -> np.ndarray:
+        """Mask of the cells that may hold a row at an angle of at most ``reach``."""
+        gap = np.maximum(angles - self.high, self.low - angles) - _ANGLE_SLACK
+        return (gap <= reach) & (self.count > 0)
+
 
 def _list_of_cells(mask: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(mask.sum(axis=1))]).astype(np.int32)
@@ -130,9 +135,8 @@ def _local_top_k(k: int, payload: bool):
     return run
 
 
-def _block_top_k(probes: DataFrame, pool: DataFrame, counts: np.ndarray, k: int, block_rows: int,
-                 schema: str, payload: bool) -> DataFrame:
-    """Candidates of all (query, cell) probes; both sides of a cell are cut into blocks of bounded size."""
+def _in_blocks(probes: DataFrame, pool: DataFrame, counts: np.ndarray, block_rows: int, run: Callable, schema: str) -> DataFrame:
+    """``run`` over all (query, cell) probes; both sides of a cell are cut into blocks of bounded size."""
     asked = {r["_cell"]: r["n"] for r in probes.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = probes.sparkSession
     plan = small_table(
@@ -147,7 +151,7 @@ def _block_top_k(probes: DataFrame, pool: DataFrame, counts: np.ndarray, k: int,
     task = ["_cell", "_qb", "_pb"]
     left = spread(probes, "_q", "_qblocks", "_pblocks", "_qb", "_pb").groupBy(*task)
     right = spread(pool, "_p", "_pblocks", "_qblocks", "_pb", "_qb").groupBy(*task)
-    return left.cogroup(right).applyInArrow(_local_top_k(k, payload), schema)
+    return left.cogroup(right).applyInArrow(run, schema)
 
 
 def knn_join(queries: DataFrame, pool: DataFrame, k: int = S.KNN_K, key: str = "job_id", vec: str = "vec",
@@ -173,7 +177,7 @@ def knn_join(queries: DataFrame, pool: DataFrame, k: int = S.KNN_K, key: str = "
             found.first_round(found.angles(matrix[part]), k)), pa.list_(pa.int32()))
 
     probes = q.select("*", F.explode(first("_v")).alias("_cell"))
-    near = _block_top_k(probes, placed, found.count, k, block_rows, schema, bool(label))
+    near = _in_blocks(probes, placed, found.count, block_rows, _local_top_k(k, bool(label)), schema)
     if int((found.count > 0).sum()) == 1:
         return _named(near, k, label)
 
@@ -188,7 +192,7 @@ def knn_join(queries: DataFrame, pool: DataFrame, k: int = S.KNN_K, key: str = "
 
     open_bound = F.when(F.col("_have") >= k, F.col("_bound") - 10.0 ** -SIM_DIGITS).otherwise(F.lit(-2.0))
     more = q.join(reached, "_q").select("_q", "_v", F.explode(rest("_v", open_bound)).alias("_cell"))
-    far = _block_top_k(more, placed, found.count, k, block_rows, schema, bool(label))
+    far = _in_blocks(more, placed, found.count, block_rows, _local_top_k(k, bool(label)), schema)
     return _named(near.unionByName(far), k, label)
 
 
@@ -199,6 +203,80 @@ def _named(candidates: DataFrame, k: int, label: str | None) -> DataFrame:
         *([F.col("_label").alias("neighbor_label")] if label else []))
 
 
+# --- all links at a similarity ----------------------------------------------------------------
+def _slices(queries: pa.Table, pool: pa.Table, least: float):
+    """(first row, mask of pool rows at ``least`` or more) for a few query rows at a time."""
+    q, p = (as_matrix(t["_v"].combine_chunks()) for t in (queries, pool))
+    for start in range(0, len(q) if len(p) else 0, _ROWS_AT_ONCE):
+        yield start, np.round(q[start:start + _ROWS_AT_ONCE] @ p.T, SIM_DIGITS) >= least
+
+
+def density_links(rows: DataFrame, least: float, min_weight: int, cells: int | None = None,
+                  block_rows: int = 4096) -> DataFrame:
+    """Links (src, dst) among dense rows of ``rows`` (id, vec, weight) at similarity ``least`` or more.
+
+    A row is dense if the rows at ``least`` or more, itself included, weigh ``min_weight``.  Every pair that can
+    reach ``least`` is compared, in blocks, and each pair of blocks gives a spanning forest of its links: no
+    component is lost, and a dense crowd never becomes all its pairs.
+    """
+    id_type = dict(rows.dtypes)["id"]
+    pool = cut(rows.select(F.col("id").alias("_p"), F.col("vec").alias("_v"), F.col("weight").cast("long").alias("_w")))
+    n = pool.count()
+    if not n:
+        return rows.sparkSession.createDataFrame([], f"src {id_type}, dst {id_type}")
+    found, placed = _build_cells(pool, n, cells)
+    reach = math.acos(min(1.0, max(-1.0, least - 10.0 ** -SIM_DIGITS)))
+
+    @F.arrow_udf("array<int>")
+    def reachable(values: pa.Array) -> pa.Array:
+        matrix = as_matrix(values)
+        return _in_chunks(len(matrix), lambda part: _list_of_cells(
+            found.within(found.angles(matrix[part]), reach)), pa.list_(pa.int32()))
+
+    placed = cut(placed.withColumn("_cells", reachable("_v")))
+
+    def weigh(queries: pa.Table, others: pa.Table) -> pa.Table:
+        weight, total = others["_w"].to_numpy(), np.zeros(len(queries), dtype=np.int64)
+        for start, mask in _slices(queries, others, least):
+            total[start:start + len(mask)] = mask @ weight
+        return pa.table({"_q": queries["_q"], "_near": pa.array(total)})
+
+    probes = placed.select(F.col("_p").alias("_q"), F.col("_v").alias("_v"), F.explode("_cells").alias("_cell"))
+    near = _in_blocks(probes, placed.drop("_cells"), found.count, block_rows, weigh, f"_q {id_type}, _near bigint")
+    dense = cut(near.groupBy("_q").agg(F.sum("_near").alias("_near")).where(F.col("_near") >= min_weight)
+                .select(F.col("_q").alias("_p")).join(placed, "_p"))
+
+    def link(queries: pa.Table, others: pa.Table) -> pa.Table:
+        ids = pa.chunked_array([*queries["_q"].chunks, *others["_p"].chunks], queries["_q"].type).combine_chunks().dictionary_encode()
+        index, names = ids.indices.to_numpy(), ids.dictionary
+        left, right = index[:len(queries)], index[len(queries):]
+        label = np.arange(len(names))
+        for start, mask in _slices(queries, others, least):
+            i, j = np.nonzero(mask)
+            label = linked_labels(label, left[i + start], right[j])
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        return pa.table({"src": names.take(pa.array(moved)), "dst": names.take(pa.array(label[moved]))})
+
+    # a pair of cells is looked at from the later one
+    once = dense.select(F.col("_p").alias("_q"), F.col("_v").alias("_v"), F.explode(
+        F.filter("_cells", lambda c: c <= F.col("_cell"))).alias("_to")).withColumnRenamed("_to", "_cell")
+    return _in_blocks(once, dense.select("_p", "_v", "_cell"), found.count, block_rows, link, f"src {id_type}, dst {id_type}")
+
+
+def linked_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label`` (each item's least known companion) after also linking items ``i`` with items ``j``."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+
+
 # --- vote -------------------------------------------------------------------------------------
 def knn_vote(neighbors: DataFrame, k: int, vote_ratio: float = S.KNN_VOTE_RATIO,
              sim_floor: float = S.KNN_SIM_FLOOR) -> DataFrame:

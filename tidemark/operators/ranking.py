@@ -8,10 +8,26 @@ from pyspark.sql import functions as F
 #: up to this N Spark itself cuts each map task to N rows per group before the shuffle
 _MAP_SIDE_LIMIT = 1000
 _SALTS = 1024
+PARTS = 64
 _BINS_PER_E, _BIN_OFFSET = 1024, 800_000
 _MAX_TARGETS = 20_000
 
 
+def salt(column: str) -> Column:
+    """The part of a hot key that a row belongs to."""
+    return F.pmod(F.xxhash64(column), F.lit(PARTS))
+
+
+def salted_lookup(rows: DataFrame, key: str, spread_by: str, table: DataFrame) -> DataFrame:
+    """Inner join of ``rows`` with ``table`` (unique ``key``); a key that most rows share is spread over tasks.
+
+    The table is first joined to the parts of each key that occur, so nothing is copied that is not asked for.
+    """
+    salted = rows.withColumn("_salt", salt(spread_by))
+    asked = salted.select(key, "_salt").distinct().join(table, key)
+    return salted.join(asked, [key, "_salt"]).drop("_salt")
+
+
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str | None = None) -> DataFrame:
     """First ``n`` rows of each group; ``rank`` keeps the row number under that name.
 
