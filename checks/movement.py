@@ -251,3 +251,13 @@ def pay_quantiles(spark, folder):
     orders = table(spark, folder, "orders")
     return rounded(ranking.exact_quantiles(
         orders, ["o_orderpriority"], "o_totalprice", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}))
+
+
+@check("epoch_quantiles", """
+SELECT event_type, round(quantile_cont(epoch(ts), 0.5), 3) AS p50, round(quantile_cont(epoch(ts), 0.99), 3) AS p99
+FROM events GROUP BY 1""")
+def epoch_quantiles(spark, folder):
+    """Seconds since 1970 lie in very few value bins."""
+    events = table(spark, folder, "events").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    seconds = events.select("event_type", (F.col("us") / 1e6).alias("seconds"))
+    return rounded(ranking.exact_quantiles(seconds, ["event_type"], "seconds", {"p50": 0.5, "p99": 0.99}), 3)

@@ -28,11 +28,16 @@ def test_exact_quantiles_by_group_with_null_key(spark):
         assert got[None if key == "null" else key] == pytest.approx(group.v.median())
 
 
-def test_exact_quantiles_without_broadcast_targets(spark, monkeypatch):
-    df = spark.range(1000).select((F.col("id") % 7).alias("k"), F.sqrt("id").alias("v"))
-    want = sorted(map(tuple, ranking.exact_quantiles(df, ["k"], "v", {"m": 0.5}).collect()))
-    monkeypatch.setattr(ranking, "_MAX_TARGETS", 2)
-    assert sorted(map(tuple, ranking.exact_quantiles(df, ["k"], "v", {"m": 0.5}).collect())) == want
+def test_exact_quantiles_of_values_in_one_bin(spark):
+    """Epoch seconds share one bin; it is cut again, and a part with many equal values stays exact."""
+    rng = np.random.default_rng(8)
+    seconds = 1698693053.0 + np.concatenate([rng.integers(0, 300_000, 9000), np.full(4000, 77_777)])
+    df = spark.createDataFrame(pd.DataFrame({"k": np.arange(len(seconds)) % 3 // 2, "v": seconds}))
+    assert df.select(ranking._value_bin(F.col("v"))).distinct().count() == 1
+    probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.99, "e": 1.0}
+    for row in ranking.exact_quantiles(df, ["k"], "v", probs).collect():
+        mine = seconds[np.arange(len(seconds)) % 3 // 2 == row.k]
+        assert [row[n] for n in probs] == pytest.approx([np.quantile(mine, p) for p in probs.values()], rel=1e-15)
 
 
 def test_top_n_large_n_equals_plain_window(spark, monkeypatch):

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 #: up to this N Spark itself cuts each map task to N rows per group before the shuffle
 _MAP_SIDE_LIMIT = 1000
 _SALTS = 1024
 PARTS = 64
 _BINS_PER_E, _BIN_OFFSET = 1024, 800_000
-_MAX_TARGETS = 20_000
+_SUB_BINS = 1 << 16
 
 
 def salt(column: str) -> Column:
@@ -62,9 +64,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
 
     The built-in exact percentile keeps every distinct value of a group in one buffer.  Here a first pass
     counts rows per (group, value bin), which combines on the map side, and finds the bins that hold the
-    wanted ranks.  A second pass keeps only rows of those bins, so nothing but a sliver of the input is
-    shuffled or sorted.  The wanted bins are fetched (two per group and probability at most) and given
-    back as a small table; if there are more than ``_MAX_TARGETS`` the join is left to Spark.
+    wanted ranks.  A second pass keeps only rows of those bins.  Since a column may lie in one bin as a whole
+    (years, epoch seconds), each wanted bin is cut again into ``_SUB_BINS`` equal parts between its least and
+    largest value, and only the values of the parts that hold a wanted rank are put in order.  The wanted bins are
+    written, so that their size decides the join.
 
     The input is read twice: cut it first if it is costly to compute.
     """
@@ -73,24 +76,34 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         *keys, number.alias("_v")).withColumn("_bin", _value_bin(F.col("_v")))
     by_group = Window.partitionBy(*keys)
     bins = (
-        finite.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_in"))
-        .select(*keys, "_bin", "_in", F.sum("_in").over(by_group.orderBy("_bin")).alias("_end"),
+        finite.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .select(*keys, "_bin", "_in", "_lo", "_hi", F.sum("_in").over(by_group.orderBy("_bin")).alias("_end"),
                 F.sum("_in").over(by_group).alias("_total")))
     ranks = [f"{edge}((_total - 1) * {float(p)!r}D)" for p in probs.values() for edge in ("floor", "ceil")]
     wanted = " OR ".join(f"(_end - _in <= {r} AND {r} < _end)" for r in dict.fromkeys(ranks))
-    targets = bins.where(wanted).select(
+    targets = cut(bins.where(wanted).select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bin").alias("_b"),
-        (F.col("_end") - F.col("_in")).alias("_before"), "_total")
-    fetched = targets.limit(_MAX_TARGETS + 1).toArrow()
-    if fetched.num_rows <= _MAX_TARGETS:
-        targets = df.sparkSession.createDataFrame(fetched, targets.schema)
-    same = F.col("_bin") == F.col("_b")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    counted = finite.join(targets, same).groupBy(*keys, "_bin", "_before", "_total", "_v").agg(
-        F.count(F.lit(1)).alias("_n"))
-    running = Window.partitionBy(*keys, "_bin").orderBy("_v")
-    placed = counted.withColumn("_stop", F.col("_before") + F.sum("_n").over(running))
+        (F.col("_end") - F.col("_in")).alias("_before"), "_total", "_lo", "_hi"))
+
+    def matched(*pairs: tuple[str, str]) -> Column:
+        same = F.lit(True)
+        for ours, theirs in (*pairs, *[(k, f"_k{i}") for i, k in enumerate(keys)]):
+            same = same & F.col(ours).eqNullSafe(F.col(theirs))
+        return same
+
+    part = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _SUB_BINS), F.lit(_SUB_BINS - 1))
+    counted = finite.join(targets, matched(("_bin", "_b"))).withColumn(
+        "_sub", F.when(F.col("_hi") > F.col("_lo"), part).otherwise(0).cast("int")).groupBy(
+        *keys, "_bin", "_before", "_total", "_sub", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    parts = (
+        counted.groupBy(*keys, "_bin", "_before", "_total", "_sub").agg(F.sum("_n").alias("_in"))
+        .withColumn("_end", F.col("_before") + F.sum("_in").over(Window.partitionBy(*keys, "_bin").orderBy("_sub")))
+        .where(wanted).select(
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bin").alias("_b"), F.col("_sub").alias("_s"),
+            (F.col("_end") - F.col("_in")).alias("_start")))
+    running = Window.partitionBy(*keys, "_bin", "_sub").orderBy("_v")
+    placed = counted.join(parts, matched(("_bin", "_b"), ("_sub", "_s"))).withColumn(
+        "_stop", F.col("_start") + F.sum("_n").over(running))
     picks, out = [], []
     for name, p in probs.items():
         at = f"((_total - 1) * {float(p)!r}D)"
