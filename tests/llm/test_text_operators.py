@@ -154,6 +154,14 @@ def test_bands_reject_noise_and_keep_prose(spark):
     assert all(rows[i] for i in range(60)) and not any(rows[100 + i] for i in range(3))
 
 
+def test_bands_against_the_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in queries.op2_perplexity(spark, folder).collect()}
+    judged = [(r.quality, rows[r.doc_id].kept) for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.doc_id in rows and not rows[r.doc_id].base_failed]
+    bad, good = ([kept for quality, kept in judged if quality == q] for q in (0, 1))
+    assert bad.count(False) >= 0.75 * len(bad) > 0 and good.count(False) <= 0.02 * len(good)
+
+
 def test_quality_edges(spark):
     docs = documents(spark)
     rows = perplexity.quality(docs).collect()
