@@ -162,6 +162,24 @@ def test_bands_against_the_labels(spark):
     assert bad.count(False) >= 0.75 * len(bad) > 0 and good.count(False) <= 0.02 * len(good)
 
 
+def prose(rng, n):
+    words = ["the", "cat", "house", "of", "and", "river", "to", "green", "walks", "in", "old", "stone"]
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+def test_bands_of_single_texts_and_hot_copies(spark):
+    """One text per language, only copies, and copies that hold both quartiles: a clean text stays, noise goes."""
+    rng = random.Random(8)
+    copy = prose(rng, 120)
+    rows = [(0, prose(rng, 120), "one"), (1, prose(rng, 120), None), *((10 + i, copy, "same") for i in range(5))]
+    rows += [(100 + i, copy, "hot") for i in range(90)] + [(200 + i, prose(rng, 120), "hot") for i in range(30)]
+    noise = [(300 + i, " ".join("".join(rng.choice("qxzjvkw#%&0123") for _ in range(7)) for _ in range(120)), "hot") for i in range(2)]
+    found = perplexity.quality(spark.createDataFrame(rows + noise, "doc_id bigint, text string, lang string")).collect()
+    kept = {r.doc_id: r.kept for r in found}
+    assert len(kept) == len(rows) + 2 and {k for k in kept if not kept[k]} == {300, 301}
+    assert all(np.log(r.most_perplexity / r.least_perplexity) >= 2 * perplexity.LEAST_WIDTH - 1e-9 for r in found)
+
+
 def test_quality_edges(spark):
     docs = documents(spark)
     rows = perplexity.quality(docs).collect()
