@@ -101,6 +101,28 @@ def test_stage_drops_near_copies_and_keeps_others(spark):
     assert kept == {0, *range(10, 30)}
 
 
+def test_stage_finds_pairs_of_similarity_just_over_the_level(spark):
+    """Pairs of similarity 0.80 to 0.82 and one of equal sets but repeated lines are found, pairs under 0.79 stay."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10 ** 6)}"
+    rows, similar = [], {}
+    for g in range(400):
+        body = [word() for _ in range(304)]
+        near = list(body)
+        for at in range(4, 300, 300 // rng.choice([5, 6, 7]))[:7]:
+            near[at] = word()
+        a, b = simhash.shingle_set(" ".join(body), 5), simhash.shingle_set(" ".join(near), 5)
+        similar[g] = simhash.similarity(a, b)
+        rows += [(2 * g, " ".join(body)), (2 * g + 1, " ".join(near))]
+    line = " ".join(word() for _ in range(30))
+    rest = " ".join(word() for _ in range(150))
+    rows += [(1000, f"{line} {rest}"), (1001, f"{' '.join([line] * 20)} {rest}")]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    lost = [g for g, s in similar.items() if s >= 0.8 and 2 * g + 1 in kept]
+    assert sum(0.8 <= s < 0.83 for s in similar.values()) > 80 and len(lost) <= 2
+    assert all(2 * g + 1 in kept for g, s in similar.items() if s < 0.8) and 1000 in kept and 1001 not in kept
+
+
 # --- leaks ------------------------------------------------------------------------------------
 def coverage(item, doc, k=5):
     windows = collections.Counter(tuple(doc[i:i + k]) for i in range(len(doc) - k + 1))

@@ -8,12 +8,13 @@ paired, and inside a pair of tiles each block of rows meets only the rows within
 Bands keep the pairs of tiles from growing with the square of the corpus:
 
 * one 64-bit word and a small radius: ``radius + 1`` blocks of bits, of which one must be equal, so no link is lost;
-* the wide fingerprint of the corpus stage: 24 blocks of ten bits.  A pair of similarity 0.8 differs in 15 % of its
-  bits and shares a block with probability 0.995; the blocks are part of what a link is there.
+* the wide fingerprint of the corpus stage: 28 blocks of nine bits.  The fingerprint only proposes pairs there; each
+  is confirmed by the exact similarity of its shingle sets before components are built.
 
 A band with more than ``cap`` rows is cut into tiles of about ``cap`` rows, spread over tasks; smaller bands
 are packed into groups of about ``cap`` rows.  Nothing is dropped at any size.  From each pair of tiles only a
-spanning forest of its links leaves the task, so a group of copies never becomes all its pairs.
+spanning forest of its links leaves the task, so a group of copies never becomes all its pairs.  In the corpus stage
+the nodes with a link in a pair of tiles meet again with their texts, and the forest is that of confirmed links.
 """
 
 from __future__ import annotations
@@ -32,9 +33,10 @@ from tidemark.session import cut
 
 SEED = 42
 TILE_ROWS = 8192
-#: bits of the wide fingerprint of the corpus stage, and the most that may differ: at most 45 of 256 bits is
-#: an angle that five-word shingle sets of similarity 0.8 (27 degrees, 38 bits on average) stay under
-STAGE_WORDS64, STAGE_RADIUS, STAGE_SHINGLE, BLOCK_BITS = 4, 45, 5, 10
+#: words of the wide fingerprint of the corpus stage, and the most bits that may differ: sets of five-word shingles
+#: of similarity 0.8 differ in 38.8 of 256 bits on average with a standard deviation of 5.7, so 57 is 3.2 of these off
+STAGE_WORDS64, STAGE_RADIUS, STAGE_SHINGLE, BLOCK_BITS = 4, 57, 5, 9
+STAGE_SIMILARITY = 0.8          # least share of common distinct shingles of near copies
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -51,13 +53,26 @@ def shingle_digests(text: str, k: int) -> bytes:
     return b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1:] - 1).tolist())])
 
 
+def shingle_set(text: str, k: int) -> np.ndarray:
+    """The distinct shingle hashes in order."""
+    return np.unique(np.frombuffer(shingle_digests(text, k), dtype=">u8"))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of common values of two sets of shingle hashes; two empty sets are equal."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
+
+
 def fingerprint(text: str, k: int, words64: int = 1) -> tuple[list[int], int]:
     """(signed 64-bit words, number of shingles).  A bit is 1 if it is set in over half the shingle hashes."""
-    raw = shingle_digests(text, k)
-    n = len(raw) // 8
+    return fingerprint_of(np.frombuffer(shingle_digests(text, k), dtype=">u8"), words64)
+
+
+def fingerprint_of(h: np.ndarray, words64: int) -> tuple[list[int], int]:
+    n = len(h)
     if not n:
         return [0] * words64, 0
-    h = np.frombuffer(raw, dtype=">u8")
     if words64 > 1:
         h = h.astype(np.uint64)
         h = np.stack([h] + [mix(h + np.uint64(0x9E3779B97F4A7C15 * i % (1 << 64))) for i in range(1, words64)], axis=1).astype(">u8")
@@ -84,6 +99,25 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", k: int =
     return docs.select(*keys, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
+def set_fingerprints(docs: DataFrame, keys: list[str], text: str, k: int, words64: int) -> DataFrame:
+    """``keys``, ``node`` (a hash of the set of distinct shingles) and fingerprint words of that set."""
+    names = [f"w{i}" for i in range(words64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for t in batch.column(len(keys)):
+                h = shingle_set(t.as_py() or "", k)
+                node = np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view(np.int64)
+                made.append([int(node), *fingerprint_of(h, words64)[0]])
+            cols = [pa.array([m[i] for m in made], pa.int64()) for i in range(words64 + 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keys)], *cols], names=[*keys, "node", *names])
+
+    types = dict(docs.dtypes)
+    schema = ", ".join([f"`{c}` {types[c]}" for c in keys] + ["node bigint"] + [f"{w} bigint" for w in names])
+    return docs.select(*keys, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+
+
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rows of ``a`` and ``b`` (words x rows, sorted by population count) within ``radius``."""
     ones_a, ones_b = (np.bitwise_count(x).sum(axis=0, dtype=np.int64) for x in (a, b))
@@ -126,10 +160,11 @@ def _equal_bands(band: np.ndarray, words: np.ndarray, radius: int) -> tuple[np.n
     return np.concatenate(left), np.concatenate(right)
 
 
-def links(prints: DataFrame, radius: int, words64: int = 1, cap: int = TILE_ROWS) -> DataFrame:
+def links(prints: DataFrame, radius: int, words64: int = 1, cap: int = TILE_ROWS, nodes_only: bool = False) -> DataFrame:
     """Edges (a, b) between nodes of ``prints`` (node, w0..) at ``radius`` or fewer differing bits that share a band.
 
-    Only a spanning forest of each tile pair is returned, which keeps components and loses no link.
+    Only a spanning forest of each tile pair is returned, which keeps components and loses no link.  With ``nodes_only``
+    the result is (node, g, pair): the nodes that have a link in a tile pair, and which one it is.
     """
     names = [f"w{i}" for i in range(words64)]
     ones = sum((F.bit_count(w) for w in names[1:]), F.bit_count(names[0]))
@@ -177,11 +212,15 @@ def links(prints: DataFrame, radius: int, words64: int = 1, cap: int = TILE_ROWS
                 b = a
             i, j = _near(words[:, a], words[:, b], radius)
             i, j = a[i], b[j]
+        if nodes_only:
+            linked = np.unique(node[np.concatenate([i, j])])
+            return pa.table({"node": pa.array(linked, pa.int64()), "g": pa.array(np.full(len(linked), table["g"][0].as_py()), pa.int64()),
+                             "pair": pa.array([pair] * len(linked), pa.string())})
         label = forest(i, j, len(node))
         child = np.flatnonzero(label != np.arange(len(node)))
         return pa.table({"a": pa.array(node[child], pa.int64()), "b": pa.array(node[label[child]], pa.int64())})
 
-    return keyed.groupBy("g", "pair").applyInArrow(compare, "a bigint, b bigint")
+    return keyed.groupBy("g", "pair").applyInArrow(compare, "node bigint, g bigint, pair string" if nodes_only else "a bigint, b bigint")
 
 
 def groups(marks: DataFrame, first: str, radius: int, words64: int = 1) -> DataFrame:
@@ -207,15 +246,56 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return found.select(key, F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def confirmed(rows: DataFrame, k: int, least: float, radius: int, words64: int) -> DataFrame:
+    """Edges (a, b) of a spanning forest, for each tile pair of ``rows`` (node, w0.., g, pair, _text), of the links within
+    ``radius`` whose shingle sets have at least ``least`` similarity.  Near links come first; ends that are already
+    in one tree aren't compared."""
+    names = [f"w{i}" for i in range(words64)]
+
+    def confirm(table: pa.Table) -> pa.Table:
+        node, texts = table["node"].to_numpy(), table["_text"]
+        words = np.stack([table[w].to_numpy().view(np.uint64) for w in names])
+        order = np.argsort(np.bitwise_count(words).sum(axis=0, dtype=np.int64), kind="stable")
+        i, j = _near(words[:, order], words[:, order], radius)
+        i, j = order[i[i < j]], order[j[i < j]]
+        near = np.argsort(np.bitwise_count(words[:, i] ^ words[:, j]).sum(axis=0, dtype=np.int64), kind="stable")
+        root, sets, out = list(range(len(node))), {}, []
+        for x, y in zip(i[near].tolist(), j[near].tolist()):
+            p, q = x, y
+            while root[p] != p:
+                root[p] = p = root[root[p]]
+            while root[q] != q:
+                root[q] = q = root[root[q]]
+            if p == q:
+                continue
+            for at in (x, y):
+                if at not in sets:
+                    sets[at] = shingle_set(texts[at].as_py() or "", k)
+            if similarity(sets[x], sets[y]) >= least:
+                root[max(p, q)] = min(p, q)
+                out.append((x, y))
+        ends = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(node[ends[:, 0]], pa.int64()), "b": pa.array(node[ends[:, 1]], pa.int64())})
+
+    return rows.select("node", *names, "g", "pair", "_text").groupBy("g", "pair").applyInArrow(confirm, "a bigint, b bigint")
+
+
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one of the least key (null last), then the first read.
 
-    Works on fingerprints of 256 bits over five-word shingles; texts link at 45 or fewer differing bits if one of
-    24 blocks of ten bits is equal.  Columns are those of ``docs``; null texts are one group.
+    Texts link if the sets of their five-word shingles have similarity 0.8 or more (common of all distinct ones).
+    Fingerprints of 256 bits over these sets propose the pairs: at most 57 differing bits and one of 28 blocks of
+    nine bits equal.  Equal sets are one node.  Columns are those of ``docs``; null texts are one group.
     """
     kept = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
     ordered = kept.withColumn("_first", F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_row").alias("r")))
-    marks = cut(fingerprints(ordered, ["_first"], text, STAGE_SHINGLE, STAGE_WORDS64))
-    found = groups(marks, "_first", STAGE_RADIUS, STAGE_WORDS64)
-    stays = found.where(F.col("_first") == F.col("component")).select(F.col("_first.r").alias("_row"))
+    marks = cut(set_fingerprints(ordered, ["_first"], text, STAGE_SHINGLE, STAGE_WORDS64))
+    names = [f"w{i}" for i in range(STAGE_WORDS64)]
+    prints = cut(marks.groupBy("node", *names).agg(F.min("_first").alias("_first")))
+    linked = cut(links(prints, STAGE_RADIUS, STAGE_WORDS64, nodes_only=True))
+    texts = cut(prints.join(linked.select("node").distinct(), "node", "left_semi").select("node", *names, F.col("_first.r").alias("_row")).join(
+        kept.select("_row", F.col(text).cast("string").alias("_text")), "_row").drop("_row"))
+    roots = components(confirmed(linked.join(texts, "node"), STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_RADIUS, STAGE_WORDS64))
+    rooted = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stays = with_least(rooted, "root", "_first", "_least").where(F.col("_first") == F.col("_least")).select(F.col("_first.r").alias("_row"))
     return kept.join(stays, "_row", "left_semi").select(*docs.columns)
