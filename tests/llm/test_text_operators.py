@@ -229,6 +229,13 @@ def test_extra_kinds_and_redaction():
     assert not pii.find_spans("iban is a word and an account of things, 2020 was long: 3 years", pii.automaton())
 
 
+@pytest.mark.parametrize("cue", ["Account No: ", "Account Number: ", "aCCount nUmber ", "account no ", "ACCOUNT NO. ", "Ssn ", "PassPort "])
+def test_cues_in_any_case(cue):
+    text = f"\u0130\u00c4 {cue}12345678 end"
+    spans = pii.find_spans(text, pii.automaton())
+    assert [(text[a:b], k) for a, b, k in spans] == [("12345678", "account")] and pii.redact(text, spans).endswith(f"{cue}<ACCOUNT> end")
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = documents(spark).withColumn("text", F.when(F.col("doc_id") == 2, "x@y.zz é").otherwise(F.col("text")))
     done = pii.redact_documents(docs)

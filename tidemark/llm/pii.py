@@ -144,17 +144,22 @@ def account_after(text: str, end: int) -> Span | None:
 
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for word in ["@", "+", "://", *sorted(_DIGITS), *CUES, *(c.upper() for c in CUES), *(c.capitalize() for c in CUES)]:
+    for word in ["@", "+", "://", *sorted(_DIGITS), *CUES]:
         found.add_word(word, word)
     found.make_automaton()
     return found
 
 
+def folded(text: str) -> str:
+    """A-Z made a-z and nothing else, so that offsets stay; ``bytes.lower`` changes A-Z only."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every span, by start and then kind.  Extra kinds never overlap each other."""
     spans: list[tuple[int, int, str]] = []
     email_end = ip_end = card_end = phone_end = extra_end = 0
-    for last, word in anchors.iter(text):
+    for last, word in anchors.iter(folded(text)):
         if word in _DIGITS:
             if last >= card_end:
                 span, card_end = card_at(text, last)
@@ -176,7 +181,7 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int
         else:
             if word == "://":
                 kind, span = "url_login", login_at(text, last - 2)
-            elif word.lower() == "iban":
+            elif word == "iban":
                 at = last + 1
                 while at < len(text) and at < last + 5 and text[at] in " :#":
                     at += 1
