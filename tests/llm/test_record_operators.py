@@ -157,6 +157,13 @@ def test_tiles_are_greedy_and_find_reordered_passages():
             seen_j |= set(range(j, j + n))
 
 
+def test_items_that_repeat_a_line_leak(spark):
+    verse = " ".join(["one line of a song again"] * 20)
+    items = spark.createDataFrame([(1, verse), (2, verse)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(5, f"before it {verse} and after"), (6, "one line of a song again")], "doc_id bigint, text string")
+    assert plain(tiling.find_leaks(docs, items), "doc_id", "item_id", "coverage") == [(5, 1, 1.0), (5, 2, 1.0)]
+
+
 def test_leak_edges(spark):
     docs = documents(spark)
     items = spark.createDataFrame([(1, "alpha BETA, gamma delta epsilon zeta"), (2, None), (3, "the"), (None, "null id with some words")], "item_id bigint, text string")

@@ -44,7 +44,8 @@ def _places(seeds: np.ndarray) -> list[np.ndarray]:
 
 
 def item_seeds(items: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(item, seed, n_words): the distinct seeds of each item, by its row hash; items under ``k`` words have none."""
+    """(item, seed, n_words, places): the distinct seeds of each item, by its row hash, and at how many places of the item
+    each is; items under ``k`` words have none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, words, doc in word_hashes(batch.column(1)):
@@ -56,7 +57,7 @@ def item_seeds(items: DataFrame, key: str, text: str, k: int) -> DataFrame:
                     names=["item", "seed", "n_words"])
 
     return items.select(row_hash(key, text).alias("item"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "item bigint, seed bigint, n_words bigint").distinct()
+        run, "item bigint, seed bigint, n_words bigint").groupBy("item", "seed", "n_words").agg(F.count(F.lit(1)).alias("places"))
 
 
 def bloom(seeds: DataFrame) -> np.ndarray:
@@ -171,7 +172,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     picked = docs.select(row_hash(key, text).alias("row_hash"), F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
     hits = cut(picked.mapInArrow(seek, f"row_hash bigint, doc {kind}, text string, seeds array<bigint>"))
     shared = hits.select("row_hash", F.explode("seeds").alias("seed")).distinct().join(seeds, "seed")
-    pairs = shared.groupBy("row_hash", "item").agg(F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words")).where(
+    pairs = shared.groupBy("row_hash", "item").agg(F.sum("places").alias("n"), F.max("n_words").alias("n_words")).where(
         F.col("n") * k >= F.col("n_words") * threshold).select("row_hash", "item")
     texts = hits.groupBy("row_hash").agg(F.first("doc").alias("doc"), F.first("text").alias("text"))
     named = items.select(row_hash(item_key, item_text).alias("item"), F.col(item_key).alias("name"), F.col(item_text).cast("string").alias("item_text")).distinct()
