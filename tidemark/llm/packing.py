@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 BLOCK_ITEMS = 384          # remainders differenced together
 PIECE = 512                # remainders are cut to this length, so that few sums are forced to be uneven
-CACHE_WORDS = 250_000      # entries of the word-to-ids cache of a worker
+CACHE_WORDS = 300_000      # entries of each of the two generations of a worker's word-to-ids cache
 _tokenizers: dict[str, Callable[[str], bytes]] = {}
 
 
@@ -76,8 +76,10 @@ def word_ids(path: str) -> Callable[[str], bytes]:
     """A function from text to its ids as little-endian 32-bit bytes, equal to the tokenizer's own.
 
     White space always ends a piece of this kind of vocabulary, so a text is split at spaces and line feeds and
-    each part is encoded once per worker.  Plain words, with or without one full stop or comma, go to the
-    tokenizer's model directly; every other part goes through the whole tokenizer.
+    each part is encoded once per worker.  Plain words, with or without ASCII marks behind them, are their letters'
+    ids and then the marks'; letters go to the tokenizer's model directly, every other part through the whole
+    tokenizer.  The cache has two generations: a full one becomes the old one, and a part found there moves back, so
+    frequent words stay while rare ones go.
     """
     if path in _tokenizers:
         return _tokenizers[path]
@@ -85,29 +87,40 @@ def word_ids(path: str) -> Callable[[str], bytes]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    model = tokenizer.model
+    tokenize = tokenizer.model.tokenize
     encode = lambda s: array("I", tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]      # the byte alphabet of byte-level vocabularies
     rest = [b for b in range(256) if b not in printable]
     alphabet = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-    simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)\Z")
-    ends = {p: encode(p) if p else b"" for p in ("", ".", ",")}
-    cores: dict[str, bytes] = {}
+    simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)\Z")
+    marks = {"": b""}
+    old: dict[str, bytes] = {}
 
     class Cache(dict):
         def __missing__(self, part: str) -> bytes:
+            nonlocal old
+            ids = old.get(part)
+            if ids is None:
+                m = simple.match(part)
+                if m is None:
+                    ids = encode(part)
+                else:
+                    letters, tail = m.groups()
+                    core = letters.lower()
+                    if core != part:
+                        ids = self[core]
+                        if tail not in marks:
+                            if len(marks) > 10_000:
+                                marks.clear()
+                                marks[""] = b""
+                            marks[tail] = encode(tail)
+                        ids += marks[tail]
+                    else:
+                        letters = core if core.isascii() else core.encode().decode("latin-1").translate(alphabet)
+                        ids = array("I", [t.id for t in tokenize(letters)]).tobytes()
             if len(self) >= CACHE_WORDS:
+                old = dict(self)
                 self.clear()
-                cores.clear()
-            m = simple.match(part)
-            if m is None:
-                ids = encode(part)
-            else:
-                core = m[1].lower()
-                if core not in cores:
-                    letters = core if core.isascii() else core.encode().decode("latin-1").translate(alphabet)
-                    cores[core] = array("I", [t.id for t in model.tokenize(letters)]).tobytes()
-                ids = cores[core] + ends[m[2]]
             self[part] = ids
             return ids
 
