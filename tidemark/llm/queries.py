@@ -1,4 +1,4 @@
-"""The ten operators on the given tables, and the pipeline; each with its SQL where SQL can express it."""
+"""The operators on the given tables, and the pipeline; each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import blocks, chat, langid, packing, perplexity, pii, sharding, simhash, tiling, warc
+from tidemark.llm import blocks, chat, divergence, langid, packing, perplexity, pii, sharding, simhash, tiling, warc
 
 VOCABULARY = "word_bpe_49k.json"
 SHARDS, SEED = 24, 42
@@ -74,9 +74,13 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_perplexity, op3_blocks, op4_tiling, op5_pii, op6_chat, op7_simhash, op8_warc,
-                            op9_langid, op10_sharding)} | {"pipeline": corpus_pipeline.run}
+                            op9_langid, op10_sharding, op11_divergence)} | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {
     "op6_chat": r"""
@@ -91,6 +95,31 @@ ORACLES = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(size) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op11_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        u AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs FROM u GROUP BY ALL),
+        k AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+        l AS (SELECT lang, count(*) AS v, sum(total) AS total FROM k GROUP BY lang),
+        e AS (SELECT DISTINCT lang, source FROM d),
+        g AS (SELECT e.lang, e.source, coalesce(any_value(l.v), 0) AS v, coalesce(any_value(l.total), 0) AS lang_total,
+                coalesce(sum(c.n) FILTER (k.term IS NOT NULL), 0) AS total
+              FROM e LEFT JOIN l USING (lang) LEFT JOIN c ON c.lang = e.lang AND c.source = e.source
+              LEFT JOIN k ON k.lang = c.lang AND k.term = c.term GROUP BY e.lang, e.source),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2)) // (g.total + 2 * g.v) AS BIGINT) AS p,
+                CAST(1 + (CAST(1000000000 AS HUGEINT) * (k.total + 2)) // (g.lang_total + 2 * g.v) AS BIGINT) AS q
+              FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)), 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+              GROUP BY a.lang, a.source, b.source),
+        own AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+        r AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM own),
+        s AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM s WHERE part = 'pair' OR rank <= 10""",
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, strlen(body) AS payload_bytes, CAST(CAST(unhex(sha1(body)) AS BIT) AS VARCHAR) AS bits FROM p),
