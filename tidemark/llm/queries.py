@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import blocks, chat, divergence, hard_negatives, langid, packing, perplexity, pii, sharding, simhash, tiling, warc
+from tidemark.llm import blocks, chat, divergence, hard_negatives, langid, packing, perplexity, pii, sharding, simhash, suffixes, tiling, warc
 
 VOCABULARY = "word_bpe_49k.json"
 SHARDS, SEED = 24, 42
@@ -83,10 +83,17 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.mine(table(spark, folder, "embeddings").withColumn("label", moved))
 
 
+def op13_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, folder, "documents")).select(
+        "doc_id", F.octet_length("body").cast("long").alias("n_bytes"),
+        (F.octet_length("body") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_perplexity, op3_blocks, op4_tiling, op5_pii, op6_chat, op7_simhash, op8_warc,
                             op9_langid, op10_sharding, op11_divergence,
-                            op12_hard_negatives)} | {"pipeline": corpus_pipeline.run}
+                            op12_hard_negatives, op13_suffixes)} | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {
     "op6_chat": r"""
