@@ -154,11 +154,20 @@ def merge(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, totals
     return total + (chunk_terms - len(a) - len(b) + int(both.sum())) * price(zero_a, zero_b)
 
 
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    found = column[0].values
-    if found is None or not len(found):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return found.field("id").to_numpy().astype(np.int64), found.field("n").to_numpy()
+def _packed(table: pa.Table) -> pa.Table:
+    """The entries of a group in a chunk as one row: sorted ids and counts as the bytes of little-endian arrays."""
+    ids, n = table["id"].to_numpy(), table["n"].to_numpy()
+    order = np.argsort(ids)
+    first = table.slice(0, 1).select(["lang", "source", "chunk"])
+    wide = n.astype("<u2") if n.max() < 1 << 16 else n.astype("<i8")
+    return first.append_column("ids", pa.array([ids[order].astype("<i4").tobytes()], pa.binary())).append_column(
+        "counts", pa.array([wide[order].tobytes()], pa.binary()))
+
+
+def _arrays(ids: bytes | None, counts: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    found = np.frombuffer(ids or b"", "<i4").astype(np.int64)
+    kind = "<u2" if len(counts or b"") == 2 * len(found) else "<i8"
+    return found, np.frombuffer(counts or b"", kind).astype(np.int64)
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_documents: int = MIN_DOCUMENTS,
@@ -193,19 +202,19 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
     # part pair: each group's array of each chunk, empty ones too, goes to every pair it is in
     sizes = numbered.groupBy("lang", "chunk").agg(F.count(F.lit(1)).cast("int").alias("chunk_terms"))
-    arrays = used.groupBy("lang", "source", "chunk").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("entries"))
+    arrays = cut(used.select("lang", "source", "chunk", "id", "n").groupBy("lang", "source", "chunk").applyInArrow(
+        _packed, "lang string, source string, chunk int, ids binary, counts binary"))
     filled = groups.join(sizes, "lang").join(arrays, ["lang", "source", "chunk"], "left").select(
-        "lang", "source", "chunk", "chunk_terms", "all", "terms", "entries")
+        "lang", "source", "chunk", "chunk_terms", "all", "terms", "ids", "counts")
     named = groups.select("lang", "source")
     pairs = named.withColumnRenamed("source", "one").join(named.withColumnRenamed("source", "other"), "lang").where("one < other")
-    columns = ["lang", "one", "other", "chunk", "chunk_terms", "all", "terms", "entries"]
+    columns = ["lang", "one", "other", "chunk", "chunk_terms", "all", "terms", "ids", "counts"]
     sides = [filled.withColumnRenamed("source", side).join(pairs, ["lang", side]).select(*(F.col(c).alias(c) for c in columns))
              for side in ("one", "other")]
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
-        scalars = columns[:-1]
-        a, b = (t.select(scalars).to_pylist()[0] for t in (left, right))
-        value = merge(*_flat(left["entries"]), *_flat(right["entries"]), (a["all"], b["all"]), a["terms"], a["chunk_terms"])
+        a, b = left.to_pylist()[0], right.to_pylist()[0]
+        value = merge(*_arrays(a["ids"], a["counts"]), *_arrays(b["ids"], b["counts"]), (a["all"], b["all"]), a["terms"], a["chunk_terms"])
         return pa.table({"lang": pa.array([a["lang"]], pa.string()), "one": pa.array([a["one"]], pa.string()),
                          "other": pa.array([a["other"]], pa.string()), "value": pa.array([value], pa.int64())})
 
