@@ -25,4 +25,4 @@ def check(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from checks import cleaning, concept, landing, maintenance, movement, nearest, vector  # noqa: F401
+    from checks import cleaning, concept, landing, maintenance, merging, movement, nearest, vector  # noqa: F401
