@@ -26,11 +26,12 @@ from tidemark.llm.common import BASE, INVERSE, mix, power_table
 from tidemark.session import cut
 
 LEAST = 50
-GRAM = 20                        # bytes of the k-gram behind a window's key
+GRAM = 16                        # bytes of the k-gram behind a window's key
 RUN_WINDOWS = 192                # windows of a segment at most, so that rows stay short in texts of one repeated byte
 SLICE = 1 << 20                  # bytes of text hashed at once
 HELD_BYTES = 12 << 20            # segments of a task gathered before equal ones are settled and the rest handed on
 HELD_KEYS = 1 << 20
+KEY_BYTES = 5                    # of a key inside its part, whose number grows with the text: few keys meet by chance
 GROUP_BYTES = 4 << 20            # segments of one suffix array, on average
 HOT = 20_000                     # from so many documents on, the windows of a key are dealt out by their own content
 FILTER_BITS = (20, 28)           # the filter has one bit for each byte of text within these powers of two
@@ -110,11 +111,24 @@ def _runs(keys: np.ndarray, row: np.ndarray, start: np.ndarray, longest: int) ->
 
 
 # --- the filter -------------------------------------------------------------------------------
+def _pack(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+
+
+def _unpack(found: pa.ChunkedArray) -> np.ndarray:
+    raw = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in found] or [np.zeros(0, np.uint8)]).reshape(-1, KEY_BYTES)
+    out = np.zeros((len(raw), 8), dtype=np.uint8)
+    out[:, :KEY_BYTES] = raw
+    return out.view("<u8").ravel()
+
+
 def shared_keys(rows: DataFrame, least: int, gram: int, bits: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Two Bloom filters as bytes: the keys found in two documents or more, and those found in HOT documents or more.
 
-    Keys travel packed: a task hands on one row of arrays for each part of the key space.  Each part answers with its own
-    stretch of the filters, so the driver gets the filters and nothing else.
+    Keys travel packed: a task hands on one row for each part of the key space, with KEY_BYTES of each key found in one document
+    so far, and of each found in several with their number.  A key handed on twice counts as shared, which at worst (a long
+    document, handed on in two goes) keeps a segment for nothing.  Each part answers with its own stretch of the
+    filters, so the driver gets the filters and nothing else.
     """
     stretch = (1 << bits) // parts
 
@@ -134,14 +148,17 @@ def shared_keys(rows: DataFrame, least: int, gram: int, bits: int, parts: int) -
             new = np.ones(len(keys), dtype=np.int64)
             new[1:] = fresh[1:] | (docs[1:] != docs[:-1])
             count = np.add.reduceat(new, first)
-            last = np.append(first[1:], len(keys)) - 1
-            keys, low, high = keys[first], docs[first], docs[last]
+            keys = keys[first]
             part = (keys % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             names, at = np.unique(part[order], return_index=True)
-            columns = [np.split(x[order], at[1:]) for x in (keys, low, high, count)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64())] + [pa.array([x.tobytes() for x in c], pa.binary()) for c in columns],
-                                             names=["part", "keys", "low", "high", "count"])
+            one, many, numbers = [], [], []
+            for k, n in zip(np.split(keys[order] // np.uint64(parts), at[1:]), np.split(count[order], at[1:])):
+                one.append(_pack(k[n == 1]))
+                many.append(_pack(k[n > 1]))
+                numbers.append(n[n > 1].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.array(x, pa.binary()) for x in (one, many, numbers))],
+                                             names=["part", "one", "many", "numbers"])
 
         size = 0
         for batch in batches:
@@ -157,22 +174,22 @@ def shared_keys(rows: DataFrame, least: int, gram: int, bits: int, parts: int) -
         yield from hand_on()
 
     def settle(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table["keys"]])
-        low, high, count = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table[c]]) for c in ("low", "high", "count"))
+        one, many = _unpack(table["one"]), _unpack(table["many"])
+        numbers = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table["numbers"]]).astype(np.int64)
+        keys, count = np.concatenate([one, many]), np.concatenate([np.ones(len(one), dtype=np.int64), numbers])
         order = np.argsort(keys, kind="stable")
-        keys, low, high, count = keys[order], low[order], high[order], count[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        shared = np.minimum.reduceat(low, first) < np.maximum.reduceat(high, first)
-        hot = shared & (np.add.reduceat(count, first) >= HOT)
+        keys, count = keys[order], count[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+        total = np.add.reduceat(count, first) if len(first) else first
         out = []
-        for wanted in (shared, hot):
+        for wanted in (total > 1, total >= HOT):
             filled = np.zeros(stretch, dtype=bool)
-            for p in _places(keys[first][wanted], parts, stretch):
+            for p in _places(keys[first][wanted], stretch):
                 filled[p] = True
             out.append(np.packbits(filled, bitorder="little").tobytes())
         return pa.table({"part": table["part"][:1], "shared": pa.array(out[:1], pa.binary()), "hot": pa.array(out[1:], pa.binary())})
 
-    packed = rows.mapInArrow(gather, "part bigint, keys binary, low binary, high binary, count binary")
+    packed = rows.mapInArrow(gather, "part bigint, one binary, many binary, numbers binary")
     found = packed.groupBy("part").applyInArrow(settle, "part bigint, shared binary, hot binary").toArrow()
     filters = np.zeros((2, parts, stretch // 8), dtype=np.uint8)
     for i, name in enumerate(("shared", "hot")):
@@ -181,9 +198,8 @@ def shared_keys(rows: DataFrame, least: int, gram: int, bits: int, parts: int) -
     return filters[0].reshape(-1), filters[1].reshape(-1)
 
 
-def _places(keys: np.ndarray, parts: int, stretch: int) -> list[np.ndarray]:
-    """Two bits of a key inside its part's stretch."""
-    rest = keys // np.uint64(parts)
+def _places(rest: np.ndarray, stretch: int) -> list[np.ndarray]:
+    """Two bits of a packed key inside its part's stretch."""
     return [(rest % np.uint64(stretch)).astype(np.int64), (mix(rest) % np.uint64(stretch)).astype(np.int64)]
 
 
@@ -191,7 +207,7 @@ def _passes(keys: np.ndarray, filled: np.ndarray, parts: int) -> np.ndarray:
     stretch = len(filled) * 8 // parts
     base = (keys % np.uint64(parts)).astype(np.int64) * stretch
     out = np.ones(len(keys), dtype=bool)
-    for p in _places(keys, parts, stretch):
+    for p in _places((keys // np.uint64(parts)) & np.uint64((1 << 8 * KEY_BYTES) - 1), stretch):
         p = p + base
         out &= (filled[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
     return out
@@ -494,12 +510,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias("body"))
-    named = rows.withColumn("sha", F.sha2("body", 256))
-    copies = cut(named.where(F.col("doc").isNotNull() & (F.octet_length("body") >= least)).groupBy("sha").agg(
-        F.min("doc").alias("first"), F.max("doc").alias("last"), F.max(F.octet_length("body")).alias("size")).where("first < last").select("sha", "first"))
-    marked = named.join(copies, "sha", "left").select("doc", "body", (F.col("doc") > F.col("first")).alias("copy"))
-    own = marked.where(F.col("doc").isNotNull() & ~F.coalesce(F.col("copy"), F.lit(False)) & (F.octet_length("body") >= least)).select(
-        "doc", "body", F.xxhash64("body").alias("text_id"))
+    own = rows.where(F.col("doc").isNotNull() & (F.octet_length("body") >= least)).select("doc", "body", F.xxhash64("body").alias("text_id"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).collect()[0][0]
     bits = min(max(int(size).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
     parts = 1 << min(max((int(size) // PART_BYTES).bit_length(), PARTS[0].bit_length() - 1), PARTS[1].bit_length() - 1)
@@ -508,18 +519,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     segments = cut_segments(own, least, gram, filters, parts, groups)
     spans = segments.groupBy("g").applyInArrow(_settle(least), "doc bigint, text_id bigint, start bigint, end bigint")
     lists = cut(spans.groupBy("doc", "text_id").agg(F.collect_list(F.struct("start", "end")).alias("found")))     # those of one document
-    joined = marked.withColumn("text_id", F.xxhash64("body")).join(lists, ["doc", "text_id"], "left").select("doc", "body", "copy", "found")
+    joined = rows.withColumn("text_id", F.xxhash64("body")).join(lists, ["doc", "text_id"], "left").select("doc", "body", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans_out, kept_out = [], []
-            for body, copy, found in zip(*(batch.column(i) for i in (1, 2, 3))):
+            for body, found in zip(batch.column(1), batch.column(2)):
                 buffer = body.as_buffer()
                 n = len(buffer)
-                if copy.as_py():
-                    spans_out.append([(0, n)])
-                    kept_out.append(b"")
-                elif not found.is_valid:
+                if not found.is_valid:
                     spans_out.append([])
                     kept_out.append(buffer.to_pybytes())
                 else:
