@@ -25,6 +25,30 @@ def replace_upsert(spark, folder):
     return tables.read_table(spark, path)
 
 
+@check("upsert_self_read", f"""WITH {YEARLY}
+SELECT job_id, priority, CASE WHEN snapshot_date = '1996' THEN 2 ELSE 1 END AS run, snapshot_date FROM b1
+WHERE snapshot_date <> '1996' OR segment = 'BUILDING'""")
+def upsert_self_read(spark, folder):
+    """One year computed from the table it is put into."""
+    path = f"{scratch(spark)}/table"
+    tables.replace_table(yearly(spark, folder).select("job_id", "priority", "segment", F.lit(1).alias("run"), "snapshot_date"), path, "snapshot_date")
+    mine = tables.read_table(spark, path).where("snapshot_date = '1996' AND segment = 'BUILDING'")
+    tables.upsert_snapshot(mine.withColumn("run", F.col("run") + 1), path, "1996")
+    return tables.read_table(spark, path).drop("segment")
+
+
+@check("upsert_empty_snapshot", f"""WITH {YEARLY}
+SELECT snapshot_date, count(*) AS n FROM b1 WHERE snapshot_date NOT IN ('1996', '1997') GROUP BY 1""")
+def upsert_empty_snapshot(spark, folder):
+    """A snapshot put without rows goes, from the table and from its folder."""
+    path = f"{scratch(spark)}/table"
+    tables.replace_table(yearly(spark, folder).select("job_id", "snapshot_date"), path, "snapshot_date")
+    for label in ("1996", "1997"):
+        tables.upsert_snapshot(tables.read_table(spark, path).where("false"), path, label)
+    tables.vacuum(spark, path)
+    return tables.read_table(spark, path).groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("n"))
+
+
 @check("table_roundtrip", """
 SELECT s.snapshot_date, vec_id AS job_id, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total, 0 AS n_missing
 FROM embeddings JOIN (VALUES ('s1'), ('s2')) s(snapshot_date)

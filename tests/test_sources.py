@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from tidemark.operators import concepts, landing
 from tidemark.schema import DERIVED
 from tidemark.sources import export, meta, readers, tables
@@ -126,3 +127,40 @@ def test_empty_table_and_empty_snapshot(spark, folder):
         tables.upsert_snapshot(rows, path, day)
     tables.upsert_snapshot(none, path, "2026-01-01")
     assert [tuple(r) for r in tables.read_table(spark, path).groupBy("snapshot_date").count().collect()] == [("2026-02-01", 2)]
+
+
+def test_a_killed_write_leaves_the_former_rows(spark, folder):
+    path = f"{folder}/t"
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "snapshot_date string, v int")
+    tables.replace_table(df, path, "snapshot_date")
+    before = tables.pointer(spark, path)
+    broken = df.where("snapshot_date = 'a'").withColumn("v", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception):
+        tables.upsert_snapshot(broken, path, "a")
+    tables._write_version(df.withColumn("v", F.col("v") + 10), path, True)              # written, never pointed to
+    assert tables.pointer(spark, path) == before
+    assert sorted(map(tuple, tables.read_table(spark, path).collect())) == [(1, "a"), (2, "b")]
+    assert tables.vacuum(spark, path) >= 1
+    assert sorted(map(tuple, tables.read_table(spark, path).collect())) == [(1, "a"), (2, "b")]
+
+
+def test_an_upsert_is_evaluated_once_and_conflicts_are_seen(spark, folder):
+    path, runs = f"{folder}/t", spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("c/d=e", 3)], "snapshot_date string, v int")
+
+    @F.udf("int")
+    def counted(v):
+        runs.add(1)
+        return v
+
+    tables.upsert_snapshot(df.where("snapshot_date = 'a'").withColumn("v", counted("v")), path, "a")
+    assert runs.value == 2
+    tables.upsert_snapshot(df.where("v = 3"), path, "c/d=e")
+    assert sorted(map(tuple, tables.read_table(spark, path).collect())) == [(1, "a"), (2, "a"), (3, "c/d=e")]
+    kept = tables.read_table(spark, path).where("snapshot_date = 'a'")
+    assert "PartitionFilters: [isnotnull(snapshot_date" in kept._jdf.queryExecution().toString()
+    now = tables.pointer(spark, path)
+    with pytest.raises(RuntimeError):
+        tables._point(spark, path, now["number"], df.schema, True, {})
+    with pytest.raises(ValueError):
+        tables.replace_table(df, path, "v")
