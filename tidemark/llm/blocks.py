@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+LIST_CHARS, KNOWN_SHARE = 120, 0.05
 SHORT_CHARS, LINK_SHARE, ARTICLE_LINK_SHARE, STOP_SHARE = 60, 0.4, 0.8, 0.2
 
 #: fixed values: frequent function words of English, German, French and Spanish
@@ -30,9 +31,12 @@ STOP_WORDS = frozenset((
     "al como con del el ella en entre es esta este fue ha la las lo los más me muy no o para pero por que se si sin sobre su sus también un "
     "una y ya").split())
 
+_BREAK = r"</?(?:p|div|h[1-6]|article|section|main|body|ul|ol|li|table|header|footer|nav|aside|form)\b"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|math|iframe|object|select|button|canvas|audio|video)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|object|canvas|audio|video)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    # an unclosed one of these ends at the next block
+    rf"|<(?P<part>title|select|button)\b[^>]*>(?:(?!{_BREAK}).)*?(?:</(?P=part)\s*>|(?={_BREAK})|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 _BLOCK = frozenset((
@@ -40,17 +44,32 @@ _BLOCK = frozenset((
     "frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td "
     "tfoot th thead tr ul").split())
 _TRACKED = _BLOCK - frozenset(("p", "hr", "li", "dt", "dd", "tr", "td", "th", "option", "html", "body"))
-_OUT = frozenset(("nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "fieldset", "figcaption"))
+_OUT = frozenset(("nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "fieldset"))
 _IN = frozenset(("article", "main"))
+#: fixed values: words of classes and ids that name what is no article
 _HINT = re.compile(
-    r"(?:^|[\s_-])(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|comments?|"
-    r"disqus|respond|repl(?:y|ies)|sidebar|side-?bar|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|share|sharing|"
-    r"social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|pagination|pager|toolbar|copyright|disclaimer|hidden)(?=$|[\s_-])", re.I)
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|comments?|"
+    r"disqus|respond|repl(?:y|ies)|sidebar|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|share|sharing|"
+    r"social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|pagination|pager|toolbar|copyright|disclaimer|hidden", re.I)
+#: fixed values: first parts of names that tell how a page looks, as in ``with-sidebar``
+_STATES = frozenset("has with no not without is hide show fixed sticky enable enabled disable disabled".split())
+_PARTS = re.compile(r"[_-]+")
 _HINTED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s+")
 
 
+def hinted(value: str) -> bool:
+    """Whether a class, id or role names a place that is no article: ``sidebar``, ``sidebar-left``, ``site-footer``, but not
+    ``has-sidebar``."""
+    for name in value.split():
+        parts = [p for p in _PARTS.split(name) if p]
+        if parts and (_HINT.fullmatch(parts[0]) or "".join(parts[:2]).lower() == "sidebar" or
+                      (_HINT.fullmatch(parts[-1]) and parts[0].lower() not in _STATES)):
+            return True
+    return False
+
+
 @dataclass
 class Block:
     text: str
@@ -60,8 +79,9 @@ class Block:
     good: bool | None = None
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of text of a page in order, white space made one blank, references decoded."""
+def blocks(page: str, hints: bool = True) -> list[Block]:
+    """The blocks of text of a page in order, white space made one blank, references decoded.  Without ``hints``, classes
+    and ids tell nothing."""
     found: list[Block] = []
     stack: list[tuple[str, bool, int]] = []
     parts: list[tuple[str, bool]] = []
@@ -118,27 +138,35 @@ def blocks(page: str) -> list[Block]:
                 if name in _IN and not region:
                     regions += 1
                     region = regions
-                hinted = bool(attrs) and any(_HINT.search(a or b or c) for a, b, c in _HINTED.findall(attrs)) or "hidden" in attrs.lower().split()
+                named = hints and bool(attrs) and any(hinted(a or b or c) for a, b, c in _HINTED.findall(attrs)) or "hidden" in attrs.lower().split()
                 inner_heading = name == "header" and region > 0
-                stack.append((name, out or hinted or (name in _OUT and not inner_heading), region))
+                stack.append((name, out or named or (name in _OUT and not inner_heading), region))
     take(page[at:])
     end()
     return found
 
 
+def _stop_share(text: str) -> float:
+    words = _LETTERS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
 def decide(found: list[Block]) -> list[Block]:
-    """Both passes; returns the good blocks."""
+    """Both passes; returns the good blocks.
+
+    Where hardly a word of the page is a known stop word the language is unknown, and length and links decide alone.
+    Short blocks of a region without a decided block are judged by what they hold together.
+    """
+    plain = [b for b in found if not b.out and not b.region]
+    known = bool(plain) and _stop_share(" ".join(b.text for b in plain)) >= KNOWN_SHARE
     for b in found:
         linked = b.link_chars / len(b.text)
         if b.out or linked > (ARTICLE_LINK_SHARE if b.region else LINK_SHARE):
             b.good = False
         elif len(b.text) < SHORT_CHARS:
             b.good = None
-        elif b.region:
-            b.good = True
         else:
-            words = _LETTERS.findall(b.text.lower())
-            b.good = sum(w in STOP_WORDS for w in words) >= STOP_SHARE * max(1, len(words))
+            b.good = bool(b.region) or not known or _stop_share(b.text) >= STOP_SHARE
     article = any(b.region and not b.out for b in found)
     before: dict[int, tuple[int, bool]] = {}
     earlier: list[tuple[int, bool] | None] = []
@@ -146,27 +174,50 @@ def decide(found: list[Block]) -> list[Block]:
         earlier.append(before.get(b.region))
         if b.good is not None and not b.out:
             before[b.region] = (i, b.good)
+    lists = _joined_lists(found, before, known)
     after: dict[int, tuple[int, bool]] = {}
     for i in range(len(found) - 1, -1, -1):
         b = found[i]
         if b.good is None:
             left, right = earlier[i], after.get(b.region)
             sides = [(abs(i - s[0]), not s[1]) for s in (left, right) if s]
-            b.good = not min(sides)[1] if sides else b.region > 0
+            b.good = not min(sides)[1] if sides else b.region > 0 or i in lists
         elif not b.out:
             after[b.region] = (i, b.good)
     return [b for b in found if b.good and (b.region > 0 or not article)]
 
 
+def _joined_lists(found: list[Block], decided: dict[int, tuple[int, bool]], known: bool) -> set[int]:
+    """Places of the runs of open blocks, in regions without a decided one, that are long enough together."""
+    out: set[int] = set()
+    run: list[int] = []
+    for i, b in enumerate([*found, None]):
+        if b is not None and b.good is None and b.region not in decided:
+            run.append(i)
+            continue
+        text = " ".join(found[j].text for j in run)
+        if len(text) >= LIST_CHARS and (not known or _stop_share(text) >= STOP_SHARE / 2):
+            out.update(run)
+        run = []
+    return out
+
+
 def main_text(page: str | None) -> str:
-    return "\n\n".join(b.text for b in decide(blocks(page))) if page else ""
+    if not page:
+        return ""
+    found = blocks(page)
+    good = decide(found)
+    if not good and any(b.region for b in found):             # every article stands inside a place named like a sidebar
+        good = decide(blocks(page, hints=False))
+    return "\n\n".join(b.text for b in good)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: ``key``, ``url``, text and n_chars.
 
     If a page has an article, only its blocks count.  Null and empty pages have an empty text.  Broken markup is
-    read as far as it goes.  Keys may repeat or be null; an empty table gives no rows; other columns are ignored.
+    read as far as it goes.  Keys may repeat or be null, equal pages give equal rows; an open block as near to a good as to a bad
+    neighbour is good; an empty table gives no rows; other columns are ignored.
     """
     types = dict(pages.dtypes)
 

@@ -27,6 +27,17 @@ INVERSE = pow(BASE, -1, 1 << 64)
 _powers = {}
 
 
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """``wanted`` names, each lengthened until no column has it in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, bytes, offsets) for runs of rows of at most ``limit`` bytes; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):

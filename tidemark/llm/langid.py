@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SLICE_BYTES, mix
+from tidemark.llm.common import SLICE_BYTES, mix, unused
 from tidemark.session import cut
 
 UNDETERMINED = "und"
@@ -171,8 +171,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     rate = F.lit(0.0)
     for name, n in sorted(sizes.items()):
         rate = F.when(F.col("_lang") == name, F.lit(min(1.0, per_language / n))).otherwise(rate)
-    draw = F.pmod(F.xxhash64(F.lit(9), "_key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = cut(labelled.where((draw < rate) & F.col("_text").rlike(r"\p{L}")).select("_lang", "_text", F.xxhash64("_text").alias("draw")).mapInArrow(
+    draw = F.pmod(F.xxhash64(F.lit(9), "_key", "_text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = cut(labelled.where((draw < rate) & F.col("_text").rlike(r"\p{L}")).select(
+        "_lang", "_text", F.xxhash64("_key", "_text").alias("draw")).dropDuplicates(["_lang", "draw"]).mapInArrow(
         _features, "_lang string, draw bigint, at array<int>, share array<float>"))
     names = sorted(r["_lang"] for r in sample.select("_lang").distinct().collect())
     families: dict[str, list[str]] = {}
@@ -201,17 +202,20 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return Model(families, pairs, np.stack([np.array(w.as_py(), dtype=np.float32) for w in fitted["weights"]], axis=1), fitted["bias"].to_numpy())
 
 
-def _with_prediction(docs: DataFrame, columns: list[str], text: str, model: Model) -> DataFrame:
+def _with_prediction(docs: DataFrame, columns: list[str], text: str, model: Model, language: str, score: str) -> DataFrame:
+    """``columns`` and the prediction as ``language`` and ``score``, names that no column has."""
+    body, = unused(columns, "_text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = model.predict(batch.column(len(columns)).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(columns)], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
-                names=[*columns, "lang_pred", "score"])
+                names=[*columns, language, score])
 
     types = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in columns), "lang_pred string", "score double"])
-    return docs.select(*columns, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in columns), f"`{language}` string", f"`{score}` double"])
+    return docs.select(*columns, F.col(text).cast("string").alias(body)).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -221,12 +225,15 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     repeat; an empty table gives no rows.
     """
     model = train(docs, key, text, lang)
-    return _with_prediction(docs.select(key, text), [key], text, model).select(
-        key, held_out(key).alias("held_out"), "lang_pred", "score")
+    language, score = unused([key], "lang_pred", "score")
+    return _with_prediction(docs.select(key, text), [key], text, model, language, score).select(
+        key, held_out(key).alias("held_out"), F.col(language).alias("lang_pred"), F.col(score).alias("score"))
 
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` without rows whose language is undetermined or scores under ``min_score``; all columns stay as they are."""
+    """``docs`` without rows whose language is undetermined or scores under ``min_score``; all columns stay as they are,
+    whatever their names.  Null, empty and letterless texts go.  Repeated rows are judged alike; an empty table gives no rows."""
     model = train(docs, key, text, lang)
-    scored = _with_prediction(docs, docs.columns, text, model)
-    return scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*docs.columns)
+    language, score = unused(docs.columns, "lang_pred", "score")
+    scored = _with_prediction(docs, docs.columns, text, model, language, score)
+    return scored.where((F.col(language) != UNDETERMINED) & (F.col(score) >= min_score)).select(*docs.columns)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACES, mix, runs, span_hashes, text_slices, window_hashes
+from tidemark.llm.tiling import bloom, in_bloom
 from tidemark.session import cut
 
 ORDER, CLASS_BITS = 4, 6
@@ -27,7 +28,6 @@ COUNT_CODES = 1 << 22           # n-grams sorted at once by a counting task
 MODEL_ENTRIES = 24_000_000      # entries scored with at once; more languages than fit are scored in turns
 BAND = 3.0                      # quartile distances between a quartile and the edge of the band; figures in the README
 LEAST_WIDTH = 0.05              # of log-perplexity: a band reaches at least as far beyond both quartiles, 50 steps of the grid
-HOT_SHARE = 1000                # a text that is more than one in so many rows of its language is counted once
 BIN = 0.001                     # grid of log-perplexity on which quartiles are taken
 UNKNOWN = "und"
 #: fixed values: the symbols counted as ``n_symbols``
@@ -132,17 +132,22 @@ def count_ngrams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Dat
     return per_task.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def hot_copies_once(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, text): all rows, but a hot text of a language only once, so that the model doesn't learn it by heart.
+def different_texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """(lang, text): each different text of a language once, so that the model learns no copy by heart.
 
-    Hot texts are at most ``HOT_SHARE`` a language, so their hashes are a broadcast of known size.
+    Texts whose hash occurs once stay where they are.  A Bloom filter of fixed size over the others' hashes picks the
+    rows that are grouped; what it picks wrongly is grouped for nothing.
     """
-    rows = docs.select(_language(lang).alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("_same"))
-    sums = cut(rows.groupBy("lang", "_same").agg(F.count(F.lit(1)).alias("n")))
-    of_all = sums.groupBy("lang").agg(F.sum("n").alias("all"))
-    hot = F.broadcast(sums.join(F.broadcast(of_all), "lang").where((F.col("n") > 1) & (F.col("n") * HOT_SHARE > F.col("all"))).select("lang", "_same"))
-    once = rows.join(hot, ["lang", "_same"], "left_semi").groupBy("lang", "_same").agg(F.first("text").alias("text"))
-    return rows.join(hot, ["lang", "_same"], "left_anti").select("lang", "text").unionByName(once.select("lang", "text"))
+    rows = docs.select(_language(lang).alias("lang"), F.col(text).cast("string").alias("text"))
+    hashed = rows.withColumn("seed", F.xxhash64("lang", "text"))
+    filled = bloom(hashed.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed"))
+
+    @F.arrow_udf("boolean")
+    def repeated(seed: pa.Array) -> pa.Array:
+        return pa.array(in_bloom(seed.to_numpy().view(np.uint64), filled))
+
+    marked = hashed.withColumn("_again", repeated("seed")).drop("seed")
+    return marked.where("NOT _again").drop("_again").unionByName(marked.where("_again").groupBy("lang", "text").agg(F.lit(1)).select("lang", "text"))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
@@ -321,7 +326,7 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     passes the base rules and its perplexity lies in the band of its language; the quartiles are exact on a grid
     of 0.001 over the different texts that pass the base rules, so copies count once.  Keys may repeat or be null; an empty table gives no rows.
     """
-    counts = cut(count_ngrams(hot_copies_once(docs, text, lang)))
+    counts = cut(count_ngrams(different_texts(docs, text, lang)))
     model = cut(kneser_ney(counts))
     spoken = _language(lang)
     marked = docs.select(key, text, lang, F.xxhash64(F.col(text).cast("string")).alias("_same"))

@@ -2,8 +2,8 @@
 
 One pass of an Aho-Corasick automaton over the text finds anchors: at-signs, plus signs, digits, schemes and
 identifier cues.  Deterministic local parsers expand each anchor to the span around it and validate it.
-Kinds: email, ip, card and phone by the base rules, and then url_login (user and password of a URL), iban and
-account (a number behind a cue such as ``account no``).
+Kinds: email, ip, card and phone by the base rules, and then url_login (user and password of a URL), iban,
+account (a number behind a cue such as ``account no``) and secret (the value given to a token, key or password).
 """
 
 from __future__ import annotations
@@ -16,13 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import unused
+
 #: kinds in the order that settles equal starts
-KINDS = ("email", "ip", "card", "phone", "url_login", "iban", "account")
+KINDS = ("email", "ip", "card", "phone", "url_login", "iban", "account", "secret")
 CUES = ("account no", "account number", "account:", "acct", "ssn", "passport", "iban")
+SECRET_CUES = ("token", "api_key", "api-key", "api key", "apikey", "access_key", "access-key", "access key", "private_key", "private-key",
+               "private key", "secret", "password", "passwd")
+SECRET_CHARS, QUOTED_SECRET_CHARS = 12, 8
 _DIGITS = frozenset("0123456789")
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") | _DIGITS
 _LOCAL = _ALNUM | frozenset("._%+-")
 _HOST = _ALNUM | frozenset("-")
+_SECRET = _ALNUM | frozenset("_-+/=.~")
 _PHONE = _DIGITS | frozenset(" ().-")
 Span = tuple[int, int]
 
@@ -142,9 +148,32 @@ def account_after(text: str, end: int) -> Span | None:
     return (at, stop) if 6 <= stop - at <= 20 and not follows else None
 
 
+def secret_after(text: str, end: int) -> Span | None:
+    """Behind a cue: the rest of a name, quotes and blanks around ``=`` or ``:``, then a value of enough characters.
+
+    An unquoted value holds a digit, so that ``password: something`` in prose is none; a quoted one ends at its quote.
+    """
+    at = _run(text, end, _ALNUM | frozenset("_-"))
+    if at > end + 24:
+        return None
+    at = _run(text, at, frozenset(" \"'"))
+    if at >= len(text) or text[at] not in "=:":
+        return None
+    at = _run(text, at + 1, frozenset(" >"))
+    quote = text[at] if at < len(text) and text[at] in "\"'" else ""
+    at += len(quote)
+    stop = _run(text, at, _SECRET)
+    while stop > at and text[stop - 1] == ".":
+        stop -= 1
+    value = text[at:stop]
+    if quote:
+        return (at, stop) if len(value) >= QUOTED_SECRET_CHARS and text[stop:stop + 1] == quote else None
+    return (at, stop) if len(value) >= SECRET_CHARS and any(c in _DIGITS for c in value) else None
+
+
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for word in ["@", "+", "://", *sorted(_DIGITS), *CUES]:
+    for word in ["@", "+", "://", *sorted(_DIGITS), *CUES, *SECRET_CUES]:
         found.add_word(word, word)
     found.make_automaton()
     return found
@@ -186,6 +215,8 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int
                 while at < len(text) and at < last + 5 and text[at] in " :#":
                     at += 1
                 kind, span = "iban", iban_at(text, at)
+            elif word in SECRET_CUES:
+                kind, span = "secret", secret_after(text, last + 1)
             else:
                 kind, span = "account", account_after(text, last + 1)
             if span and span[0] >= extra_end:
@@ -222,7 +253,7 @@ def _over_texts(docs: DataFrame, keys: list[str], text: str, schema: str, names:
                 [*batch.columns[:len(keys)], *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*keys, *names])
 
     types = dict(docs.dtypes)
-    return docs.select(*keys, F.col(text).cast("string").alias("_text")).mapInArrow(
+    return docs.select(*keys, F.col(text).cast("string").alias(unused(keys, "_text")[0])).mapInArrow(
         run, ", ".join([f"`{k}` {types[k]}" for k in keys] + [schema]))
 
 
@@ -248,17 +279,19 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
 def redact_documents(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by ``<KIND>`` and ``length`` counted again where a text changed.
 
-    Every row stays, a null text stays null, and a text without personal data is left as it is.
+    Every row stays, repeated rows too; a null or empty text and one without personal data are left as they are.  Other
+    columns may have any name.  An empty table gives no rows.
     """
     def row(text: str | None, anchors: ahocorasick.Automaton) -> tuple:
         spans = find_spans(text, anchors) if text else []
         return (redact(text, spans) if spans else text, bool(spans))
 
     others = [c for c in docs.columns if c != text]
+    new, changed = unused(docs.columns, "_new", "_changed")
     held = docs.select(*others, text)
-    done = _over_texts(held, others, text, "_new string, _changed boolean", ["_new", "_changed"], [pa.string(), pa.bool_()], row)
+    done = _over_texts(held, others, text, f"`{new}` string, `{changed}` boolean", [new, changed], [pa.string(), pa.bool_()], row)
     kind = dict(docs.dtypes).get(length)
     return done.select(*[
-        F.col("_new").alias(text) if c == text else
-        F.when(F.col("_changed"), F.char_length("_new").cast(kind)).otherwise(F.col(length)).alias(length) if c == length else F.col(c)
+        F.col(new).alias(text) if c == text else
+        F.when(F.col(changed), F.char_length(new).cast(kind)).otherwise(F.col(length)).alias(length) if c == length else F.col(c)
         for c in docs.columns])

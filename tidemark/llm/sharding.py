@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -40,18 +42,21 @@ def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if n == 0 or good == 0:
-        return 0
-    if max(good, bad) < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n))
-    # numpy's draw ends at 10**9; beyond it a partition takes a sliver of what is left, drawn in parts so small
-    # that a binomial draw is the same to one part in a thousand
-    got = 0
-    while n > 0:
-        take = min(n, max(1, (good + bad) // 1000))
-        x = max(take - bad, min(int(rng.binomial(take, good / (good + bad))), good))
-        got, good, bad, n = got + x, good - x, bad - (take - x), n - take
-    return got
+    """Inversion at any size.  Weights relative to the mode follow from the ratios of neighbouring ones; 40 standard
+    deviations to either side hold all that doubles can tell from zero, and their own sum is the norm."""
+    low, high = max(0, n - bad), min(good, n)
+    if low == high:
+        return low
+    total = good + bad
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    reach = 40 * int(1 + math.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1)))) + 40
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    up = np.arange(mode, high, dtype=np.float64)               # the ratio of x + 1 to x
+    down = np.arange(mode, low, -1, dtype=np.float64)          # and of x - 1 to x
+    rise = np.cumprod((good - up) * (n - up) / ((up + 1) * (bad - n + up + 1)))
+    fall = np.cumprod(down * (bad - n + down) / ((good - down + 1) * (n - down + 1)))
+    sums = np.cumsum(np.concatenate([fall[::-1], [1.0], rise]))
+    return low + int(np.searchsorted(sums, rng.random() * sums[-1], "right"))
 
 
 def shuffle_shards(rows: DataFrame, shards: int = 24, seed: int = 42, bin_rows: int = BIN_ROWS) -> DataFrame:

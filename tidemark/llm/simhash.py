@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, forest, mix, with_least
+from tidemark.llm.common import components, forest, mix, unused, with_least
 from tidemark.session import cut
 
 SEED = 42
@@ -287,15 +287,17 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     Fingerprints of 256 bits over these sets propose the pairs: at most 57 differing bits and one of 28 blocks of
     nine bits equal.  Equal sets are one node.  Columns are those of ``docs``; null texts are one group.
     """
-    kept = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    ordered = kept.withColumn("_first", F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_row").alias("r")))
-    marks = cut(set_fingerprints(ordered, ["_first"], text, STAGE_SHINGLE, STAGE_WORDS64))
+    row, = unused(docs.columns, "_row")
+    kept = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    ordered = kept.select(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(row).alias("r")).alias("_first"),
+                          F.col(text).cast("string").alias("_text"))
+    marks = cut(set_fingerprints(ordered, ["_first"], "_text", STAGE_SHINGLE, STAGE_WORDS64))
     names = [f"w{i}" for i in range(STAGE_WORDS64)]
     prints = cut(marks.groupBy("node", *names).agg(F.min("_first").alias("_first")))
     linked = cut(links(prints, STAGE_RADIUS, STAGE_WORDS64, nodes_only=True))
     texts = cut(prints.join(linked.select("node").distinct(), "node", "left_semi").select("node", *names, F.col("_first.r").alias("_row")).join(
-        kept.select("_row", F.col(text).cast("string").alias("_text")), "_row").drop("_row"))
+        kept.select(F.col(row).alias("_row"), F.col(text).cast("string").alias("_text")), "_row").drop("_row"))
     roots = components(confirmed(linked.join(texts, "node"), STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_RADIUS, STAGE_WORDS64))
     rooted = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stays = with_least(rooted, "root", "_first", "_least").where(F.col("_first") == F.col("_least")).select(F.col("_first.r").alias("_row"))
-    return kept.join(stays, "_row", "left_semi").select(*docs.columns)
+    stays = with_least(rooted, "root", "_first", "_least").where(F.col("_first") == F.col("_least")).select(F.col("_first.r").alias(row))
+    return kept.join(stays, row, "left_semi").select(*docs.columns)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BASE, INVERSE, mix, power_table, runs, span_hashes, text_slices, window_hashes
+from tidemark.llm.common import BASE, INVERSE, mix, power_table, runs, span_hashes, text_slices, unused, window_hashes
 from tidemark.session import cut
 
 SEED_WORDS = 5
@@ -70,7 +70,7 @@ def bloom(seeds: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _in_bloom(seeds: np.ndarray, filled: np.ndarray) -> np.ndarray:
+def in_bloom(seeds: np.ndarray, filled: np.ndarray) -> np.ndarray:
     found = np.ones(len(seeds), dtype=bool)
     for p in _places(seeds):
         found &= (filled[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -160,7 +160,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         for batch in batches:
             for first, words, doc in word_hashes(batch.column(2)):
                 h, at = window_hashes(words, doc, k)
-                hit = np.flatnonzero(_in_bloom(h, filled))
+                hit = np.flatnonzero(in_bloom(h, filled))
                 h, rows = h[hit].view(np.int64), doc[at[hit]]
                 edges = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, dtype=np.int64)
                 lists = [np.unique(x) for x in np.split(h, edges[1:])] if len(rows) else []
@@ -202,7 +202,10 @@ def row_hash(key: str, text: str):
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows in which an item leaks; columns stay as they are, null texts are kept."""
-    leaking = cut(find_leaks(docs, items, key, text).select("row_hash").distinct())
-    marked = docs.withColumn("_row_hash", row_hash(key, text))
-    return marked.join(leaking, F.col("_row_hash") == F.col("row_hash"), "left_anti").select(*docs.columns)
+    """``docs`` without the rows in which an item leaks; columns stay as they are, whatever their names.
+
+    Null and empty texts are kept, repeated rows are judged alike, empty tables of either kind drop nothing.
+    """
+    mark, = unused(docs.columns, "_row_hash")
+    leaking = cut(find_leaks(docs, items, key, text).select(F.col("row_hash").alias(mark)).distinct())
+    return docs.withColumn(mark, row_hash(key, text)).join(leaking, mark, "left_anti").select(*docs.columns)
