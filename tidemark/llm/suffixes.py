@@ -486,7 +486,7 @@ def _settle(least: int):
             new = np.ones(len(segment), dtype=bool)
             new[1:] = (segment[1:] != segment[:-1]) | (place[1:] > place[:-1] + least)
             head = np.flatnonzero(new)
-            tail = np.append(head[1:], len(segment)) - 1
+            tail = np.append(head[1:], len(segment))[:len(head)] - 1
             seg, lo, hi = segment[head], place[head], place[tail] + least
             a, b = np.searchsorted(seg, slot[same[mine]]), np.searchsorted(seg, slot[same[mine]], "right")
             many = b - a
