@@ -6,11 +6,11 @@ the longest single text and not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import cut
@@ -136,15 +136,15 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = up
 
 
-def with_least(rows: DataFrame, key: str, value: str, out: str, keep: str = "true") -> DataFrame:
-    """The rows that ``keep``, plus ``out``: the least ``value`` among all rows of their key.
+def with_least(rows: DataFrame, key: str, value: str, out: str, keep: str = "true", best: Callable[[str], Column] = F.min) -> DataFrame:
+    """The rows that ``keep``, plus ``out``: the least ``value`` (or the ``best``) among all rows of their key.
 
     A key is split over ``SALTS`` parts: minima of the parts are settled first, and rows are joined by key and
     part, so a key that holds most rows is spread over tasks.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)))
-    parts = salted.groupBy(key, "_salt").agg(F.min(value).alias("_part"))
-    least = parts.select(key, "_salt", F.min("_part").over(Window.partitionBy(key)).alias(out))   # SALTS rows a key at most
+    parts = salted.groupBy(key, "_salt").agg(best(value).alias("_part"))
+    least = parts.select(key, "_salt", best("_part").over(Window.partitionBy(key)).alias(out))   # SALTS rows a key at most
     return salted.where(keep).join(least, [key, "_salt"]).drop("_salt")
 
 

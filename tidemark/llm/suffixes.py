@@ -34,7 +34,8 @@ HELD_KEYS = 1 << 20
 KEY_BYTES = 5                    # of a key inside its part, whose number grows with the text: few keys meet by chance
 GROUP_BYTES = 4 << 20            # segments of one suffix array, on average
 HOT = 20_000                     # from so many documents on, the windows of a key are dealt out by their own content
-FILTER_BITS = (20, 28)           # the filter has one bit for each byte of text within these powers of two
+FILTER_BITS = (20, 27)           # the filter has one bit for each byte of text within these powers of two, that of hot keys
+HOT_SHARE_BITS = 6               # ... two to this power times fewer
 PARTS = (64, 1 << 20)            # parts of the key space, one for each PART_BYTES of text within these bounds
 PART_BYTES = 8 << 20
 
@@ -131,6 +132,7 @@ def shared_keys(rows: DataFrame, least: int, gram: int, bits: int, parts: int) -
     filters, so the driver gets the filters and nothing else.
     """
     stretch = (1 << bits) // parts
+    hot_stretch = max(8, stretch >> HOT_SHARE_BITS)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -182,20 +184,22 @@ def shared_keys(rows: DataFrame, least: int, gram: int, bits: int, parts: int) -
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
         total = np.add.reduceat(count, first) if len(first) else first
         out = []
-        for wanted in (total > 1, total >= HOT):
-            filled = np.zeros(stretch, dtype=bool)
-            for p in _places(keys[first][wanted], stretch):
+        for wanted, width in ((total > 1, stretch), (total >= HOT, hot_stretch)):
+            filled = np.zeros(width, dtype=bool)
+            for p in _places(keys[first][wanted], width):
                 filled[p] = True
             out.append(np.packbits(filled, bitorder="little").tobytes())
         return pa.table({"part": table["part"][:1], "shared": pa.array(out[:1], pa.binary()), "hot": pa.array(out[1:], pa.binary())})
 
     packed = rows.mapInArrow(gather, "part bigint, one binary, many binary, numbers binary")
     found = packed.groupBy("part").applyInArrow(settle, "part bigint, shared binary, hot binary").toArrow()
-    filters = np.zeros((2, parts, stretch // 8), dtype=np.uint8)
-    for i, name in enumerate(("shared", "hot")):
+    filters = []
+    for name, width in (("shared", stretch), ("hot", hot_stretch)):
+        whole = np.zeros((parts, width // 8), dtype=np.uint8)
         for part, stored in zip(found["part"].to_pylist(), found[name]):
-            filters[i, part] = np.frombuffer(stored.as_buffer(), np.uint8)
-    return filters[0].reshape(-1), filters[1].reshape(-1)
+            whole[part] = np.frombuffer(stored.as_buffer(), np.uint8)
+        filters.append(whole.reshape(-1))
+    return filters[0], filters[1]
 
 
 def _places(rest: np.ndarray, stretch: int) -> list[np.ndarray]:

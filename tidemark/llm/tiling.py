@@ -21,6 +21,7 @@ from tidemark.session import cut
 
 SEED_WORDS = 5
 THRESHOLD = 0.6
+PAIRS = 1 << 18                 # pairs of equal windows looked at together
 BLOOM_BITS = 24                 # 2**24 bits, 2 MB, whatever the size of the benchmark
 
 _WORD = np.zeros(256, dtype=bool)
@@ -89,7 +90,7 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int = SEED_WORDS) -> list[tu
         found = _matches(item, doc, free_item, free_doc, length)
         marked = False
         for size, i, j in found:
-            if free_item[i:i + size].all() and free_doc[j:j + size].all():
+            if free_item[i:i + size].all() and free_doc[j:j + size].all() and np.array_equal(item[i:i + size], doc[j:j + size]):
                 free_item[i:i + size] = False
                 free_doc[j:j + size] = False
                 out.append((i, j, size))
@@ -101,46 +102,62 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int = SEED_WORDS) -> list[tu
     return sorted(out, key=lambda t: (-t[2], t[0], t[1]))
 
 
-def _windows(words: np.ndarray, free: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Karp-Rabin hashes and starts of the windows of ``k`` words without a marked one."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    total = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * power_table(BASE, len(words)), out=total[1:])      # all windows from one running sum
-    h = (total[k:] - total[:-k]) * power_table(INVERSE, n)
-    blocked = np.concatenate([[0], np.cumsum(~free)])
-    at = np.flatnonzero(blocked[k:] == blocked[:-k])
-    return mix(h[at]), at
+class _Hashed:
+    """Words with running sums, so that any stretch has its Karp-Rabin hash and its count of marked words at once."""
+
+    def __init__(self, words: np.ndarray, free: np.ndarray):
+        self.words, self.free = words, free
+        self.total = np.zeros(len(words) + 1, dtype=np.uint64)
+        np.cumsum(words * power_table(BASE, len(words)), out=self.total[1:])
+        self.marked = np.concatenate([[0], np.cumsum(~free)])
+        self.inverse = power_table(INVERSE, len(words) + 1)
+
+    def hashes(self, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        return (self.total[at + size] - self.total[at]) * self.inverse[at]
+
+    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and starts of the windows of ``k`` words without a marked one."""
+        if len(self.words) < k:
+            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        at = np.flatnonzero(self.marked[k:] == self.marked[:-k])
+        return mix(self.hashes(at, k)), at
 
 
 def _matches(item: np.ndarray, doc: np.ndarray, free_item: np.ndarray, free_doc: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """Maximal matches of at least ``k`` unmarked words as (length, item start, document start), longest first."""
-    hi, at_item = _windows(item, free_item, k)
-    hd, at_doc = _windows(doc, free_doc, k)
+    """Maximal matches of at least ``k`` unmarked words as (length, item start, document start), longest first.
+
+    Pairs of equal windows are looked at a part at a time, and of each match only the first is kept, so memory follows the
+    matches and not the pairs.  Lengths are found by bisection on hashes; the caller compares the words.
+    """
+    a, b = _Hashed(item, free_item), _Hashed(doc, free_doc)
+    hi, at_item = a.windows(k)
+    hd, at_doc = b.windows(k)
     order = np.argsort(hi, kind="stable")
     hi, at_item = hi[order], at_item[order]
     lo, up = np.searchsorted(hi, hd), np.searchsorted(hi, hd, "right")
-    many = up - lo
-    if not many.sum():
+    hit = np.flatnonzero(up > lo)
+    at_doc, lo, many = at_doc[hit], lo[hit], (up - lo)[hit]
+    ends = np.cumsum(many)
+    found = []
+    first = 0
+    while first < len(many):
+        before = ends[first] - many[first]
+        last = max(first + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+        n = many[first:last]
+        j = np.repeat(at_doc[first:last], n)
+        i = at_item[np.repeat(lo[first:last], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        inner = (i > 0) & (j > 0)
+        inner[inner] = (item[i[inner] - 1] == doc[j[inner] - 1]) & free_item[i[inner] - 1] & free_doc[j[inner] - 1]
+        found.append((i[~inner], j[~inner]))
+        first = last
+    if not found:
         return []
-    j = np.repeat(at_doc, many)
-    i = at_item[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-    before = (i > 0) & (j > 0)
-    longer = np.zeros(len(i), dtype=bool)
-    longer[before] = ((item[i[before] - 1] == doc[j[before] - 1]) & free_item[i[before] - 1] & free_doc[j[before] - 1])
-    i, j = i[~longer], j[~longer]
-    size = np.full(len(i), k)
-    same = np.array([np.array_equal(item[a:a + k], doc[b:b + k]) for a, b in zip(i, j)], dtype=bool)
-    i, j, size = i[same], j[same], size[same]
-    open_ = np.arange(len(i))
-    while len(open_):
-        a, b = i[open_] + size[open_], j[open_] + size[open_]
-        fits = (a < len(item)) & (b < len(doc))
-        open_, a, b = open_[fits], a[fits], b[fits]
-        on = (item[a] == doc[b]) & free_item[a] & free_doc[b]
-        open_ = open_[on]
-        size[open_] += 1
+    i, j = (np.concatenate(x) for x in zip(*found))
+    size, most = np.full(len(i), k), np.minimum(len(item) - i, len(doc) - j)
+    while (size < most).any():                               # size fits, most + 1 does not
+        half = (size + most + 1) // 2
+        fits = ((a.marked[i + half] == a.marked[i]) & (b.marked[j + half] == b.marked[j]) & (a.hashes(i, half) == b.hashes(j, half)))
+        size, most = np.where(fits, half, size), np.where(fits, most, half - 1)
     order = np.lexsort((j, i, -size))
     return list(zip(size[order].tolist(), i[order].tolist(), j[order].tolist()))
 

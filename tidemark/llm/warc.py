@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import with_least
 from tidemark.session import checkpoint_dir
 
 ARCHIVE_BYTES = 32 << 20        # a file is closed once it holds this much
@@ -33,10 +34,9 @@ def with_digest(pages: DataFrame, key: str = "page_id", html: str = "html", leas
 
     Payloads under ``least_bytes`` have no original.  Keys that are null are ignored unless all are.
     """
-    full = pages.withColumn("payload", F.encode(F.coalesce(html, F.lit("")), "UTF-8")).withColumn(
-        "payload_sha1", F.sha1("payload"))
-    largest = full.where(F.octet_length("payload") >= least_bytes).groupBy("payload_sha1").agg(F.max(key).alias("original"))
-    return full.join(largest, "payload_sha1", "left")
+    full = pages.withColumn("payload", F.encode(F.coalesce(html, F.lit("")), "UTF-8")).withColumn("payload_sha1", F.sha1("payload")).withColumn(
+        "_own", F.when(F.octet_length("payload") >= least_bytes, F.col(key)))
+    return with_least(full, "payload_sha1", "_own", "original", best=F.max).drop("_own")
 
 
 def _record(kind: str, record_id: str, url: str, date: str, body: bytes, content_type: str, extra: dict[str, str]) -> bytes:
