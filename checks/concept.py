@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.bindings import (
     ANCHORS, CONCEPTS, PART_CONCEPTS, PART_FLAGGED, PARTS, parts, r6, rounded, table, yearly, SERIES, YEARLY)
 from checks.registry import check
-from tidemark.operators import concepts, snapshots
+from tidemark.operators import concepts, dictionary, snapshots
 from tidemark.session import cut
 from tidemark.sources import export
 
@@ -156,3 +156,16 @@ def export_nested(spark, folder):
                              export.TOP_PER_CONCEPT, "by_concept")
     body = "array<struct<rank:bigint,job_id:bigint,job_title:string,anchor_similarity:double>>"
     return rounded(nested.select("name", "group_key", F.inline(F.from_json("document", body))), 9)
+
+
+@check("concept_scores_dictionary", """
+WITH names AS (SELECT DISTINCT lower(p_name) AS name FROM part),
+terms AS (SELECT DISTINCT substr(name, 1, 1) AS concept, substr(name, CAST(i AS INT), 3) AS term FROM names, range(1, length(name) - 1) r(i)
+          WHERE trim(substr(name, CAST(i AS INT), 3)) <> '')
+SELECT doc_id, concept, string_agg(term, ',' ORDER BY term) AS terms FROM (SELECT doc_id, lower(text) AS body FROM documents) JOIN terms ON contains(body, term) GROUP BY doc_id, concept""")
+def concept_scores_dictionary(spark, folder):
+    """Some hundred terms, three letters from names of parts under the name's initial, in whole texts."""
+    names = [r[0] for r in table(spark, folder, "part").select(F.lower("p_name")).distinct().collect()]        # the dictionary
+    terms = {(name[0], name[i:i + 3]) for name in names for i in range(len(name) - 2)}
+    found = dictionary.tag_dictionary(table(spark, folder, "documents"), F.col("text"), terms, ["doc_id"])
+    return found.select("doc_id", "concept", F.array_join("terms", ",").alias("terms"))

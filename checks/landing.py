@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.bindings import YEARLY, event_pages, rounded, scratch, table, yearly
 from checks.registry import check
 from tidemark.operators import gaps, landing
-from tidemark.sources import readers
+from tidemark.sources import readers, tables
+from tidemark.streaming import stateful
 from tidemark.streaming.landing import land_stream, page_stream
 
 _FLAT = """flat AS (
@@ -51,6 +53,32 @@ def stream_landing(spark, folder):
     return spark.read.parquet(f"{base}/landed").select(*_columns())
 
 
+@check("stream_landing_stateful", f"WITH {_FLAT} {_FIRST}")
+def stream_landing_stateful(spark, folder):
+    """Three batches in the order of arrival; keys are remembered by the state store."""
+    base = scratch(spark)
+    third = F.ntile(3).over(Window.orderBy("bucket", "page"))
+    event_pages(spark, folder).withColumn("part", third).write.partitionBy("part").json(f"{base}/parts")
+    rows = landing.flatten_hits(page_stream(spark, _in_turn(spark, f"{base}/parts", f"{base}/pages", 3), 1), "2024-01", "https://jobs.example/")
+    stateful.land_stream_stateful(rows, f"{base}/landed", f"{base}/state", arrival=_ARRIVAL).awaitTermination()
+    return spark.read.parquet(f"{base}/landed").select(*_columns())
+
+
+def _in_turn(spark, parts: str, path: str, n: int, kind: str = "json") -> str:
+    """The parts as one file each, dated one after the other as a stream reads them."""
+    fs, to = tables._fs(spark, path)
+    fs.mkdirs(to)
+    for i in range(1, n + 1):
+        one = f"{parts}-{i}"
+        rows = spark.read.format(kind).load(f"{parts}/part={i}") if kind != "json" else spark.read.text(f"{parts}/part={i}")
+        rows.coalesce(1).write.format("text" if kind == "json" else kind).save(one)
+        name = next(f.getPath() for f in fs.listStatus(tables._fs(spark, one)[1]) if f.getPath().getName().startswith("part-"))
+        target = tables._fs(spark, f"{path}/{i}.{kind}")[1]
+        fs.rename(name, target)
+        fs.setTimes(target, 1_700_000_000_000 + i * 1000, -1)
+    return path
+
+
 @check("category_cap", """
 SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) <= 100""")
 def category_cap(spark, folder):
@@ -136,6 +164,21 @@ def gap_audit(spark, folder):
     return rounded(audit.withColumn("total_gap", F.round("total_gap", 3)), 9)
 
 
+@check("gap_stream", f"""WITH {_GAPS}
+SELECT kind, count(*) AS n, round(min(gap), 6) AS min_gap, round(max(gap), 6) AS max_gap, count(*) FILTER (gap < 60) AS n_below_floor,
+  count(*) FILTER (gap < 1) AS n_burst, round(sum(gap), 3) AS total_gap, round(median(gap), 9) AS median_gap FROM gaps GROUP BY 1""")
+def gap_stream(spark, folder):
+    """The audit over events that came in four slices of time."""
+    base = scratch(spark)
+    events = table(spark, folder, "events").select("ts", "event_type", "event_id")
+    events.withColumn("part", F.ntile(4).over(Window.orderBy("ts", "event_id"))).write.partitionBy("part").parquet(f"{base}/parts")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(
+        _in_turn(spark, f"{base}/parts", f"{base}/slices", 4, "parquet"))
+    stateful.gap_stream(stream, f"{base}/out", f"{base}/state", "ts", "event_type", "event_id").awaitTermination()
+    audit = gaps.gap_audit(stateful.read_gaps(spark, f"{base}/out"), {"within": 60, "change": 60})
+    return rounded(audit.withColumn("total_gap", F.round("total_gap", 3)), 9)
+
+
 @check("smallest_gaps", f"""WITH {_GAPS}
 SELECT event_id AS tie, event_type AS key, before AS previous_key, round(gap, 6) AS gap, kind FROM gaps
 ORDER BY gaps.gap, ts, event_id LIMIT 5""")

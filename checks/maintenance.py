@@ -79,18 +79,31 @@ def base_period_first_n(spark, folder):
     return sampling.first_by_id(rows, 200).select("job_id", "priority")
 
 
-@check("sample_uniform")
+def _draw(key: str, seed: int) -> str:
+    return f"((CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{seed}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
+
+
+def _weighted(rows: str, n: str, seed: int, key_seed: int) -> str:
+    weight = f"(0.3 + {_draw('priority', seed)} * 1.7)"
+    return f"SELECT job_id, priority FROM {rows} QUALIFY row_number() OVER (ORDER BY -ln({_draw('job_id', key_seed)}) / {weight}, job_id) <= {n}"
+
+
+@check("sample_uniform", f"""WITH {YEARLY} SELECT snapshot_date, job_id FROM b1 WHERE {_draw('job_id', 2)} < 0.55""")
 def sample_uniform(spark, folder):
     return sampling.sample_fraction(yearly(spark, folder), 0.55).select("snapshot_date", "job_id")
 
 
-@check("sample_weighted")
+@check("sample_weighted", f"WITH {YEARLY}, y AS (SELECT * FROM b1 WHERE snapshot_date = '1996') {_weighted('y', '100', 7, 3)}")
 def sample_weighted(spark, folder):
     rows = yearly(spark, folder).where("snapshot_date = '1996'")
     return sampling.sample_weighted(rows, 100, sampling.category_weight("priority", 7)).select("job_id", "priority")
 
 
-@check("synth_snapshot")
+@check("synth_snapshot", f"""WITH {YEARLY}, y AS (SELECT * FROM b1 WHERE snapshot_date = '1996'),
+base AS (SELECT * FROM y ORDER BY job_id LIMIT 300), kept AS (SELECT * FROM base WHERE {_draw('job_id', 7)} < 0.55),
+pool AS (SELECT * FROM y WHERE job_id NOT IN (SELECT job_id FROM base)),
+fresh AS ({_weighted('pool', '300 - (SELECT count(*) FROM kept)', 7, 8)})
+SELECT '1996-dev' AS snapshot_date, job_id FROM (SELECT job_id FROM kept UNION ALL SELECT job_id FROM fresh)""")
 def synth_snapshot(spark, folder):
     rows = yearly(spark, folder).where("snapshot_date = '1996'")
     return sampling.synthetic_snapshot(rows, "1996-dev", 300, 300, category="priority").select("snapshot_date", "job_id")
