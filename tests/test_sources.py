@@ -164,3 +164,11 @@ def test_an_upsert_is_evaluated_once_and_conflicts_are_seen(spark, folder):
         tables._point(spark, path, now["number"], df.schema, True, {})
     with pytest.raises(ValueError):
         tables.replace_table(df, path, "v")
+
+
+def test_reports_of_a_fresh_base_are_empty(spark, folder):
+    from tidemark.plans.reports import Reports
+
+    r = Reports(spark, f"{folder}/none")
+    for made in (r.concepts(), r.concept_examples("x"), r.concept_candidates(), r.timeline(), r.category_series(), r.cluster_series()):
+        assert made.columns and made.count() == 0

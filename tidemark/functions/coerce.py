@@ -13,9 +13,9 @@ from tidemark.functions.text import strip
 TIMESTAMP_FORMATS = (
     "yyyy-M-d H:mm:ss", "yyyy/M/d H:mm:ss", "yyyy-M-d'T'H:mm:ss", "yyyy-M-d'T'H:mm:ssXXX", "yyyy-M-d'T'H:mm:ss.SSS",
     "yyyy-M-d'T'H:mm:ss.SSSSSS", "yyyy-M-d H:mm:ss.SSSSSS", "yyyy-M-d H:mm", "yyyy/M/d H:mm", "yyyy-M-d", "yyyy/M/d",
-    "yyyyMMdd",
+    "yyyyMMdd", "yyyyMMddHHmmss",
 )
-_ISO = (r"\A(\d{4})[-/](\d{1,2})[-/](\d{1,2})[T ](\d{1,2}):(\d{2})(:\d{2})?(\.\d{1,9})?\s?(Z|[+-]\d{2}:?\d{2})?()\z")
+_ISO = (r"\A(\d{4})[-/](\d{1,2})[-/](\d{1,2})[T ](\d{1,2}):(\d{2})(:\d{2})?(\.\d{1,9})?\s?(Z|[+-]\d{2}(?::?\d{2})?)?()\z")
 _FIELD = re.compile(r"'([^']*)'|([a-zA-Z])\2*|(.)")
 
 
@@ -42,10 +42,11 @@ def text_or_blank(value: Column) -> Column:
 
 def to_timestamp(value: Column, formats: tuple[str, ...] = TIMESTAMP_FORMATS) -> Column:
     """The listed spellings, then any ISO-like one: ``-`` or ``/``, ``T`` or a blank, a fraction of 1 to 9 digits and a
-    zone as ``Z``, ``+08:00`` or ``+0800``, each optional.  Anything else is null."""
+    zone as ``Z``, ``+08:00``, ``+0800`` or ``+08``, each optional.  Anything else is null."""
     listed = [F.when(value.rlike(_shape(f)), F.try_to_timestamp(value, F.lit(f))) for f in formats]
     plain = F.regexp_replace(value, _ISO, "$1-$2-$3 $4:$5:00$6$7$8$9")
     plain = F.regexp_replace(F.regexp_replace(plain, r"(:\d{2}):00(:\d{2})", "$1$2"), r"([+-]\d{2})(\d{2})\z", "$1:$2")
+    plain = F.regexp_replace(plain, r"(:\d{2}(?:\.\d+)?[+-]\d{2})\z", "$1:00")
     return F.coalesce(*listed, F.when(value.rlike(_ISO), plain.try_cast("timestamp")))
 
 

@@ -72,11 +72,11 @@ def concept_summary(tagged: DataFrame, flagged: Iterable[str], pay: str = "salar
     base = long.groupBy("concept").agg(
         F.count(F.when(F.col("hit"), 1)).alias("n"), F.avg(F.col("hit").cast("double")).alias("share"),
         F.count(hit_pay).alias("_paid"), F.avg("sim").alias("_mean"), F.stddev_pop("sim").alias("_std"))
-    measures = long.select("concept", F.inline(F.array(
+    measures = long.select("concept", F.inline(F.filter(F.array(
         F.struct(F.lit("pay").alias("measure"), hit_pay.alias("x")),
         F.struct(F.lit("len").alias("measure"), F.when(F.col("hit"), F.col("_len")).alias("x")),
         F.struct(F.lit("sim").alias("measure"), F.when(F.col("hit"), F.col("sim")).alias("x")),
-        F.struct(F.lit("all").alias("measure"), F.col("sim").alias("x")))))
+        F.struct(F.lit("all").alias("measure"), F.col("sim").alias("x"))), lambda m: m.getField("x").isNotNull())))
     levels = exact_quantiles(measures, ["concept", "measure"], "x", {"p50": 0.5, "p99": 0.99})
     wide = levels.groupBy("concept").agg(
         F.max(F.when(F.col("measure") == "pay", F.col("p50"))).alias("median_salary"),
@@ -159,9 +159,9 @@ def keyword_vs_vector(tagged: DataFrame, key: str, top: int = 500) -> DataFrame:
     totals = long.groupBy("concept").agg(F.count(F.when(F.col("hit"), 1)).alias("n_hits"))
     ranked = top_n(long, ["concept"], [F.col("sim").desc_nulls_last(), F.col(key).asc()], top)
     found = ranked.groupBy("concept").agg(F.count(F.when(F.col("hit"), 1)).alias("n_found"))
-    measures = long.select("concept", F.inline(F.array(
+    measures = long.select("concept", F.inline(F.filter(F.array(
         F.struct(F.lit("hit").alias("measure"), F.when(F.col("hit"), F.col("sim")).alias("x")),
-        F.struct(F.lit("all").alias("measure"), F.col("sim").alias("x")))))
+        F.struct(F.lit("all").alias("measure"), F.col("sim").alias("x"))), lambda m: m.getField("x").isNotNull())))
     levels = exact_quantiles(measures, ["concept", "measure"], "x", {"p50": 0.5, "p99": 0.99}).groupBy("concept").agg(
         F.max(F.when(F.col("measure") == "hit", F.col("p50"))).alias("median_hits"),
         F.max(F.when(F.col("measure") == "all", F.col("p99"))).alias("p99_all"))

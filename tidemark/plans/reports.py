@@ -12,7 +12,7 @@ from tidemark.session import small_table
 from tidemark.sources import export, tables
 from tidemark.sources.meta import meta_dict
 
-TABLES = ["postings", "vectors", *DERIVED, "concept_summary", "concept_examples", "concept_candidates"]
+TABLES = ["postings", "vectors", *DERIVED]
 _MEMBER_COLUMNS = ["job_title", "company_name", "bucket_label", "industry_class", "city_name", "salary_desc", "job_url"]
 _CONCEPT_COLUMNS = ["job_title", "company_name", "bucket_label", "industry_class", "city_name", "salary_month_min", "job_url"]
 

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from tidemark.settings import CANONICAL_COLUMNS
 
+# --- fixed values: the columns of a landed posting -------------------------------------------
 SOURCE_COLUMNS = [
     "job_id", "job_title", "company_id", "company_name", "updated_at",
     "industry_id", "industry_name", "industry_bucket", "exp_code",
@@ -26,7 +27,7 @@ LANDING = T.StructType([T.StructField(c, T.StringType()) for c in ["snapshot_dat
 
 POSTINGS = T.StructType([T.StructField(c, _TYPED.get(c, T.StringType())) for c in CANONICAL_COLUMNS])
 
-#: one fetched result page: nested hits plus the bucket and page that asked for them
+#: fixed values: one fetched result page, nested hits plus the bucket and page that asked for them
 HIT_PAGE = (
     "bucket string, page int, result struct<"
     "pagination: struct<page: int, `limit`: int, totalCount: bigint, totalPage: int>,"
@@ -38,6 +39,7 @@ HIT_PAGE = (
 
 VECTORS = "snapshot_date string, job_id string, vec array<float>"
 
+# --- fixed values: the columns of the derived tables ------------------------------------------
 DERIVED = {
     "reference_labels": ("job_id string, cluster_id bigint"),
     "clusters": (
@@ -60,6 +62,16 @@ DERIVED = {
         "from_snapshot string, to_snapshot string, n_survivors bigint, n_comparable bigint,"
         " agreement double, noise_floor double"),
     "concept_scores": ("snapshot_date string, job_id string, concept string, anchor_similarity double"),
+    "concept_summary": (
+        "concept string, is_ai boolean, n bigint, share double, median_salary double, salary_premium double,"
+        " salary_coverage double, median_desc_len double, anchor_sim_median double, anchor_sim_p99_all double,"
+        " separation_sigma double"),
+    "concept_examples": (
+        "job_id string, job_title string, company_name string, bucket_label string, industry_class string,"
+        " city_name string, salary_month_min double, job_url string, concept string, anchor_similarity double"),
+    "concept_candidates": (
+        "job_id string, job_title string, company_name string, bucket_label string, job_url string, concept string,"
+        " anchor_similarity double"),
     "analysis_meta": ("key string, value string"),
     "concept_meta": ("key string, value string"),
 }
