@@ -1,6 +1,8 @@
 """Rows that every operator must take: nulls, empty and long texts, ties, repeated rows, clashing names, no rows."""
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, seeds string, w0 string, shard string, label string, _text2 string"
+#: names that the operators use themselves
+CLASHING = ("score", "lang_pred", "row_hash", "_new", "_changed", "_text", "_row", "_row_hash", "_first", "body", "node")
 LONG = "the quick brown fox jumps over it and the dog sleeps in the sun. " * 3000
 
 

@@ -325,3 +325,57 @@ def test_pipeline_stages(spark, folder):
     assert sizes[0] >= sizes[1] > sizes[2] >= sizes[3] == sizes[4]
     pieces = docs.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
     assert len(pieces) == sizes[4] and all(p.n == p.t for p in pieces)
+
+
+def test_draws_are_hypergeometric_at_any_size():
+    rng = np.random.Generator(np.random.PCG64(5))
+    for good, bad, n in ((3, 5, 4), (50, 20, 30), (1000, 3000, 200)):
+        got = np.array([sharding._hypergeometric(rng, good, bad, n) for _ in range(4000)])
+        mean, var = n * good / (good + bad), n * good * bad * (good + bad - n) / ((good + bad) ** 2 * (good + bad - 1))
+        assert abs(got.mean() - mean) < 5 * (var / 4000) ** 0.5 and abs(got.var() / var - 1) < 0.15
+        assert got.min() >= max(0, n - bad) and got.max() <= min(good, n)
+    from math import comb
+    exact = [comb(3, x) * comb(5, 4 - x) / comb(8, 4) for x in range(4)]
+    got = np.bincount([sharding._hypergeometric(rng, 3, 5, 4) for _ in range(8000)], minlength=4) / 8000
+    assert np.abs(got - exact).max() < 0.03
+    big = np.array([sharding._hypergeometric(rng, 3 * 10 ** 9, 10 ** 9, 10 ** 6) for _ in range(1500)])
+    assert abs(big.mean() - 750_000) < 5 * 433 / 1500 ** 0.5 and abs(big.std() / 433 - 1) < 0.1
+    assert sharding._hypergeometric(rng, 0, 5, 3) == 0 and sharding._hypergeometric(rng, 5, 0, 3) == 3
+
+
+def test_long_repeats_tile_in_bounded_memory():
+    import tracemalloc
+    rng = np.random.default_rng(1)
+    line = rng.integers(1, 1 << 60, 9).astype(np.uint64)
+    item = np.concatenate([np.tile(line, 100), rng.integers(1, 1 << 60, 3).astype(np.uint64), np.tile(line, 122)])[:2000]
+    tracemalloc.start()
+    found = tiling.tiles(item, np.tile(line, 4445)[:40000])
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert sum(size for _, _, size in found) == 1997
+
+
+SENTENCES = "The quick brown fox jumps over the lazy dog and it was not amused by this at all, for the day was long and the sun was hot. "
+
+
+@pytest.mark.parametrize("page", [
+    '<main class="main has-sidebar">%s</main>', '<article class="post has-comments">%s</article>', '<div class="content with-sidebar">%s</div>',
+    '<div id="no-sidebar">%s</div>', '<div class="site fixed-header">%s</div>', "<button>Go<div>%s</div>", "<title>T<body><div>%s</div>",
+    '<div class="sidebar"><article>%s</article></div>', "<body><select><option>a<p>x</p>%s</body>", '<div class="navigable">%s</div>'])
+def test_articles_survive_names_and_open_tags(page):
+    text = f"<p>{SENTENCES}</p>"
+    assert blocks.main_text(page % text * 1).endswith(SENTENCES.strip())
+
+
+@pytest.mark.parametrize("place", ['<div class="sidebar">%s</div>', '<div class="sidebar-left">%s</div>', '<div id="site-footer">%s</div>', "<nav>%s</nav>",
+                                   '<div class="post-comments">%s</div>', '<div class="side-bar">%s</div>', '<ul class="menu main-menu">%s</ul>'])
+def test_places_beside_the_article_go(place):
+    assert blocks.main_text(f"<article><p>{SENTENCES}</p></article>" + place % f"<p>{SENTENCES}</p>") == SENTENCES.strip()
+
+
+def test_other_languages_lists_and_captions():
+    russian = "<p>Быстрая коричневая лиса прыгает через ленивую собаку, и это было очень смешно для всех собравшихся там людей.</p>"
+    assert len(blocks.main_text(f"<div>{russian * 3}</div>")) > 300
+    items = "<ul>" + "<li>An item of the list that has some text now.</li>" * 5 + "</ul>"
+    assert blocks.main_text(items).count("An item") == 5
+    assert blocks.main_text(f"<article><figure><figcaption>What it shows</figcaption></figure><p>{SENTENCES}</p></article>").startswith("What it shows")
