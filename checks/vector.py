@@ -12,7 +12,8 @@ from tidemark.functions.vectors import l2_normalize, norm
 from tidemark.operators import clusters, encode, neighbors, snapshots, textfeatures
 from tidemark.operators.ranking import modal_value
 from tidemark.plans.analysis import Options, reference_labels, run_analysis
-from tidemark.session import cut
+from tidemark.session import cut, small_table
+from tidemark.sources.tables import read_table, replace_table
 
 VOTE, FLOOR = 0.20, 0.25
 
@@ -298,7 +299,7 @@ def loop_inputs(spark, folder):
 
 
 def loop_options(**changes) -> Options:
-    return Options("s1", vote_ratio=VOTE, sim_floor=FLOOR, eps=0.28, residue_eps=0.20, grid=[8, 12], n_init=1, **changes)
+    return Options("s1", vote_ratio=VOTE, sim_floor=FLOOR, eps=0.28, residue_eps=0.20, **changes)
 
 
 @check("snapshot_loop")
@@ -306,17 +307,46 @@ def snapshot_loop(spark, folder):
     rows, vectors = loop_inputs(spark, folder)
     base = scratch(spark)
     run_analysis(rows, vectors, base, loop_options())
-    return spark.read.parquet(f"{base}/job_cluster")
+    return read_table(spark, f"{base}/job_cluster")
+
+
+@check("snapshot_loop_resume", """
+SELECT table_name, TRUE AS same FROM (VALUES ('job_cluster'), ('clusters'), ('cluster_flow'), ('survival'), ('cluster_timeseries'),
+  ('company_shift'), ('assignment_stability')) t(table_name)""")
+def snapshot_loop_resume(spark, folder):
+    """The late snapshot changes after a run: going on from the reference gives the tables of a whole run."""
+    rows, vectors = loop_inputs(spark, folder)
+    went_on, whole = scratch(spark), scratch(spark)
+    later = vectors.where("snapshot_date = 's1' OR CAST(job_id AS INT) % 3 <> 0")
+    run_analysis(rows, later, went_on, loop_options())
+    run_analysis(rows, vectors, went_on, loop_options(resume=True))
+    run_analysis(rows, vectors, whole, loop_options())
+    steps = read_table(spark, f"{went_on}/analysis_meta").where("key = 'n_steps_run'").head()["value"]
+
+    def difference(name):
+        a, b = (rounded(read_table(spark, f"{base}/{name}"), 9) for base in (went_on, whole))
+        b = b.select(*a.columns)
+        return a.exceptAll(b).unionByName(b.exceptAll(a))
+
+    names = ("job_cluster", "clusters", "cluster_flow", "survival", "cluster_timeseries", "company_shift", "assignment_stability")
+    return small_table(spark, [(n, steps == "1" and difference(n).isEmpty()) for n in names], "table_name string, same boolean")
 
 
 @check("reference_reuse", """
-SELECT CAST(vec_id AS VARCHAR) AS job_id, TRUE AS same FROM embeddings WHERE label <= 6""")
+WITH r AS (SELECT vec_id FROM embeddings WHERE label <= 6)
+SELECT CAST(vec_id AS VARCHAR) AS job_id, vec_id % 10 = 3 AS moved_once, vec_id % 10 = 3 AS moved_again FROM r
+WHERE vec_id <> (SELECT max(vec_id) FROM r)""")
 def reference_reuse(spark, folder):
-    """A second call reuses the stored reference labels: every reference row keeps its cluster."""
+    """Labels set by hand are reused while the ids are the same, and fitted anew once an id is gone."""
     _, vectors = loop_inputs(spark, folder)
     base = scratch(spark)
     early = cut(vectors.where("snapshot_date = 's1'").select("job_id", "vec"))
-    first, _ = reference_labels(early, base, loop_options())
-    first = cut(first.withColumnRenamed("cluster_id", "_first"))
+    marked = early.select("job_id", F.when(F.col("job_id").cast("int") % 10 == 3, 77).otherwise(0).cast("long").alias("cluster_id"))
+    replace_table(marked, f"{base}/reference_labels")
     again, _ = reference_labels(early, base, loop_options())
-    return again.join(first, "job_id").select("job_id", (F.col("_first") == F.col("cluster_id")).alias("same"))
+    reused = cut(again.select("job_id", (F.col("cluster_id") == 77).alias("moved_once"), F.col("cluster_id").alias("_was")))
+    last = early.orderBy(F.col("job_id").cast("int").desc()).head()["job_id"]
+    fitted, _ = reference_labels(early.where(F.col("job_id") != last), base, loop_options())
+    fresh = fitted.where("cluster_id <> 77").select("job_id")
+    return reused.where(F.col("job_id") != last).join(fresh, "job_id").select(
+        "job_id", "moved_once", (F.col("_was") == 77).alias("moved_again"))

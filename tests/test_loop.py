@@ -1,4 +1,6 @@
 import json
+import tempfile
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -124,6 +126,32 @@ def test_rerun_reuses_reference_and_gives_the_same_tables(spark, built):
     assert sorted(map(tuple, reports.table("cluster_flow").collect())) == flow
 
 
+def test_resume_runs_only_what_changed(spark, built, folder):
+    base, reports, options = built
+    postings, vectors = reports.table("postings"), reports.table("vectors")
+    go_on = replace(options, resume=True)
+    names = ("job_cluster", "clusters", "pool", "survival", "cluster_flow", "cluster_timeseries", "flow_category_cluster", "company_shift", "assignment_stability")
+
+    def state(at):
+        return {n: sorted(repr(sorted(r.asDict().items())) for r in tables.read_table(spark, f"{at}/{n}").collect()) for n in names}
+
+    def steps(at):
+        return int(Reports(spark, at).meta()["n_steps_run"])
+
+    run_analysis(postings, vectors.where(F.col("snapshot_date") != SNAPS[2]), folder, go_on)
+    assert steps(folder) == 2
+    run_analysis(postings, vectors, folder, go_on)                              # one snapshot more
+    assert steps(folder) == 1 and state(folder) == state(base)
+    run_analysis(postings, vectors, folder, go_on)
+    assert steps(folder) == 0 and state(folder) == state(base)
+    fewer = vectors.where((F.col("snapshot_date") != SNAPS[1]) | ~F.col("job_id").startswith("g9"))
+    run_analysis(postings, fewer, folder, go_on)                               # the middle one changes: no emergent group there
+    assert steps(folder) == 2
+    whole = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    run_analysis(postings, fewer, whole, options)
+    assert state(folder) == state(whole)
+
+
 def test_export(spark, built, folder):
     _, reports, _ = built
     reports.export(folder)
