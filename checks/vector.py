@@ -298,6 +298,10 @@ def loop_inputs(spark, folder):
     return rows, v.select("snapshot_date", "job_id", "vec")
 
 
+#: for queries that show something else than the fit: fewer counts and starts of the fallback
+QUICK = {"grid": [8, 12], "n_init": 1}
+
+
 def loop_options(**changes) -> Options:
     return Options("s1", vote_ratio=VOTE, sim_floor=FLOOR, eps=0.28, residue_eps=0.20, **changes)
 
@@ -318,9 +322,9 @@ def snapshot_loop_resume(spark, folder):
     rows, vectors = loop_inputs(spark, folder)
     went_on, whole = scratch(spark), scratch(spark)
     later = vectors.where("snapshot_date = 's1' OR CAST(job_id AS INT) % 3 <> 0")
-    run_analysis(rows, later, went_on, loop_options())
-    run_analysis(rows, vectors, went_on, loop_options(resume=True))
-    run_analysis(rows, vectors, whole, loop_options())
+    run_analysis(rows, later, went_on, loop_options(**QUICK))
+    run_analysis(rows, vectors, went_on, loop_options(resume=True, **QUICK))
+    run_analysis(rows, vectors, whole, loop_options(**QUICK))
     steps = read_table(spark, f"{went_on}/analysis_meta").where("key = 'n_steps_run'").head()["value"]
 
     def difference(name):
@@ -343,10 +347,10 @@ def reference_reuse(spark, folder):
     early = cut(vectors.where("snapshot_date = 's1'").select("job_id", "vec"))
     marked = early.select("job_id", F.when(F.col("job_id").cast("int") % 10 == 3, 77).otherwise(0).cast("long").alias("cluster_id"))
     replace_table(marked, f"{base}/reference_labels")
-    again, _ = reference_labels(early, base, loop_options())
+    again, _ = reference_labels(early, base, loop_options(**QUICK))
     reused = cut(again.select("job_id", (F.col("cluster_id") == 77).alias("moved_once"), F.col("cluster_id").alias("_was")))
     last = early.orderBy(F.col("job_id").cast("int").desc()).head()["job_id"]
-    fitted, _ = reference_labels(early.where(F.col("job_id") != last), base, loop_options())
+    fitted, _ = reference_labels(early.where(F.col("job_id") != last), base, loop_options(**QUICK))
     fresh = fitted.where("cluster_id <> 77").select("job_id")
     return reused.where(F.col("job_id") != last).join(fresh, "job_id").select(
         "job_id", "moved_once", (F.col("_was") == 77).alias("moved_again"))
