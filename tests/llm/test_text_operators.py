@@ -98,7 +98,7 @@ def test_base_rules_against_brute_force(spark):
 
 
 def brute_kneser_ney(strings):
-    """Interpolated modified Kneser-Ney over class sequences, by definition; returns p(w | three before)."""
+    """Interpolated modified Kneser-Ney over class sequences, each counted once a string, by definition; returns p(w | those before)."""
     order, bits = perplexity.ORDER, perplexity.CLASS_BITS
     import pyarrow as pa
     from tidemark.llm.common import text_slices
@@ -107,7 +107,7 @@ def brute_kneser_ney(strings):
         sym, doc = perplexity.symbols(data, offsets)
         for d in range(len(strings)):
             s = [0] * (order - 1) + sym[doc == d].tolist()
-            counts.update(tuple(s[i:i + order]) for i in range(len(s) - order + 1))
+            counts.update({tuple(s[i:i + order]) for i in range(len(s) - order + 1)})
     levels = {order: counts}
     for k in range(order - 1, 0, -1):
         levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
@@ -134,17 +134,50 @@ def brute_kneser_ney(strings):
 def test_kneser_ney_against_its_definition(spark):
     strings = ["the cat sat on the mat. the cat ran", "a dog, a log; a Bog 12", "the dog sat é on the log", ""]
     docs = spark.createDataFrame([(i, s, "en") for i, s in enumerate(strings)], "doc_id bigint, text string, lang string")
-    arrays = perplexity.sorted_arrays(perplexity.kneser_ney(perplexity.count_ngrams(docs)))
-    scorer, p = perplexity.Scorer(arrays["en"]), brute_kneser_ney(strings)
+    model = perplexity.kneser_ney(perplexity.count_ngrams(docs)).toArrow()
+    scorer, p = perplexity.sorted_arrays(model)["en"], brute_kneser_ney(strings)
     rng = random.Random(3)
-    grams = [tuple(rng.choice([0, 1, 3, 5, 8, 20, 40, 63]) for _ in range(4)) for _ in range(60)] + [(20, 8, 5, 0), (0, 3, 1, 20)]
-    codes = np.array([((a * 64 + b) * 64 + c) * 64 + d for a, b, c, d in grams], dtype=np.uint32)
-    assert np.allclose(scorer.log_probabilities(codes), [np.log(p(g)) for g in grams], atol=1e-4)
-    for context in [(20, 8, 5), (63, 63, 63)]:
-        every = np.array([((context[0] * 64 + context[1]) * 64 + context[2]) * 64 + w for w in range(64)], dtype=np.uint32)
+    pool = [*map(ord, "theocadgs"), 0, 0xE9, 1000]
+    coded = lambda g: tuple(0 if c == " " else ord(c) for c in g)
+    grams = [tuple(rng.choice(pool) for _ in range(perplexity.ORDER)) for _ in range(60)]
+    grams += [coded(g[:perplexity.ORDER]) for g in ("the ca", " on th", "sat on", "   the", " a dog", "t é on")]
+    assert np.allclose(scorer.log_probabilities(code_of(grams)), [np.log(p(g)) for g in grams], atol=1e-4)
+    for context in ["the c", "zzzzz", "t on "]:
+        every = code_of([(*coded(context[:perplexity.ORDER - 1]), w) for w in range(perplexity.CLASSES)])
         assert abs(np.exp(scorer.log_probabilities(every)).sum() - 1) < 1e-3
 
 
+def test_the_model_grows_with_its_texts(spark):
+    """More texts give more entries: nothing bounds the alphabet or the number of n-grams."""
+    def size(n):
+        docs = spark.createDataFrame([(i, "".join(chr(0x4E00 + (i * 97 + j * j) % 20000) for j in range(200)), "zh") for i in range(n)], "doc_id bigint, text string, lang string")
+        return perplexity.count_ngrams(docs).count()
+
+    sizes = [size(n) for n in (10, 40, 160)]
+    assert sizes[1] > 3 * sizes[0] and sizes[2] > 3 * sizes[1]
+
+
+def test_a_split_model_scores_alike(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 40) + " é 東京 " * (i % 3), "en" if i % 4 else None) for i in range(30)] + [(7, "the cat", "de")] * 3 + [(8, None, "de"), (None, "the cat", "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("_same", F.xxhash64("text"))
+    model = perplexity.cut(perplexity.kneser_ney(perplexity.count_ngrams(docs)))
+    results = []
+    for entries in (perplexity.MODEL_ENTRIES, 400):
+        folder, turns = perplexity.stored(model, entries)
+        assert (len(turns) == 1) == (entries > 400)
+        found = perplexity.scored(docs, ["doc_id", "_same"], "text", "lang", folder, turns).collect()
+        results.append(sorted((tuple(str(v) for v in r[:-1]), round(r.loss or -1, 9)) for r in found))
+    assert len(results[0]) == len(rows) and results[0] == results[1]
+
+
+def code_of(grams):
+    out = np.zeros(len(grams), dtype=np.int64)
+    for column in np.array(grams, dtype=np.int64).T:
+        out = out << perplexity.CLASS_BITS | column
+    return out
+
+
 def test_bands_reject_noise_and_keep_prose(spark):
     rng = random.Random(4)
     words = ["the", "cat", "house", "of", "and", "river", "to", "green", "walks", "in", "old", "stone"]

@@ -1,9 +1,11 @@
 """Quality rules by n-gram perplexity under a modified Kneser-Ney model counted by Spark.
 
-The units are characters in 64 classes, so an n-gram of order four is an exact 24-bit number and a language's
-model has at most 2**24 entries however large the corpus is.  Counts cover every text of the corpus, a hot text
-once: tasks count their own n-grams in sorted arrays, Spark adds them up, and the discounts, continuation counts
-and interpolated probabilities are DataFrame steps over the counts.  Scoring looks n-grams up in sorted arrays.
+The units are code points: all capitals, all digits and all white space of ASCII are one class each, Latin-1 is taken
+as it is and the rest hashed to 32,512 classes, so an n-gram of order four is an exact 60-bit number and the model has
+no fixed size: it gets larger with the corpus.  An n-gram's count is the number of different texts of its language
+that hold it: tasks count their own n-grams in sorted arrays, Spark adds them up, and the discounts, continuation
+counts and interpolated probabilities are DataFrame steps over the counts.  The model is a table of sorted arrays in
+the checkpoint folder, in parts of bounded size that the scoring tasks read; the driver never holds it.
 Bands are by language: quartiles of the log-perplexity of the different texts, widened by a multiple of their
 distance and at least by a fixed width, so that copies or a language of one text can't close the band.
 """
@@ -11,21 +13,25 @@ distance and at least by a fixed width, so that copies or a language of one text
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, mix, runs, span_hashes, text_slices, window_hashes
+from tidemark.llm.common import BASE, SPACES, mix, runs, span_hashes, text_slices, window_hashes
 from tidemark.llm.tiling import bloom, in_bloom
-from tidemark.session import cut
+from tidemark.session import checkpoint_dir, cut, small_table
 
-ORDER, CLASS_BITS = 4, 6
-COUNT_CODES = 1 << 22           # n-grams sorted at once by a counting task
-MODEL_ENTRIES = 24_000_000      # entries scored with at once; more languages than fit are scored in turns
+ORDER, CLASS_BITS = 4, 15
+CLASSES = 1 << CLASS_BITS
+COUNT_CODES = 1 << 22           # n-grams sorted at once by a counting task, and sums that it holds before handing them on
+MODEL_ENTRIES = 16_000_000      # entries a scoring task holds at once, 12 bytes each; larger models are scored with in turns
 BAND = 3.0                      # quartile distances between a quartile and the edge of the band; figures in the README
 LEAST_WIDTH = 0.05              # of log-perplexity: a band reaches at least as far beyond both quartiles, 50 steps of the grid
 BIN = 0.001                     # grid of log-perplexity on which quartiles are taken
@@ -38,15 +44,10 @@ _SYMBOL[list(SYMBOLS.encode())] = True
 
 
 def _classes() -> np.ndarray:
-    """Class of each byte: 0 white space, 1-26 letters, 27 capitals, 28 digits, 29-39 other ASCII, 40-63 beyond ASCII."""
-    out = np.full(256, 39, dtype=np.uint32)
+    """Class of each ASCII byte: white space and controls 0, all digits and all capitals one class each, others themselves."""
+    out = np.arange(256)
     out[:33] = 0
-    out[97:123] = np.arange(1, 27)
-    out[65:91] = 27
-    out[48:58] = 28
-    for i, c in enumerate(".,!?'\"-|#"):
-        out[ord(c)] = 29 + i
-    out[list(b"*$%&<>")] = 38
+    out[48:58], out[65:91] = ord("0"), ord("A")
     return out
 
 
@@ -54,81 +55,92 @@ _CLASS = _classes()
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each code point, its text).  A code point beyond ASCII is hashed by its bytes to one of 24 classes."""
-    lead = (data & 0xC0) != 0x80
-    at = np.flatnonzero(lead)
+    """(class of each code point, its text): ASCII by :func:`_classes`, Latin-1 as it is, others by a hash of their bytes."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[at].astype(np.int64)
     out = _CLASS[data[at]]
-    wide = data[at] >= 0x80
+    wide = lead >= 0x80
     spots = at[wide]
-    value = np.zeros(len(spots), dtype=np.uint32)
+    value = np.zeros(len(spots), dtype=np.int64)
     for step in range(4):
-        byte = data[np.minimum(spots + step, len(data) - 1)]
-        own = (step == 0) | ((byte & 0xC0) == 0x80)
-        value = np.where(own, value * np.uint32(67) + byte, value)
-    out[wide] = 40 + value % 24
+        byte = data[np.minimum(spots + step, len(data) - 1)].astype(np.int64)
+        value = np.where((step == 0) | ((byte & 0xC0) == 0x80), value * 67 + byte, value)
+    latin = (lead[wide] & 0xFE) == 0xC2
+    out[wide] = np.where(latin, (lead[wide] & 3) << 6 | (data[np.minimum(spots + 1, len(data) - 1)] & 0x3F), 256 + value % (CLASSES - 256))
     return out, np.searchsorted(offsets, at, "right") - 1
 
 
 def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n-gram code, text) of each code point of a text: its class after those of the three before it, blanks at the start."""
     sym, doc = symbols(data, offsets)
-    if not len(sym):
-        return np.zeros(0, dtype=np.uint32), doc
-    code = np.zeros(len(sym), dtype=np.uint32)
-    for back in range(ORDER):
-        part = np.zeros(len(sym), dtype=np.uint32)
-        part[back:] = sym[:len(sym) - back]
-        part[:back] = 0
-        if back:
-            part[back:][doc[back:] != doc[:-back]] = 0
-        code |= part << np.uint32(CLASS_BITS * back)
+    code = sym.copy()
+    for back in range(1, min(ORDER, len(sym))):
+        code[back:] |= np.where(doc[back:] == doc[:-back], sym[:-back], 0) << (CLASS_BITS * back)
     return code, doc
 
 
+def _middle(code: np.ndarray | Column) -> np.ndarray | Column:
+    """A number of the last two classes of ``code``, alike in numpy and in Spark, by which a large model is split."""
+    if isinstance(code, Column):
+        return F.shiftright(F.pmod(code.bitwiseAND(F.lit((1 << 2 * CLASS_BITS) - 1)) * F.lit(2654435761), F.lit(1 << 32)), 8)
+    return ((code & ((1 << 2 * CLASS_BITS) - 1)) * 2654435761 % (1 << 32)) >> 8
+
+
 def _language(lang: str) -> Column:
     return F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN))
 
 
 def count_ngrams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, code, n): every n-gram of every text, added up by Spark after a sum in each task."""
+    """(lang, code, n): the texts that hold each n-gram, added up by Spark after sums in each task.
+
+    A task hands its sums on when they reach ``COUNT_CODES`` entries, so its memory doesn't follow its input.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         waiting: dict[str, list[np.ndarray]] = {}
-        sizes: dict[str, int] = {}
-
-        def settle(name: str) -> None:
-            code, n = np.unique(np.concatenate(waiting.pop(name)), return_counts=True)
-            sizes[name] = 0
-            if name in sums:
-                code, n = np.concatenate([sums[name][0], code]), np.concatenate([sums[name][1], n])
-                order = np.argsort(code, kind="stable")
-                code, n = code[order], n[order]
-                first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-                code, n = code[first], np.add.reduceat(n, first)
-            sums[name] = (code, n)
 
+        def settle() -> int:
+            for name, parts in waiting.items():
+                code, n = np.unique(np.concatenate(parts), return_counts=True)
+                if name in sums:
+                    code, n = np.concatenate([sums[name][0], code]), np.concatenate([sums[name][1], n])
+                    order = np.argsort(code, kind="stable")
+                    code, n = code[order], n[order]
+                    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                    code, n = code[first], np.add.reduceat(n, first)
+                sums[name] = (code, n)
+            waiting.clear()
+            return sum(len(code) for code, _ in sums.values())
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            for name, (code, n) in sums.items():
+                for i in range(0, len(code), 100_000):
+                    part = slice(i, i + 100_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(code[part]), pa.string()), pa.array(code[part], pa.int64()), pa.array(n[part].astype(np.int64))],
+                        names=["lang", "code", "n"])
+            sums.clear()
+
+        size = 0
         for batch in batches:
             names = np.array(batch.column(0).to_pylist(), dtype=object)
             for first, last, data, offsets in text_slices(batch.column(1)):
                 code, doc = codes(data, offsets)
+                _, fresh = np.unique(mix(code.view(np.uint64) * np.uint64(BASE) + doc.astype(np.uint64)), return_index=True)
+                code, doc = code[fresh], doc[fresh]
                 part = names[first:last]
                 for name in set(part.tolist()):
-                    own = code[(part == name)[doc]]
-                    waiting.setdefault(name, []).append(own)
-                    sizes[name] = sizes.get(name, 0) + len(own)
-                    if sizes[name] >= COUNT_CODES:
-                        settle(name)
-        for name in list(waiting):
-            settle(name)
-        for name, (code, n) in sums.items():
-            for i in range(0, len(code), 100_000):
-                part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(code[part]), pa.string()), pa.array(code[part].astype(np.int32)), pa.array(n[part].astype(np.int64))],
-                    names=["lang", "code", "n"])
+                    waiting.setdefault(name, []).append(code[(part == name)[doc]])
+                size += len(code)
+                if size >= COUNT_CODES:
+                    size = 0
+                    if settle() >= COUNT_CODES:
+                        yield from handed()
+        settle()
+        yield from handed()
 
     per_task = docs.select(_language(lang).alias("lang"), F.col(text).cast("string").alias("_text")).mapInArrow(
-        run, "lang string, code int, n bigint")
+        run, "lang string, code bigint, n bigint")
     return per_task.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
@@ -151,20 +163,20 @@ def different_texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, k, code, logp, backoff): interpolated modified Kneser-Ney log-probabilities of orders 1 to 4.
+    """(lang, k, weight, code, value): interpolated modified Kneser-Ney of orders 1 to ``ORDER``.
 
-    ``logp`` is of the last class after the others; ``backoff`` is the log of the weight that the n-gram, as a
-    context, gives to the next lower order.  The highest order uses counts, lower orders the number of different
-    classes before the n-gram; order 1 falls back to the uniform distribution.
+    Where ``weight`` is false, ``value`` is the log-probability of the last class of an n-gram after the others;
+    where it is true, the log of the weight that the n-gram, as a context, gives to the next lower order.  The
+    highest order uses counts of texts, lower orders the number of different classes before the n-gram; order 1 falls back
+    to the uniform distribution.
     """
     levels = {ORDER: counts.select("lang", "code", "n")}
     for k in range(ORDER - 1, 0, -1):
         mask = (1 << (CLASS_BITS * k)) - 1
         levels[k] = cut(levels[k + 1].groupBy("lang", F.col("code").bitwiseAND(F.lit(mask)).alias("code")).agg(
             F.count(F.lit(1)).alias("n")))
-    lower = counts.select("lang").distinct().select("lang", F.lit(0).alias("suffix"), F.lit(1.0 / (1 << CLASS_BITS)).alias("p_low"))
-    probs: dict[int, DataFrame] = {}
-    weights: dict[int, DataFrame] = {}
+    lower = counts.select("lang").distinct().select("lang", F.lit(0).cast("bigint").alias("suffix"), F.lit(1.0 / CLASSES).alias("p_low"))
+    parts = []
     for k in range(1, ORDER + 1):
         level = levels[k]
         kinds = level.groupBy("lang").agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)])
@@ -174,93 +186,114 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         cut_by = "CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END"
         with_d = level.join(F.broadcast(discount), "lang").select(
             "lang", "code", "n", F.expr(cut_by).alias("d"), F.shiftright("code", CLASS_BITS).alias("context"),
-            F.col("code").bitwiseAND(F.lit((1 << (CLASS_BITS * (k - 1))) - 1)).alias("suffix"))
-        context = with_d.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("taken"))
-        found = with_d.join(context, ["lang", "context"]).join(lower, ["lang", "suffix"]).select(
-            "lang", "code", ((F.col("n") - F.col("d") + F.col("taken") * F.col("p_low")) / F.col("total")).alias("p"))
-        probs[k] = cut(found)
-        weights[k - 1] = context.select("lang", F.col("context").alias("code"), F.log(F.col("taken") / F.col("total")).alias("backoff"))
-        lower = probs[k].select("lang", F.col("code").alias("suffix"), F.col("p").alias("p_low"))
-    parts = []
-    for k in range(0, ORDER + 1):
-        if k == 0:
-            parts.append(weights[0].select("lang", F.lit(0).alias("k"), "code", F.lit(-math.log(1 << CLASS_BITS)).alias("logp"), "backoff"))
-            continue
-        row = probs[k].select("lang", F.lit(k).alias("k"), "code", F.log("p").alias("logp"))
-        parts.append(row.join(weights[k], ["lang", "code"], "left").select("lang", "k", "code", "logp", "backoff") if k < ORDER
-                     else row.withColumn("backoff", F.lit(None).cast("double")))
+            F.col("code").bitwiseAND(F.lit((1 << (CLASS_BITS * (k - 1))) - 1)).cast("bigint").alias("suffix"))
+        context = cut(with_d.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("taken")))
+        found = cut(with_d.join(context, ["lang", "context"]).join(lower, ["lang", "suffix"]).select(
+            "lang", "code", ((F.col("n") - F.col("d") + F.col("taken") * F.col("p_low")) / F.col("total")).alias("p")))
+        row = lambda order, weight, code, value: ("lang", F.lit(order).alias("k"), F.lit(weight).alias("weight"), F.col(code).alias("code"), F.log(value).cast("float").alias("value"))
+        parts.append(context.select(*row(k - 1, True, "context", F.col("taken") / F.col("total"))))
+        parts.append(found.select(*row(k, False, "code", F.col("p"))))
+        lower = found.select("lang", F.col("code").alias("suffix"), F.col("p").alias("p_low"))
     return reduce(DataFrame.unionByName, parts)
 
 
+Sorted = tuple[np.ndarray, np.ndarray]
+_NONE = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))
+
+
 class Scorer:
-    """Sorted arrays of one language: per order the codes, log-probabilities and back-off weights."""
+    """Sorted arrays of one language: per order the codes with their log-probabilities, and contexts with their weights."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        self.codes, self.logp, self.backoff = zip(*levels)
+    def __init__(self, tables: dict[tuple[int, bool], Sorted]) -> None:
+        self.tables = tables
 
-    def _find(self, k: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.codes[k], code), len(self.codes[k]) - 1)
-        return at, self.codes[k][at] == code
+    def _look_up(self, k: int, weight: bool, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, values = self.tables.get((k, weight), _NONE)
+        if not len(keys):
+            return np.zeros(len(code), dtype=np.float32), np.zeros(len(code), dtype=bool)
+        at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+        known = keys[at] == code
+        return np.where(known, values[at], np.float32(0)), known
 
     def log_probabilities(self, code: np.ndarray) -> np.ndarray:
         """Of each n-gram; one that is not in the model backs off, in the end to the uniform distribution."""
         out = np.zeros(len(code), dtype=np.float64)
         todo = np.arange(len(code))
-        for k in range(ORDER, -1, -1):
-            if not len(todo):
-                break
-            if k == 0:
-                out[todo] -= math.log(1 << CLASS_BITS)
-                break
-            if not len(self.codes[k]):
-                continue
-            part = code[todo] & np.uint32((1 << (CLASS_BITS * k)) - 1)
-            at, known = self._find(k, part)
-            out[todo[known]] += self.logp[k][at[known]]
-            todo, part = todo[~known], part[~known] >> np.uint32(CLASS_BITS)
-            if len(todo) and len(self.codes[k - 1]):
-                at, known = self._find(k - 1, part)
-                weight = np.where(known, self.backoff[k - 1][at], 0.0)
-                out[todo] += np.nan_to_num(weight)
+        for k in range(ORDER, 0, -1):
+            part = code[todo] & ((1 << (CLASS_BITS * k)) - 1)
+            value, known = self._look_up(k, False, part)
+            out[todo] += value
+            todo, part = todo[~known], part[~known]
+            out[todo] += self._look_up(k - 1, True, part >> CLASS_BITS)[0]
+        out[todo] -= math.log(CLASSES)
         return out
 
 
-Arrays = dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+def sorted_arrays(model: pa.Table) -> dict[str, Scorer]:
+    """Scorers of the languages in ``model``, a table of :func:`kneser_ney`'s columns."""
+    out: dict[str, Scorer] = {}
+    if not len(model):
+        return out
+    names = model["lang"].combine_chunks().dictionary_encode()
+    names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+    group = (names.indices.to_numpy().astype(np.int64) * (ORDER + 1) + model["k"].to_numpy()) * 2 + model["weight"].to_numpy()
+    code, value = model["code"].to_numpy(), model["value"].to_numpy()
+    for g in np.unique(group).tolist():
+        own = np.flatnonzero(group == g)
+        keys = code[own]
+        if (keys[1:] < keys[:-1]).any():
+            own = own[np.argsort(keys, kind="stable")]
+            keys = code[own]
+        name = names.dictionary[g // 2 // (ORDER + 1)].as_py()
+        out.setdefault(name, Scorer({})).tables[g // 2 % (ORDER + 1), bool(g % 2)] = (keys, value[own])
+    return out
+
 
+Turn = tuple[list[str], int, int]
 
-def sorted_arrays(model: DataFrame) -> Arrays:
-    """Per language and order (0 first): sorted codes, log-probabilities and back-off weights."""
-    out: Arrays = {}
-    for k in range(ORDER + 1):
-        table = model.where(F.col("k") == k).select("lang", "code", F.col("logp").cast("float").alias("logp"), F.col("backoff").cast("float").alias("backoff")).toArrow()
-        names = table["lang"].combine_chunks().dictionary_encode() if len(table) else None
-        if names is None:
+
+def stored(model: DataFrame, entries: int = MODEL_ENTRIES) -> tuple[str, list[Turn]]:
+    """Write ``model`` in parts of about ``entries`` rows; returns the folder and (languages, split, splits) of each part.
+
+    Small languages share a part.  A larger one is split by the two classes before the last of an n-gram, which are the
+    last two of its contexts, so that all a code point can ask for lies in one part; orders 1 and 2 go to all of its parts.
+    """
+    spark = model.sparkSession
+    folder = f"{checkpoint_dir(spark)}/ngrams-{uuid.uuid4().hex}"
+    turns: list[Turn] = []
+    first, room = [], 0
+    for row in sorted(model.groupBy("lang").count().collect()):
+        splits = -(-row["count"] // entries)
+        if splits > 1:
+            first.append((row["lang"], len(turns), splits))
+            turns += [([row["lang"]], i, splits) for i in range(splits)]
+            room = 0
             continue
-        if isinstance(names, pa.ChunkedArray):
-            names = names.combine_chunks()
-        index = names.indices.to_numpy()
-        code, logp = table["code"].to_numpy().astype(np.uint32), table["logp"].to_numpy()
-        backoff = table["backoff"].fill_null(0.0).to_numpy()
-        for i, name in enumerate(names.dictionary.to_pylist()):
-            own = np.flatnonzero(index == i)
-            own = own[np.argsort(code[own])]
-            none = np.zeros(0, dtype=np.float32)
-            levels = out.setdefault(name, [(none.astype(np.uint32), none, none)] * (ORDER + 1))
-            levels[k] = (code[own], logp[own], backoff[own])
-    return out
+        if row["count"] > room:
+            turns.append(([], 0, 1))
+            room = entries
+        turns[-1][0].append(row["lang"])
+        first.append((row["lang"], len(turns) - 1, 1))
+        room -= row["count"]
+    placed = model.join(small_table(spark, first, "lang string, first int, splits int"), "lang")
+    everywhere = F.col("k") <= F.when(F.col("weight"), 1).otherwise(2)
+    split = F.pmod(F.when(F.col("weight"), _middle(F.col("code"))).otherwise(_middle(F.shiftright("code", CLASS_BITS))), F.col("splits")).cast("int")
+    spots = F.when(everywhere, F.sequence(F.lit(0), F.col("splits") - 1)).otherwise(F.array(split))
+    placed = placed.withColumn("spot", F.explode(spots)).select((F.col("first") + F.col("spot")).alias("turn"), "lang", "k", "weight", "code", "value")
+    placed.repartition("turn", "lang", "k", "weight").sortWithinPartitions("turn", "lang", "k", "weight", "code").write.partitionBy("turn").parquet(folder)
+    return folder, turns
 
 
-def _turns(model: DataFrame) -> list[list[str]]:
-    """Languages in groups whose models have at most ``MODEL_ENTRIES`` entries together (one alone may be larger)."""
-    sizes = sorted((r["lang"], r["count"]) for r in model.groupBy("lang").count().collect())
-    out, room = [], 0
-    for name, size in sizes:
-        if not out or size > room:
-            out.append([])
-            room = MODEL_ENTRIES
-        out[-1].append(name)
-        room -= size
-    return out
+_held: dict[tuple[str, int], dict[str, Scorer]] = {}
+
+
+def _scorers(folder: str, turn: int) -> dict[str, Scorer]:
+    """A part of the stored model; a Python worker keeps the one that it used last."""
+    if (folder, turn) not in _held:
+        _held.clear()
+        store, root = fs.FileSystem.from_uri(folder)
+        _held[folder, turn] = sorted_arrays(ds.dataset(f"{root}/turn={turn}", filesystem=store, format="parquet").to_table())
+    return _held[folder, turn]
 
 
 def base_rules(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -292,33 +325,54 @@ def base_rules(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measure(docs: DataFrame, keys: list[str], text: str, lang: str, models: Arrays) -> DataFrame:
-    """``keys``, ``lang``, the base measures and the mean negative log-probability of a code point (null if there is none)."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def measure(docs: DataFrame, keys: list[str], text: str, lang: str, folder: str, turn: int, split: int, splits: int) -> DataFrame:
+    """``keys``, ``lang``, the base measures, the code points, and the negative log-probabilities of those of the part, added up."""
     width = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {name: Scorer(levels) for name, levels in shared.value.items()}
         for batch in batches:
+            known = _scorers(folder, turn)
             names = np.array(batch.column(width).to_pylist(), dtype=object)
             for first, last, data, offsets in text_slices(batch.column(width + 1)):
                 base = base_rules(data, offsets)
                 code, doc = codes(data, offsets)
                 part, logp = names[first:last], np.zeros(len(code))
-                for name in set(part.tolist()):
-                    own = np.flatnonzero((part == name)[doc])
+                for name in set(part.tolist()) & known.keys():
+                    own = (part == name)[doc]
+                    if splits > 1:
+                        own &= _middle(code >> CLASS_BITS) % splits == split
+                    own = np.flatnonzero(own)
                     logp[own] = known[name].log_probabilities(code[own])
                 chars = np.bincount(doc, minlength=last - first)
-                loss = -np.bincount(doc, weights=logp, minlength=last - first) / np.maximum(chars, 1)
+                lost = -np.bincount(doc, weights=logp, minlength=last - first)
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(first, last - first) for c in batch.columns[:width + 1]), *(pa.array(b, pa.int64()) for b in base),
-                     pa.array(loss, pa.float64(), mask=chars == 0)], names=[*keys, "_lang", *MEASURES, "loss"])
+                     pa.array(chars, pa.int64()), pa.array(lost, pa.float64())], names=[*keys, "_lang", *MEASURES, "chars", "lost"])
 
     types = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "_lang string", *(f"{m} bigint" for m in MEASURES), "loss double"])
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "_lang string", *(f"{m} bigint" for m in MEASURES), "chars bigint, lost double"])
     return docs.select(*keys, _language(lang).alias("_lang"), F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
+def scored(docs: DataFrame, keys: list[str], text: str, lang: str, folder: str, turns: list[Turn]) -> DataFrame:
+    """One row per row of the languages of ``turns``: ``keys``, ``lang``, the base measures and the mean loss of a code point.
+
+    Losses of a split model are added up over its parts; equal rows are counted there and unfolded again.
+    """
+    outputs = [measure(docs.where(_language(lang).isin(names)), keys, text, lang, folder, i, split, splits).withColumn("splits", F.lit(splits))
+               for i, (names, split, splits) in enumerate(turns)]
+    same = [*keys, "_lang", *MEASURES, "chars", "splits"]
+    whole = [o for o, t in zip(outputs, turns) if t[2] == 1]
+    if any(t[2] > 1 for t in turns):
+        summed = reduce(DataFrame.unionByName, [o for o, t in zip(outputs, turns) if t[2] > 1]).groupBy(*same).agg(
+            F.sum("lost").alias("lost"), F.count(F.lit(1)).alias("n")).withColumn("n", F.expr("n div splits"))
+        blocks = summed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(n - 1) div 65536"))))
+        unfolded = blocks.withColumn("_", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(65536), F.col("n") - F.col("block") * 65536))))
+        whole.append(unfolded.select(*same, (F.col("lost") / F.col("n")).alias("lost")))
+    rows = reduce(DataFrame.unionByName, whole)
+    return rows.select(*keys, "_lang", *MEASURES, F.expr("CASE WHEN chars > 0 THEN lost / chars END").alias("loss"))
+
+
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", band: float = BAND) -> DataFrame:
     """One row per row: ``key``, the base measures, base_failed, kept, perplexity and the band of the language.
 
@@ -328,11 +382,12 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """
     counts = cut(count_ngrams(different_texts(docs, text, lang)))
     model = cut(kneser_ney(counts))
+    folder, turns = stored(model)
     spoken = _language(lang)
     marked = docs.select(key, text, lang, F.xxhash64(F.col(text).cast("string")).alias("_same"))
-    parts = [measure(marked.where(spoken.isin(names)), [key, "_same"], text, lang, sorted_arrays(model.where(F.col("lang").isin(names)))) for names in _turns(model)]
+    parts = [scored(marked, [key, "_same"], text, lang, folder, turns)] if turns else []
     silent = docs.where(F.coalesce(F.length(text), F.lit(0)) == 0).select(key, spoken.alias("_lang"))
-    found = [c["lang"] for c in model.select("lang").distinct().collect()]
+    found = [name for names, _, _ in turns for name in names]
     rest = silent.where(~F.col("_lang").isin(found)) if found else silent
     parts.append(rest.select(key, F.lit(None).cast("bigint").alias("_same"), "_lang", *[F.lit(0).cast("bigint").alias(m) for m in MEASURES], F.lit(None).cast("double").alias("loss")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
