@@ -30,7 +30,7 @@ from tidemark.session import checkpoint_dir, cut, small_table
 
 ORDER, CLASS_BITS = 4, 15
 CLASSES = 1 << CLASS_BITS
-COUNT_CODES = 1 << 22           # n-grams sorted at once by a counting task, and sums that it holds before handing them on
+COUNT_CODES = 1 << 21           # n-grams sorted at once by a counting task, and sums that it holds before handing them on
 MODEL_ENTRIES = 16_000_000      # entries a scoring task holds at once, 12 bytes each; larger models are scored with in turns
 BAND = 3.0                      # quartile distances between a quartile and the edge of the band; figures in the README
 LEAST_WIDTH = 0.05              # of log-perplexity: a band reaches at least as far beyond both quartiles, 50 steps of the grid
