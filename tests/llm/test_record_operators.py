@@ -123,6 +123,22 @@ def test_stage_finds_pairs_of_similarity_just_over_the_level(spark):
     assert all(2 * g + 1 in kept for g, s in similar.items() if s < 0.8) and 1000 in kept and 1001 not in kept
 
 
+def test_a_link_is_proposed_in_one_band_and_pairs_come_a_few_at_a_time(spark):
+    """Copies that share nearly all bands go on once, not once for each band, and no tile holds the square of its rows."""
+    rng = np.random.default_rng(3)
+    centre = rng.integers(-2 ** 62, 2 ** 62, (40, 4))
+    rows = [(4 * g + c, *(int(w) ^ ((1 << int(rng.integers(0, 60))) if c else 0) for w in x)) for g, x in enumerate(centre) for c in range(2)]
+    prints = spark.createDataFrame(rows, "node bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint")
+    for cap in (16, 8192):
+        found = simhash.links(prints, simhash.STAGE_RADIUS, 4, cap=cap, nodes_only=True)
+        assert {r.node for r in found.collect()} == {r[0] for r in rows}
+        assert found.count() == len(rows)
+    copies = np.zeros((4, 3000), dtype=np.uint64)
+    sizes = [len(x) for x, _ in simhash._near(copies, copies, 57)]
+    assert sum(sizes) == 3000 ** 2 and max(sizes) <= 64 * 3000
+    assert (simhash._forest(simhash._near(copies, copies, 57), 3000) == 0).all()
+
+
 # --- leaks ------------------------------------------------------------------------------------
 def coverage(item, doc, k=5):
     windows = collections.Counter(tuple(doc[i:i + k]) for i in range(len(doc) - k + 1))

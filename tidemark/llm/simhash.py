@@ -33,6 +33,7 @@ from tidemark.session import cut
 
 SEED = 42
 TILE_ROWS = 8192
+_ROWS_AT_ONCE, _COMPARED_AT_ONCE, PAIRS_AT_ONCE = 64, 1024, 1 << 20
 #: words of the wide fingerprint of the corpus stage, and the most bits that may differ: sets of five-word shingles
 #: of similarity 0.8 differ in 38.8 of 256 bits on average with a standard deviation of 5.7, so 57 is 3.2 of these off
 STAGE_WORDS64, STAGE_RADIUS, STAGE_SHINGLE, BLOCK_BITS = 4, 57, 5, 9
@@ -118,15 +119,15 @@ def set_fingerprints(docs: DataFrame, keys: list[str], text: str, k: int, words6
     return docs.select(*keys, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of ``a`` and ``b`` (words x rows, sorted by population count) within ``radius``."""
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of ``a`` and ``b`` (words x rows, sorted by population count) within ``radius``, for a few rows
+    of ``a`` at a time: all pairs of a tile of copies would be its square."""
     ones_a, ones_b = (np.bitwise_count(x).sum(axis=0, dtype=np.int64) for x in (a, b))
-    left, right = [], []
     half = max(1, a.shape[0] // 2)
-    for i in range(0, a.shape[1], 256):
-        block = a[:, i:i + 256]
+    for i in range(0, a.shape[1], _ROWS_AT_ONCE):
+        block = a[:, i:i + _ROWS_AT_ONCE]
         lo = np.searchsorted(ones_b, ones_a[i] - radius)
-        hi = np.searchsorted(ones_b, ones_a[min(i + 256, a.shape[1]) - 1] + radius, "right")
+        hi = np.searchsorted(ones_b, ones_a[min(i + _ROWS_AT_ONCE, a.shape[1]) - 1] + radius, "right")
         if lo >= hi:
             continue
         far = np.bitwise_count(block[0][:, None] ^ b[0, lo:hi][None, :])
@@ -136,15 +137,13 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.nda
         if a.shape[0] > half:
             whole = np.bitwise_count(block[:, x] ^ b[:, lo:hi][:, y]).sum(axis=0, dtype=np.int64)
             x, y = x[whole <= radius], y[whole <= radius]
-        left.append(x + i)
-        right.append(y + lo)
-    none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+        if len(x):
+            yield x + i, y + lo
 
 
-def _equal_bands(band: np.ndarray, words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within ``radius`` among rows of the same band; rows are sorted by band."""
-    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+def _equal_bands(band: np.ndarray, words: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within ``radius`` among rows of the same band, for one distance of their places at a time; rows are
+    sorted by band."""
     half = max(1, words.shape[0] // 2)
     for d in range(1, len(band)):
         same = band[:-d] == band[d:]
@@ -155,16 +154,41 @@ def _equal_bands(band: np.ndarray, words: np.ndarray, radius: int) -> tuple[np.n
             far = far + np.bitwise_count(words[w, :-d] ^ words[w, d:])
         at = np.flatnonzero(same & (far <= radius))         # a part of the words bounds the distance from below
         at = at[np.bitwise_count(words[:, at] ^ words[:, at + d]).sum(axis=0, dtype=np.int64) <= radius]
-        left.append(at)
-        right.append(at + d)
-    return np.concatenate(left), np.concatenate(right)
+        if len(at):
+            yield at, at + d
+
+
+def _forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """:func:`common.forest` over pairs that come a few at a time."""
+    label, waiting = np.arange(n), []
+
+    def settled() -> np.ndarray:
+        child = np.flatnonzero(label != np.arange(n))
+        i, j = (np.concatenate(x) for x in zip((child, label[child]), *waiting))
+        return forest(i, j, n)
+
+    for i, j in pairs:
+        apart = label[i] != label[j]
+        waiting.append((i[apart], j[apart]))
+        if sum(len(x) for x, _ in waiting) > PAIRS_AT_ONCE:
+            label, waiting = settled(), []
+    return settled()
+
+
+def _shares_before(differs: np.ndarray, spans: list[tuple[int, int, int]], band: np.ndarray) -> np.ndarray:
+    """Mask of the pairs, given their differing bits (words x pairs), that are equal in a span before the one ``band`` is of."""
+    own, out = band >> 33, np.zeros(differs.shape[1], dtype=bool)
+    for at, (w, lo, hi) in enumerate(spans):
+        out |= (at < own) & ((differs[w] >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1) == 0)
+    return out
 
 
 def links(prints: DataFrame, radius: int, words64: int = 1, cap: int = TILE_ROWS, nodes_only: bool = False) -> DataFrame:
     """Edges (a, b) between nodes of ``prints`` (node, w0..) at ``radius`` or fewer differing bits that share a band.
 
     Only a spanning forest of each tile pair is returned, which keeps components and loses no link.  With ``nodes_only``
-    the result is (node, g, pair): the nodes that have a link in a tile pair, and which one it is.
+    the result is (node, g, pair): the nodes that have a link in a tile pair, and which one it is.  A link counts only in
+    the first band that its ends share, so that a node goes on about once for each neighbour, not once for each band.
     """
     names = [f"w{i}" for i in range(words64)]
     ones = sum((F.bit_count(w) for w in names[1:]), F.bit_count(names[0]))
@@ -174,6 +198,7 @@ def links(prints: DataFrame, radius: int, words64: int = 1, cap: int = TILE_ROWS
         edges = list(range(0, 64, BLOCK_BITS))
     spans = [(w, lo, hi) for w in names for lo, hi in zip(edges, edges[1:])]
     bands = F.array(*[F.shiftrightunsigned(w, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) + F.lit(i << 33) for i, (w, lo, hi) in enumerate(spans)])
+    places = [(names.index(w), lo, hi) for w, lo, hi in spans]
     per_row = len(spans)
     rows = prints.select("node", *names, F.explode(bands).alias("band"), F.floor(ones / (radius + 1)).cast("int").alias("level"))
     groups = max(1, -(-prints.count() * per_row // cap))
@@ -202,21 +227,23 @@ def links(prints: DataFrame, radius: int, words64: int = 1, cap: int = TILE_ROWS
         count = np.bitwise_count(words).sum(axis=0, dtype=np.int64)
         if not pair:
             order = np.argsort(band, kind="stable")
-            i, j = _equal_bands(band[order], words[:, order], radius)
-            i, j = order[i], order[j]
+            found = ((order[i], order[j]) for i, j in _equal_bands(band[order], words[:, order], radius))
         else:
             order = np.argsort(count, kind="stable")
             a, b = order[side[order] == 0], order[side[order] == 1]
             one, other = pair.split(":")[:2], pair.split(":")[2:]
             if one == other:
                 b = a
-            i, j = _near(words[:, a], words[:, b], radius)
-            i, j = a[i], b[j]
+            found = ((a[i], b[j]) for i, j in _near(words[:, a], words[:, b], radius))
         if nodes_only:
-            linked = np.unique(node[np.concatenate([i, j])])
+            has = np.zeros(len(node), dtype=bool)
+            for i, j in found:
+                first = (node[i] != node[j]) & ~_shares_before(words[:, i] ^ words[:, j], places, band[i])
+                has[i[first]] = has[j[first]] = True
+            linked = np.unique(node[has])
             return pa.table({"node": pa.array(linked, pa.int64()), "g": pa.array(np.full(len(linked), table["g"][0].as_py()), pa.int64()),
                              "pair": pa.array([pair] * len(linked), pa.string())})
-        label = forest(i, j, len(node))
+        label = _forest(found, len(node))
         child = np.flatnonzero(label != np.arange(len(node)))
         return pa.table({"a": pa.array(node[child], pa.int64()), "b": pa.array(node[label[child]], pa.int64())})
 
@@ -256,24 +283,24 @@ def confirmed(rows: DataFrame, k: int, least: float, radius: int, words64: int)
         node, texts = table["node"].to_numpy(), table["_text"]
         words = np.stack([table[w].to_numpy().view(np.uint64) for w in names])
         order = np.argsort(np.bitwise_count(words).sum(axis=0, dtype=np.int64), kind="stable")
-        i, j = _near(words[:, order], words[:, order], radius)
-        i, j = order[i[i < j]], order[j[i < j]]
-        near = np.argsort(np.bitwise_count(words[:, i] ^ words[:, j]).sum(axis=0, dtype=np.int64), kind="stable")
-        root, sets, out = list(range(len(node))), {}, []
-        for x, y in zip(i[near].tolist(), j[near].tolist()):
-            p, q = x, y
-            while root[p] != p:
-                root[p] = p = root[root[p]]
-            while root[q] != q:
-                root[q] = q = root[root[q]]
-            if p == q:
-                continue
-            for at in (x, y):
-                if at not in sets:
-                    sets[at] = shingle_set(texts[at].as_py() or "", k)
-            if similarity(sets[x], sets[y]) >= least:
-                root[max(p, q)] = min(p, q)
-                out.append((x, y))
+        root, sets, out = np.arange(len(node)), {}, []
+        for i, j in _near(words[:, order], words[:, order], radius):
+            i, j = order[i[i < j]], order[j[i < j]]
+            near = np.argsort(np.bitwise_count(words[:, i] ^ words[:, j]).sum(axis=0, dtype=np.int64), kind="stable")
+            i, j = i[near], j[near]
+            while len(i):
+                apart = root[i] != root[j]
+                i, j = i[apart], j[apart]
+                for x, y in zip(i[:_COMPARED_AT_ONCE].tolist(), j[:_COMPARED_AT_ONCE].tolist()):
+                    if root[x] == root[y]:
+                        continue
+                    for z in (x, y):
+                        if z not in sets:
+                            sets[z] = shingle_set(texts[z].as_py() or "", k)
+                    if similarity(sets[x], sets[y]) >= least:
+                        root[root == max(root[x], root[y])] = min(root[x], root[y])
+                        out.append((x, y))
+                i, j = i[_COMPARED_AT_ONCE:], j[_COMPARED_AT_ONCE:]
         ends = np.array(out, dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(node[ends[:, 0]], pa.int64()), "b": pa.array(node[ends[:, 1]], pa.int64())})
 
