@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from checks.bindings import YEARLY, event_pages, rounded, scratch, table, yearly
 from checks.registry import check
 from tidemark.operators import gaps, landing
+from tidemark.session import cut, small_table
 from tidemark.sources import readers, tables
 from tidemark.streaming import stateful
 from tidemark.streaming.landing import land_stream, page_stream
@@ -57,26 +58,52 @@ def stream_landing(spark, folder):
 def stream_landing_stateful(spark, folder):
     """Three batches in the order of arrival; keys are remembered by the state store."""
     base = scratch(spark)
-    third = F.ntile(3).over(Window.orderBy("bucket", "page"))
-    event_pages(spark, folder).withColumn("part", third).write.partitionBy("part").json(f"{base}/parts")
-    rows = landing.flatten_hits(page_stream(spark, _in_turn(spark, f"{base}/parts", f"{base}/pages", 3), 1), "2024-01", "https://jobs.example/")
+    files = _in_turn(spark, event_pages(spark, folder), ["bucket", "page"], f"{base}/pages", 3, "json")
+    rows = landing.flatten_hits(page_stream(spark, f"{base}/pages", files), "2024-01", "https://jobs.example/")
     stateful.land_stream_stateful(rows, f"{base}/landed", f"{base}/state", arrival=_ARRIVAL).awaitTermination()
     return spark.read.parquet(f"{base}/landed").select(*_columns())
 
 
-def _in_turn(spark, parts: str, path: str, n: int, kind: str = "json") -> str:
-    """The parts as one file each, dated one after the other as a stream reads them."""
+#: rows of one file of a slice
+_FILE_ROWS = 1 << 18
+
+
+def _in_turn(spark, rows: DataFrame, order: list[str], path: str, n: int, kind: str) -> int:
+    """``rows`` in ``n`` slices as ``ntile`` over ``order`` cuts them, written under ``path``; the number of files of each slice.
+
+    A file has at most ``_FILE_ROWS`` rows, a slice the same number of files as the others, dated one after the other as a stream reads them.
+    Rows get their places within ranges of the order, so no task sorts or writes a whole slice.
+    """
+    ranged = cut(rows.repartitionByRange(max(1, -(-rows.count() // _FILE_ROWS)), *order).withColumn("_range", F.spark_partition_id()))
+    sizes = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = [], 0
+    for i in sorted(sizes):
+        before.append((i, total))
+        total += sizes[i]
+    files = max(1, -(-(-(-total // n)) // _FILE_ROWS))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + F.col("_before")
+    short, longer = divmod(total, n)                        # the first slices have one row more
+    edge = F.lit(longer * (short + 1))
+    at = F.when(F.col("_place") < edge, F.col("_place")).otherwise(F.col("_place") - edge)
+    size = F.when(F.col("_place") < edge, F.lit(short + 1)).otherwise(F.lit(max(short, 1)))
+    slice_ = F.floor(at / size) + F.when(F.col("_place") < edge, 0).otherwise(longer)
+    file = F.floor(at % size * files / size)
+    dealt = ranged.join(F.broadcast(small_table(spark, before, "_range int, _before bigint")), "_range").withColumn("_place", place).withColumn(
+        "_file", (slice_ * files + file).cast("int")).select("_file", *rows.columns)
+    dealt.repartition(n * files, "_file").write.partitionBy("_file").format(kind).save(f"{path}-dealt")
     fs, to = tables._fs(spark, path)
     fs.mkdirs(to)
-    for i in range(1, n + 1):
-        one = f"{parts}-{i}"
-        rows = spark.read.format(kind).load(f"{parts}/part={i}") if kind != "json" else spark.read.text(f"{parts}/part={i}")
-        rows.coalesce(1).write.format("text" if kind == "json" else kind).save(one)
-        name = next(f.getPath() for f in fs.listStatus(tables._fs(spark, one)[1]) if f.getPath().getName().startswith("part-"))
-        target = tables._fs(spark, f"{path}/{i}.{kind}")[1]
-        fs.rename(name, target)
-        fs.setTimes(target, 1_700_000_000_000 + i * 1000, -1)
-    return path
+    empty = spark.createDataFrame([], rows.schema)
+    for i in range(n * files):
+        folder = tables._fs(spark, f"{path}-dealt/_file={i}")[1]
+        if not fs.exists(folder):                           # fewer rows than slices
+            empty.coalesce(1).write.format(kind).save(f"{path}-none-{i}")
+            folder = tables._fs(spark, f"{path}-none-{i}")[1]
+        for name in [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]:
+            target = tables._fs(spark, f"{path}/{i:06d}.{kind}")[1]
+            fs.rename(name, target)
+            fs.setTimes(target, 1_700_000_000_000 + i * 1000, -1)
+    return files
 
 
 @check("category_cap", """
@@ -171,9 +198,8 @@ def gap_stream(spark, folder):
     """The audit over events that came in four slices of time."""
     base = scratch(spark)
     events = table(spark, folder, "events").select("ts", "event_type", "event_id")
-    events.withColumn("part", F.ntile(4).over(Window.orderBy("ts", "event_id"))).write.partitionBy("part").parquet(f"{base}/parts")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(
-        _in_turn(spark, f"{base}/parts", f"{base}/slices", 4, "parquet"))
+    files = _in_turn(spark, events, ["ts", "event_id"], f"{base}/slices", 4, "parquet")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/slices")
     stateful.gap_stream(stream, f"{base}/out", f"{base}/state", "ts", "event_type", "event_id").awaitTermination()
     audit = gaps.gap_audit(stateful.read_gaps(spark, f"{base}/out"), {"within": 60, "change": 60})
     return rounded(audit.withColumn("total_gap", F.round("total_gap", 3)), 9)

@@ -3,8 +3,10 @@ import os
 import time
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from checks import landing as checks_landing
 from tests.test_sources import pages
 from tidemark.operators import dictionary, gaps, landing, sampling
 from tidemark.streaming import stateful
@@ -62,6 +64,18 @@ def test_gap_stream_and_late_events(spark, folder):
     assert sorted(r.gap for r in gaps.event_gaps(on_time, "ts", "key", "tie").collect()) == sorted(g[2] for g in got)
 
 
+@pytest.mark.parametrize("n_rows,files", [(100, 4), (2, 1)])
+def test_slices_are_those_of_ntile_in_files_of_bounded_size(spark, folder, monkeypatch, n_rows, files):
+    monkeypatch.setattr(checks_landing, "_FILE_ROWS", 10)
+    rows = spark.range(n_rows).select((F.col("id") * 7 % n_rows).alias("ts"), F.col("id").alias("tie"))
+    assert checks_landing._in_turn(spark, rows, ["ts", "tie"], f"{folder}/in", 3, "parquet") == files
+    written = [sorted(r.ts for r in spark.read.parquet(f"{folder}/in/{i:06d}.parquet").collect()) for i in range(3 * files)]
+    assert max(map(len, written)) <= 10
+    want = rows.select("ts", F.ntile(3).over(Window.orderBy("ts", "tie")).alias("part")).collect()
+    for part in (1, 2, 3):
+        assert sum(written[(part - 1) * files:part * files], []) == sorted(r.ts for r in want if r.part == part)
+
+
 def test_dictionary_counts_overlaps_and_words(spark):
     rows = spark.createDataFrame([(1, "Anana BANANA ana_1"), (2, None), (3, ""), (4, "ΑΣ ας")], "id int, text string")
     terms = [("fruit", "ana"), ("fruit", "Banana"), ("other", "ana"), ("none", " "), ("greek", "ας")]
