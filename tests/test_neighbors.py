@@ -33,6 +33,37 @@ def test_knn_join_is_exact(spark, cells, clusters, copies):
     assert {(r.query_id, r.neighbor_id, r["rank"]) for r in found.collect()} == brute(q, p, 12)
 
 
+def test_blocks_grow_with_the_rows_and_cells_are_shipped_together(spark):
+    """A row goes to about as many tasks however many rows and cells there are."""
+    shipped = []
+    for n in (40_000, 160_000):
+        counts = np.full(n // 500, 500)
+        side = int((n * n / 32) ** 0.5)
+        hall, blocks = neighbors._halls(counts, np.full(len(counts), n), n, side)
+        assert len(hall) == len(counts) and max(np.bincount(hall, counts)) < 2 * side
+        shipped.append((sum(p for _, _, p in blocks), max(q for _, q, _ in blocks)))
+    assert shipped[1] == shipped[0] and max(shipped[0]) <= 8
+    q, p = vectors(700, 1), vectors(900, 2, clusters=5)
+    seen = spark.sparkContext.accumulator(0)
+    run = neighbors._local_top_k
+
+    def counted(k, payload):
+        inner = run(k, payload)
+
+        def one(queries, pool):
+            seen.add(1)
+            return inner(queries, pool)
+        return one
+
+    neighbors._local_top_k = counted
+    try:
+        found = neighbors.knn_join(frame(spark, q), frame(spark, p), 7, cells=20, block_rows=4).collect()
+    finally:
+        neighbors._local_top_k = run
+    assert {(r.query_id, r.neighbor_id, r["rank"]) for r in found} == brute(q, p, 7)
+    assert 0 < seen.value < 2000                            # blocks of 4 rows would be tens of thousands
+
+
 def test_clustered_pool_prunes_cells(spark):
     """On clustered data the second round visits few of the remaining cells."""
     p = vectors(400, 5, dim=32, clusters=8)
