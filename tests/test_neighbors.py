@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +67,38 @@ def test_blocks_grow_with_the_rows_and_cells_are_shipped_together(spark):
     assert 0 < seen.value < 2000                            # blocks of 4 rows would be tens of thousands
 
 
+def test_a_block_is_not_copied_as_a_whole(spark):
+    """What a task's Python holds beside its block does not grow with the block; a second Python step would be a second worker."""
+    q, p = vectors(40, 1), vectors(200_000, 2)
+    cell, ids = np.arange(len(p)) % 200, np.random.default_rng(3).permutation(len(p))
+    asked = [[i, i + 50] for i in range(len(q))]
+
+    def lists(x):
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+    queries = pa.table({"_q": np.arange(len(q)), "_v": lists(q), "_cells": pa.array(asked, pa.list_(pa.int32()))})
+    chunks = [slice(i, i + 10_000) for i in range(0, len(p), 10_000)]
+    pool = pa.table({"_p": ids, "_v": pa.chunked_array([lists(p[c]) for c in chunks]), "_cell": cell.astype(np.int32)})
+    want = set()
+    for i, cells in enumerate(asked):
+        rows = np.flatnonzero(np.isin(cell, cells))
+        sims = np.round(p[rows].astype(np.float64) @ q[i].astype(np.float64), 9)
+        want |= {(i, int(ids[rows[j]])) for j in np.lexsort((ids[rows], -sims))[:9]}
+    tracemalloc.start()
+    try:
+        found = neighbors._local_top_k(9, False)(queries, pool)
+        reached = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        weighed = sum(int(mask.sum()) for _, _, mask in neighbors._reaching(queries, pool, 0.5))
+        linked = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert set(zip(found["_q"].to_pylist(), found["_p"].to_pylist())) == want and len(found) == len(want) and weighed
+    assert max(reached, linked) < p.size * 8                 # the vectors of the block as doubles, once
+    join = neighbors.knn_join(frame(spark, vectors(30, 1)), frame(spark, vectors(90, 2)), 5, cells=6)
+    assert join._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1       # of the queries
+
+
 def test_clustered_pool_prunes_cells(spark):
     """On clustered data the second round visits few of the remaining cells."""
     p = vectors(400, 5, dim=32, clusters=8)
