@@ -7,6 +7,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +212,36 @@ def test_repeats_edges_and_spans(spark):
     assert got[1].spans == [] and [tuple(s) for s in got[2].spans] == [(7, 67)] and bytes(got[2].kept) == b"b" * 7 + b"c"
 
 
+def test_whole_copies_are_not_dealt_out(spark, monkeypatch):
+    seen = []
+    cut_segments = suffixes.cut_segments
+    monkeypatch.setattr(suffixes, "cut_segments", lambda *a, **k: seen.append(cut_segments(*a, **k)) or seen[-1])
+    rng = np.random.default_rng(8)
+    line = "a line that stands in every one of these documents, whatever else they say. "
+    once = [(i, line + " ".join(map(str, rng.integers(0, 10 ** 9, 40)))) for i in range(30)]
+    rows = [(i + 100 * k, t) for k in (2, 0, 1, 5, 4, 3) for i, t in once] + [(7, once[7][1]), (107, once[7][1]), (None, once[7][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert rows_of(digest(suffixes.remove_repeats(df))) == stripped(rows)
+    suffixes.remove_repeats(spark.createDataFrame(once, "doc_id long, text string")).collect()
+    copied, plain = (s.where("body IS NOT NULL").select("doc", "start", "length").distinct() for s in seen)
+    assert {r.doc for r in copied.collect()} <= {i for i, _ in once} and plain.count() > 0
+
+
+def test_only_segments_with_an_equal_window_are_sorted(monkeypatch):
+    sizes = []
+    suffix_array = suffixes.suffix_array
+    monkeypatch.setattr(suffixes, "suffix_array", lambda text, depth: sizes.append(len(text)) or suffix_array(text, depth))
+    monkeypatch.setattr(suffixes, "WINDOWS", 7, raising=False)
+    rng = np.random.default_rng(9)
+    bodies = [bytes(rng.integers(97, 123, 70).astype(np.uint8)) for _ in range(50)] + [b"x" * 3 + b"0123456789" * 6, b"0123456789" * 6 + b"yy"]
+    n = len(bodies)
+    table = pa.table({"g": [0] * n, "doc": list(range(n)), "text_id": [0] * n, "start": [5] * n, "length": [len(b) for b in bodies],
+                      "body": pa.array(bodies, pa.binary())})
+    assert suffixes._settle(50)(table).to_pylist() == [{"doc": 51, "text_id": 0, "start": 5, "end": 65}]
+    assert sizes == [63 + 62 + 2]
+    assert suffixes._settle(50)(table.slice(0, 50)).num_rows == 0 and suffixes._settle(50)(table.slice(3, 1)).num_rows == 0
+
+
 def test_queries_of_the_given_tables(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert rows_of(queries.op13_suffixes(spark, SF)) == stripped(docs)

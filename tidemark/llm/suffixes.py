@@ -7,6 +7,9 @@ segments.  A Bloom filter over the keys that occur in two documents or more keep
 saves work.  A task joins its segments to one string, sorts their suffixes in two stages and compares neighbours:
 windows with a common prefix of ``least`` bytes are one passage, and the smallest document of a run keeps it.
 
+Whole copies of a text go at once: the document of the least key stands for all of them, and a second Bloom filter, over
+the rows that stand for a text, lets the passes over windows leave the others out.  It, too, only saves work.
+
 Two-stage sorting: only suffixes smaller than their successor are sorted directly.  The others follow from
 scanning the buckets of first bytes in order: a suffix greater than its successor stands in its bucket as its successor
 stands in the array.  Order is settled to the length of a passage, which is all that a comparison of neighbours needs.
@@ -27,8 +30,10 @@ from tidemark.session import cut
 
 LEAST = 50
 GRAM = 16                        # bytes of the k-gram behind a window's key
+WINDOWS = 1 << 16                # windows of a suffix array's segments hashed at once
 RUN_WINDOWS = 192                # windows of a segment at most, so that rows stay short in texts of one repeated byte
-SLICE = 1 << 20                  # bytes of text hashed at once
+SLICE = 1 << 17                  # bytes of text hashed at once: a few megabytes of numbers, which a cache holds
+FIRST_BITS = (16, 27)            # the filter of the rows that stand for a text has 16 bits for each of them within these powers of two
 HELD_BYTES = 12 << 20            # segments of a task gathered before equal ones are settled and the rest handed on
 HELD_KEYS = 1 << 20
 KEY_BYTES = 5                    # of a key inside its part, whose number grows with the text: few keys meet by chance
@@ -123,7 +128,31 @@ def _unpack(found: pa.ChunkedArray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def shared_keys(rows: DataFrame, least: int, gram: int, bits: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+def first_rows(ids: DataFrame, bits: int, parts: int) -> np.ndarray:
+    """A Bloom filter as bytes over ``mark``, a hash of a row that stands for its text."""
+    stretch = max(8, (1 << bits) // parts)
+
+    def fill(table: pa.Table) -> pa.Table:
+        filled = np.zeros(stretch, dtype=bool)
+        for p in _places(_rest(table["mark"].to_numpy().view(np.uint64), parts), stretch):
+            filled[p] = True
+        return pa.table({"part": table["part"][:1], "filled": pa.array([np.packbits(filled, bitorder="little").tobytes()], pa.binary())})
+
+    found = ids.select("mark", F.pmod("mark", F.lit(parts)).alias("part")).groupBy("part").applyInArrow(fill, "part bigint, filled binary").toArrow()
+    whole = np.zeros((parts, stretch // 8), dtype=np.uint8)
+    for part, stored in zip(found["part"].to_pylist(), found["filled"]):
+        whole[part] = np.frombuffer(stored.as_buffer(), np.uint8)
+    return whole.reshape(-1)
+
+
+def _standing(batches: Iterator[pa.RecordBatch], firsts: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """The rows that may stand for their text."""
+    for batch in batches:
+        mark = batch.column(batch.schema.get_field_index("mark")).to_numpy(zero_copy_only=False).view(np.uint64)
+        yield batch.filter(pa.array(_passes(mark, firsts, parts)))
+
+
+def shared_keys(rows: DataFrame, least: int, gram: int, bits: int, parts: int, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two Bloom filters as bytes: the keys found in two documents or more, and those found in HOT documents or more.
 
     Keys travel packed: a task hands on one row for each part of the key space, with KEY_BYTES of each key found in one document
@@ -163,7 +192,7 @@ def shared_keys(rows: DataFrame, least: int, gram: int, bits: int, parts: int) -
                                              names=["part", "one", "many", "numbers"])
 
         size = 0
-        for batch in batches:
+        for batch in _standing(batches, firsts, parts):
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             for data, place, row, start in _batched(batch.column(1), least):
                 keys = _window_keys(data, least, gram)[place]
@@ -202,6 +231,11 @@ def shared_keys(rows: DataFrame, least: int, gram: int, bits: int, parts: int) -
     return filters[0], filters[1]
 
 
+def _rest(keys: np.ndarray, parts: int) -> np.ndarray:
+    """What is packed of a key inside its part."""
+    return (keys // np.uint64(parts)) & np.uint64((1 << 8 * KEY_BYTES) - 1)
+
+
 def _places(rest: np.ndarray, stretch: int) -> list[np.ndarray]:
     """Two bits of a packed key inside its part's stretch."""
     return [(rest % np.uint64(stretch)).astype(np.int64), (mix(rest) % np.uint64(stretch)).astype(np.int64)]
@@ -211,7 +245,7 @@ def _passes(keys: np.ndarray, filled: np.ndarray, parts: int) -> np.ndarray:
     stretch = len(filled) * 8 // parts
     base = (keys % np.uint64(parts)).astype(np.int64) * stretch
     out = np.ones(len(keys), dtype=bool)
-    for p in _places((keys // np.uint64(parts)) & np.uint64((1 << 8 * KEY_BYTES) - 1), stretch):
+    for p in _places(_rest(keys, parts), stretch):
         p = p + base
         out &= (filled[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
     return out
@@ -280,7 +314,8 @@ def _owners(same: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return low[same]
 
 
-def cut_segments(rows: DataFrame, least: int, gram: int, filters: tuple[np.ndarray, np.ndarray], parts: int, groups: int) -> DataFrame:
+def cut_segments(rows: DataFrame, least: int, gram: int, filters: tuple[np.ndarray, np.ndarray], parts: int, groups: int,
+                 firsts: np.ndarray) -> DataFrame:
     """Rows of two kinds.  With ``body``: a segment, its document, its place and its group.  Without: a stretch to remove,
     whose equal was seen in the same task in a smaller document."""
     shared, hot = filters
@@ -309,7 +344,7 @@ def cut_segments(rows: DataFrame, least: int, gram: int, filters: tuple[np.ndarr
                 bodies = pa.BinaryArray.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([pa.array(x[i], pa.int64()) for x in (group, doc, text_id, start, length)] + [bodies], names=names)
 
-        for batch in batches:
+        for batch in _standing(batches, firsts, parts):
             docs, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for data, place, row, start in _batched(batch.column(1), least):
                 keys = _window_keys(data, least, gram)[place]
@@ -462,6 +497,23 @@ def repeated_windows(bodies: list[bytes] | np.ndarray, lengths: np.ndarray, doc:
     return segment[gone], gone - (ends - lengths)[segment[gone]]
 
 
+def _met(data: np.ndarray, length: np.ndarray, least: int) -> np.ndarray:
+    """Whether each stretch holds a window whose hash occurs again: only those can share one.  ``data``: the joined bytes."""
+    if not len(length):
+        return np.zeros(0, dtype=bool)
+    counts = length - least + 1
+    of = np.repeat(np.arange(len(length)), counts)
+    place = np.arange(len(of)) + of * (least - 1)
+    hashes = np.concatenate([_window_hash(data[at[0]:at[-1] + least], at - at[0], least) for at in (
+        place[i:i + WINDOWS] for i in range(0, len(place), WINDOWS))])
+    order = np.argsort(hashes)
+    again = hashes[order[1:]] == hashes[order[:-1]]
+    out = np.zeros(len(length), dtype=bool)
+    out[of[order[1:][again]]] = True
+    out[of[order[:-1][again]]] = True
+    return out
+
+
 def _settle(least: int):
     def run(table: pa.Table) -> pa.Table:
         doc, text_id, start, length = (table[c].to_numpy() for c in ("doc", "text_id", "start", "length"))
@@ -482,6 +534,7 @@ def _settle(least: int):
             mine = np.flatnonzero(~gone)
             _, lead = np.unique(same[mine], return_index=True)
             lead = mine[lead]
+            lead = lead[_met(_gathered(data, at[lead], length[lead]), length[lead], least)]
             slot = np.full(len(doc), -1)
             slot[same[lead]] = np.arange(len(lead))
             segment, place = repeated_windows(_gathered(data, at[lead], length[lead]), length[lead], doc[lead], least)
@@ -514,15 +567,22 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias("body"))
-    own = rows.where(F.col("doc").isNotNull() & (F.octet_length("body") >= least)).select("doc", "body", F.xxhash64("body").alias("text_id"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).collect()[0][0]
+    own = rows.where(F.col("doc").isNotNull() & (F.octet_length("body") >= least)).select("doc", "body", F.xxhash64("body").alias("text_id")).withColumn(
+        "mark", F.xxhash64("doc", "text_id"))
+    ids = cut(own.select("doc", "text_id", "mark", F.octet_length("body").cast("long").alias("n"), F.unhex(F.sha2("body", 256)).alias("whole")))
+    size, n_rows = ids.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).collect()[0]
     bits = min(max(int(size).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
     parts = 1 << min(max((int(size) // PART_BYTES).bit_length(), PARTS[0].bit_length() - 1), PARTS[1].bit_length() - 1)
-    filters = shared_keys(own.select("doc", "body"), least, gram, bits, parts)
+    held = ids.groupBy("whole").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").drop("last")
+    marked = ids.join(held, "whole", "left")
+    firsts = first_rows(marked.where("owner IS NULL OR doc = owner"), min(max((16 * n_rows).bit_length(), FIRST_BITS[0]), FIRST_BITS[1]), parts)
+    filters = shared_keys(own.select("doc", "body", "mark"), least, gram, bits, parts, firsts)
     groups = max(1, int(size) * 4 // GROUP_BYTES)
-    segments = cut_segments(own, least, gram, filters, parts, groups)
+    segments = cut_segments(own, least, gram, filters, parts, groups, firsts)
     spans = segments.groupBy("g").applyInArrow(_settle(least), "doc bigint, text_id bigint, start bigint, end bigint")
-    lists = cut(spans.groupBy("doc", "text_id").agg(F.collect_list(F.struct("start", "end")).alias("found")))     # those of one document
+    copies = marked.where("doc > owner").select("doc", "text_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end")).distinct()
+    lists = cut(spans.unionByName(copies).groupBy("doc", "text_id").agg(
+        F.collect_list(F.struct("start", "end")).alias("found")))                                                 # those of one document
     joined = rows.withColumn("text_id", F.xxhash64("body")).join(lists, ["doc", "text_id"], "left").select("doc", "body", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
