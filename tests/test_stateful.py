@@ -40,6 +40,24 @@ def test_first_arrivals_over_batches_cost_their_own_keys(spark, folder):
     assert {r.job_id: r.industry_bucket for r in again.collect()} == {**got, "6": "c"} and again.count() == 6
 
 
+def test_keys_of_a_stream_are_settled_without_python(spark, folder):
+    def hit(bucket, page, ids):
+        put(folder, page, [(bucket, page, ids)])
+
+    hit("b", 1, ["1", "2", "1"])
+    hit("a", 2, ["2", "3", "", None])
+    hit(None, 3, ["3", "4"])
+    rows = landing.flatten_hits(page_stream(spark, f"{folder}/pages", 2), "s1", "https://jobs.example/")
+    query = stateful.land_stream_stateful(rows, f"{folder}/landed", f"{folder}/state")
+    query.awaitTermination()
+    got = spark.read.parquet(f"{folder}/landed")
+    assert got.drop("batch_id").columns == rows.columns
+    # of two buckets in a batch the lesser one counts, then the place in the page; a key of an earlier batch does not come again
+    assert sorted((r.batch_id, r.job_id, r.industry_bucket, r.page, r.pos) for r in got.collect()) == [
+        (0, "1", "b", 1, 0), (0, "2", "a", 2, 0), (0, "3", "a", 2, 1), (1, "4", None, 3, 1)]
+    assert {o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]} == {"dedupe"}
+
+
 def test_cap_counts_all_batches(spark, folder):
     for i in range(3):
         put(folder, i, [("a", i, [f"{i}{j}" for j in range(4)])])

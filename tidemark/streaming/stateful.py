@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import gaps, landing
 from tidemark.sources.tables import table_exists
@@ -16,30 +12,25 @@ from tidemark.sources.tables import table_exists
 BATCH = "batch_id"
 
 
-def first_arrivals(rows: DataFrame, key: str, arrival: tuple[str, ...]) -> DataFrame:
-    """The first arrival of every key of a stream.  The state of a key is one flag in Spark's state store, so a batch costs
-    what its own keys cost, however much has landed; null and blank keys are dropped.
+def first_arrivals(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of a stream, each as ``_row`` beside its ``_key``, and for every key that no batch had before one row more without
+    ``_row``; null and blank keys are dropped.  :func:`first_rows` makes the first arrivals of a batch of them.
 
-    In a batch the least row by ``arrival`` counts, equal ones as they come.  Keys are never forgotten: give the session the RocksDB
-    state store where they outgrow memory.
+    The state of a key is an entry without content in Spark's state store, which no Python worker sees, so a batch costs what its own
+    rows cost, however much has landed.  Keys are never forgotten: give the session the RocksDB state store where they outgrow memory.
     """
-    order = [c for c in arrival if c in rows.columns]
-
-    def first(_key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            for _ in batches:
-                pass
-            return
-        best = None
-        for batch in batches:
-            best = pd.concat([batch] if best is None else [best, batch]).sort_values(order, kind="stable", na_position="first").head(1)
-        state.update((True,))
-        yield best
-
     present = rows.where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
-    return present.groupBy(key).applyInPandasWithState(
-        first, rows.select(key, *(c for c in rows.columns if c != key)).schema, "seen boolean", "append", GroupStateTimeout.NoTimeout
-    ).select(*rows.columns)
+    arrived = present.select(F.col(key).alias("_key"), F.struct(*rows.columns).alias("_row"))
+    new = present.select(F.col(key).alias("_key")).dropDuplicates(["_key"])
+    return arrived.unionByName(new, allowMissingColumns=True)
+
+
+def first_rows(batch: DataFrame, arrival: tuple[str, ...]) -> DataFrame:
+    """The least row by ``arrival``, nulls first and equal ones as they come, of each key that is new in a batch of :func:`first_arrivals`."""
+    order = [F.col(f"_row.{c}") for c in arrival if c in batch.schema["_row"].dataType.names]
+    place = F.when(F.col("_row").isNotNull(), F.struct(F.lit(0), *order))
+    found = batch.groupBy("_key").agg(F.min_by("_row", place).alias("_row"), F.max(F.col("_row").isNull()).alias("_new"))
+    return found.where("_new").select("_row.*")
 
 
 def land_stream_stateful(rows: DataFrame, path: str, checkpoint: str, key: str = "job_id",
@@ -54,10 +45,10 @@ def land_stream_stateful(rows: DataFrame, path: str, checkpoint: str, key: str =
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch
+        fresh = first_rows(batch, arrival)
         if cap is not None:
             order = [F.col(c) for c in arrival]
-            ranked = landing.top_n(batch, [bucket], order, cap, rank="_place")
+            ranked = landing.top_n(fresh, [bucket], order, cap, rank="_place")
             if table_exists(spark, held_path):
                 held = spark.read.parquet(held_path).where(F.col(BATCH) < batch_id).groupBy(bucket).agg(F.sum("n").alias("_held"))
                 ranked = ranked.join(held, bucket, "left").where(F.col("_place") + F.coalesce("_held", F.lit(0)) <= cap).drop("_held")
@@ -67,7 +58,7 @@ def land_stream_stateful(rows: DataFrame, path: str, checkpoint: str, key: str =
             landed = spark.read.parquet(path).where(F.col(BATCH) == batch_id)
             _put(landing.bucket_counts(landed, bucket), held_path, batch_id)
 
-    return (first_arrivals(rows, key, arrival).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (first_arrivals(rows, key).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
